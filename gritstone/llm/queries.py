@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gritstone.llm.decontamination import benchmark_hits
+from gritstone.llm.near_dedup import classes
 from gritstone.llm.repetition import repetition_rules
+from gritstone.llm.substring_dedup import substring_dedup
 from gritstone.llm.url_cascade import filter_urls
 
 #: (verdict, host, path) of the url query.
@@ -28,10 +30,20 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_decontamination": op2_decontamination,
     "op3_url_cascade": op3_url_cascade,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE_SQL = {
@@ -65,4 +77,19 @@ a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url
 u as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from a),
 f as (select u.page_id, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict from u join r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path) group by u.page_id)
 select u.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u left join f using (page_id)""",
+    "op5_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w[i] as word, i, len(w) as n, array_to_string(w[i:i + 12], ' ') as key from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+k as (select key, min(doc_id) as first from p where i + 12 <= n group by key),
+s as (select p.doc_id, p.i from p join k using (key) where p.i + 12 <= p.n and k.first < p.doc_id),
+gone as (select distinct doc_id, i + j as i from s, (select unnest(range(13)) as j)),
+kept as (select p.doc_id, count(*) as n, string_agg(word, ' ' order by p.i) as text from p left join gone on p.doc_id = gone.doc_id and p.i = gone.i where gone.doc_id is null group by p.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op8_near_dedup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) c using (doc_id)""",
 }
