@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gritstone.llm.decontamination import benchmark_hits
 from gritstone.llm.near_dedup import classes
+from gritstone.llm.packing import pack
 from gritstone.llm.repetition import repetition_rules
 from gritstone.llm.substring_dedup import substring_dedup
+from gritstone.llm.token_output import packed_rows
 from gritstone.llm.url_cascade import filter_urls
 
 #: (verdict, host, path) of the url query.
@@ -38,12 +40,22 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_decontamination": op2_decontamination,
     "op3_url_cascade": op3_url_cascade,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_packing": op7_packing,
     "op8_near_dedup": op8_near_dedup,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLE_SQL = {
