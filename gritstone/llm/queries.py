@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gritstone.llm.decontamination import benchmark_hits
+from gritstone.llm.language_id import identify
 from gritstone.llm.near_dedup import classes
 from gritstone.llm.packing import pack
+from gritstone.llm.pseudo_likelihood import pseudo_likelihood
 from gritstone.llm.repetition import repetition_rules
 from gritstone.llm.substring_dedup import substring_dedup
 from gritstone.llm.token_output import packed_rows
+from gritstone.llm.toxicity import score_toxicity
 from gritstone.llm.url_cascade import filter_urls
 
 #: (verdict, host, path) of the url query.
@@ -20,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -32,6 +41,10 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,6 +53,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs, labels, usable=remainder(5) != 0)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -48,14 +67,23 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = identify(docs, docs.filter(remainder(3) != 1))
+    return named.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_decontamination": op2_decontamination,
     "op3_url_cascade": op3_url_cascade,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_near_dedup": op8_near_dedup,
     "op9_token_output": op9_token_output,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
