@@ -10,11 +10,12 @@ sets are one class, handled by its smallest doc_id; classes stand for their memb
   than six standard errors below the threshold are left out.
 - The others are confirmed on the full sets: ``100 * intersection >= threshold * union``.
 
-Pairs in a band are never all emitted. In each round every class of a band is compared with one hub of
-it, and links so confirmed merge components. What must still be compared is, in bands with several
-components, each class outside the hub's component with the classes of other components; rounds go on
-while they shrink that, and a last sweep compares all the rest. So no link between different components
-is left out, however large a group of near copies is.
+Pairs in a band are never all emitted. A band's hub is the class that shares most bands with others: the
+middle of a group of near copies. Each class is first compared with the best of its hubs, and links so
+confirmed merge components. Then rounds compare, in bands with several components, one further hub with
+the classes of other components, while that shrinks what is left. A last sweep takes all classes whose
+bands still hold several components and finds their links by prefixes of rare shingles, which is exact.
+So no link between different components is left out, however large a group of near copies is.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows have equal sets: the smallest
 doc_id stays, and rows of one doc_id are all kept or dropped together. Other columns are not read.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm._spark import batch, components, map_texts, materialize
@@ -151,6 +152,29 @@ def confirm(pairs: DataFrame, odd: DataFrame, sets: DataFrame, limit: int, thres
     return linked.select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (doc_id, comp) in different components that may reach ``threshold``; none that does is missing.
+
+    Shingles are ordered from the rarest (among the members) to the commonest. Sets of n and m shingles that
+    reach the threshold t share ``o = ceil(t / (1 + t) * (n + m))`` or more, so the first that they share is
+    among the first ``n - o + 1`` of one and the first ``m - o + 1`` of the other. What a group has in common
+    stands at the ends of its sets, so sets that are alike, but too little, do not meet.
+    """
+    one = sets.join(members, "doc_id").select("doc_id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = one.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc_id").orderBy("df", "shingle")  # one document's shingles
+    ranked = one.join(common, "shingle").withColumn("rank", F.row_number().over(order)).filter("df > 1")
+    # the largest part of a set that any partner can make necessary: a set of n has none under t * n shingles
+    last = f"n - ({threshold} * n + 99) div 100 + 1"
+    early = f"n - ({2 * threshold} * n + {99 + threshold}) div {100 + threshold} + 1"  # with a partner of n or more
+    ranked = materialize(ranked.filter(f"rank <= {last}").select("shingle", "doc_id", "comp", "n", "rank", F.expr(f"rank <= {early}").alias("early")))
+    small = ranked.filter("early").select("shingle", F.col("doc_id").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("rank").alias("place"))
+    overlap = f"({threshold} * (n + m) + {99 + threshold}) div {100 + threshold}"
+    near = f"comp <> other and (n > m or n = m and doc_id > b) and 100 * m >= {threshold} * n and rank <= n - {overlap} + 1 and place <= m - {overlap} + 1"
+    both = ranked.join(small, (ranked["shingle"] == small["shingle"]) & F.expr(near))
+    return both.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+
+
 def classes(docs: DataFrame, shingle: int = 5, threshold: int = 75, bands: int = 48, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included), kept (doc_id = component_id)."""
     sigs = materialize(signatures(docs, shingle, bands, rows, id_col, text_col))
@@ -159,40 +183,48 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: int = 75, bands: int =
     firsts = member.filter("doc_id = class").select("doc_id").distinct()
     reps = sigs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("band", "hub")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     in_band = materialize(banded.join(shared, "band"))
+    drawn = in_band.groupBy("doc_id").agg(F.sum("size").alias("drawn"))  # how many share bands with it: most for the middle of a group
+    in_band = materialize(in_band.join(drawn, "doc_id").select("band", "doc_id", "drawn"))
     candidates = materialize(in_band.select("doc_id").distinct())
     odd = materialize(sigs.select("doc_id", "odd").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(candidates, "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]))
     limit = odd_limit(bands * rows, threshold)
 
-    links = materialize(confirm(in_band.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), odd, sets, limit, threshold))
+    hubs = in_band.groupBy("band").agg(F.max(F.struct("drawn", -F.col("doc_id"))).alias("hub"))
+    best = in_band.join(hubs, "band").groupBy("doc_id").agg((-F.max("hub")["col2"]).alias("b")).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    links = materialize(confirm(best, odd, sets, limit, threshold))
     comps = components(links)
     total = in_band.count()
-    in_band = in_band.withColumn("done", F.col("doc_id") == F.col("hub"))  # compared with the whole band
     pending = None
     for step in range(max_rounds + 1):
         labels = comps.select(F.col("id").alias("doc_id"), "comp")
-        in_band = materialize(in_band.join(labels, "doc_id", "left").select("band", "doc_id", "hub", "done", F.coalesce("comp", "doc_id").alias("comp")))
-        hubs = in_band.filter("doc_id = hub").select("band", F.col("comp").alias("hub_comp"))
-        apart = materialize(in_band.filter("not done").join(hubs, "band").filter("comp <> hub_comp").select("band", "doc_id", "comp"))
-        sizes = apart.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("next"))
-        in_band = materialize(in_band.join(sizes, "band"))  # bands with one component are finished
-        work = in_band.agg(F.sum("n")).first()[0] or 0
+        in_band = in_band.join(labels, "doc_id", "left").select("band", "doc_id", "drawn", F.coalesce("comp", "doc_id").alias("comp"))
+        several = in_band.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("band")
+        in_band = materialize(in_band.join(several, "band"))  # bands with one component are finished
+        by_comp = in_band.groupBy("band", "comp").agg(F.count("*").alias("n"))
+        main = by_comp.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"))
+        main = materialize(main.select("band", F.col("main")["comp"].alias("main"), (F.col("size") - F.col("main")["n"]).alias("apart"), "size"))
+        work = main.agg(F.sum(F.col("apart") * F.col("size"))).first()[0] or 0
         if not work:
             break
-        sweep = step == max_rounds or work <= 4 * total or (pending is not None and work > 0.7 * pending)
+        sweep = step == max_rounds or work <= total // 4 or (pending is not None and work > 0.8 * pending)
         pending = work
-        others = in_band.filter("not done").select("band", F.col("doc_id").alias("b"), F.col("comp").alias("other"))
-        if not sweep:
-            apart = in_band.filter("doc_id = next").select("band", "doc_id", "comp")
-        pairs = apart.withColumnRenamed("doc_id", "a").join(others, "band").filter("comp <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if sweep:
+            pairs = prefix_pairs(materialize(in_band.select("doc_id", "comp").distinct()), sets, threshold)
+        else:
+            others = in_band.select("band", F.col("doc_id").alias("b"), F.col("comp").alias("other"))
+            hubs = in_band.groupBy("band").agg(F.max(F.struct("drawn", -F.col("doc_id"), "comp")).alias("hub"))
+            ours = materialize(hubs.select("band", (-F.col("hub")["col2"]).alias("a"), F.col("hub")["comp"].alias("comp")))
+            pairs = ours.join(others, "band").filter("comp <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = materialize(links.union(confirm(pairs, odd, sets, limit, threshold)).distinct())
         comps = components(links)
         if sweep:
             break
-        in_band = in_band.select("band", "doc_id", "hub", (F.col("done") | (F.col("doc_id") == F.col("next"))).alias("done"))
+        done = ours.select("band", F.col("a").alias("doc_id"))  # compared with all the band
+        in_band = in_band.drop("comp").join(done, ["band", "doc_id"], "left_anti")
     label = comps.select(F.col("id").alias("class"), "comp")
     out = member.join(label, "class", "left").select("doc_id", "n_shingles", F.coalesce("comp", "class", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
