@@ -136,3 +136,9 @@ def seeded(domain: str, seed: str, key: Column) -> Column:
 def seeded_int(domain: str, seed: str, key: Column) -> Column:
     """K1 as a number from 0 to 2^52 - 1, exact in doubles too."""
     return F.conv(F.substring(seeded(domain, seed, key), 1, 13), 16, 10).cast("long")
+
+
+def windows_of(text: Column, n: int, block: int = 256) -> Column:
+    """All windows of n characters of a text that has as many, in order; cut from blocks, as finding the i-th character of UTF-8 takes i steps."""
+    blocks = F.transform(F.sequence(F.lit(0), ((F.length(text) - n) / block).cast("int")), lambda b: F.substring(text, b * block + 1, F.lit(block + n - 1)))
+    return F.flatten(F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gritstone.functions.scalars import windows_of
+
 
 def unknown_stats(instr: DataFrame, unknown: Column, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, unknown rows and distinct unknown kinds."""
@@ -47,9 +49,9 @@ def ngram_diversity(df: DataFrame, col: str, ns: Sequence[int] = (2, 4, 8), by:
     out = None
     for n in ns:
         size = F.greatest(F.length(col) - n + 1, F.lit(0)) if n > 0 else F.lit(0)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substring(F.col(col), i, F.lit(n))))
+        grams = F.array_distinct(windows_of(F.col(col), n)) if n > 0 else F.lit(None).cast("array<string>")
         totals = df.groupBy(*by).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("windows"))
-        each = df.filter(F.length(col) >= max(n, 1)).select(*by, F.explode(F.when(F.lit(n > 0), grams)).alias("gram"))
+        each = df.filter(F.length(col) >= max(n, 1)).select(*by, F.explode(grams).alias("gram"))
         count = (F.approx_count_distinct("gram") if approx else F.count("*")).alias("distinct_windows")
         kinds = (each if approx else each.distinct()).groupBy(*by).agg(count)
         both = totals.join(kinds, list(by), "left") if by else totals.crossJoin(kinds)  # one row each

@@ -91,8 +91,8 @@ def interval_properties(sections: DataFrame, totals: DataFrame, by: str = "code_
         F.coalesce(at("Init", F.col("offset")) == 0, F.lit(True)).alias("init_first"),
         F.coalesce(at("Auxdata", F.col("_end")), F.lit(-1)).alias("_aux_end"),
         F.max("_end").alias("_end"),
-        F.bool_and((F.col("kind") != "ConstructorArgs") | (F.col("_kind_before") == "Runtime")).alias("args_after_runtime"),
-        F.bool_and((F.col("kind") != "Padding") | (F.col("_kind_before") == "Runtime")).alias("padding_after_runtime"),
+        F.bool_and((F.col("kind") != "ConstructorArgs") | F.col("_kind_before").eqNullSafe(F.lit("Runtime"))).alias("args_after_runtime"),
+        F.bool_and((F.col("kind") != "Padding") | F.col("_kind_before").eqNullSafe(F.lit("Runtime"))).alias("padding_after_runtime"),
         (F.count_distinct("kind") == F.count("*")).alias("unique_kinds"),
     )
     both = one.join(totals.select(by, "size"), by)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gritstone.functions.scalars import windows_of
+
 
 def invalid_references(refs: DataFrame, targets: DataFrame, on: Sequence[str], resolvable: Column | None = None) -> DataFrame:
     """References that resolve but hit no target; those that don't resolve are no fault."""
@@ -103,21 +105,31 @@ def lookup_cost(instr: DataFrame, costs: dict[str, int], op: str = "mnemonic", d
 def locate_passage(haystack: DataFrame, needles: DataFrame, id_col: str, needle_col: str, text_col: str = "text", prefix_len: int = 20, all_hits: bool = False) -> DataFrame:
     """Where needles stand in texts: id, needle, start (from 0), len.
 
-    The texts' windows of ``prefix_len`` characters meet the needles' prefixes in an equi-join; by default
-    only the first place of the prefix counts, and the whole needle must stand there.
+    The longest word inside a needle, with a blank on both sides, meets the texts' words in an equi-join;
+    needles without one meet windows of ``prefix_len`` characters with their prefix. What meets is then
+    looked up in the text. By default only the first place of the prefix counts, and the whole needle must
+    stand there.
     """
-    wanted = needles.filter(F.length(text_col) >= prefix_len).select(F.col(needle_col).alias("needle"), F.col(text_col).alias("_needle"), F.xxhash64(F.substring(text_col, 1, prefix_len)).alias("_h"))
-    n = F.length(text_col) - prefix_len + 1
-    texts = haystack.filter(n > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    windows = texts.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_text") - prefix_len + 1), lambda i: F.xxhash64(F.substring("_text", i, F.lit(prefix_len))))).alias("_at", "_h"))
-    hits = windows.join(wanted, "_h").select("id", "needle", "_needle", "_at")
-    there = hits.join(texts, "id")
-    same_prefix = F.substring(F.col("_text"), F.col("_at") + 1, F.lit(prefix_len)) == F.substring("_needle", 1, prefix_len)
-    whole = F.substring(F.col("_text"), F.col("_at") + 1, F.length("_needle")) == F.col("_needle")
+    wanted = needles.filter(F.length(text_col) >= prefix_len).select(F.col(needle_col).alias("needle"), F.col(text_col).alias("_needle"))
+    words = F.split("_needle", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    wanted = wanted.withColumn("_word", F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
+    texts = haystack.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    worded = texts.select("id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).filter("_word <> ''")
+    meet = worded.join(wanted.filter("_word <> ''"), "_word").select("id", "needle", "_needle")
+    plain = wanted.filter("_word = ''")
+    if not plain.isEmpty():
+        hashed = plain.select("needle", "_needle", F.xxhash64(F.substring("_needle", 1, prefix_len)).alias("_h"))
+        windows = texts.filter(F.length("_text") >= prefix_len).select("id", F.explode(F.array_distinct(F.transform(windows_of(F.col("_text"), prefix_len), lambda x: F.xxhash64(x)))).alias("_h"))
+        meet = meet.unionByName(windows.join(hashed, "_h").select("id", "needle", "_needle"))
+    there = meet.join(texts, "id")
+    n = F.length("_needle")
     if all_hits:
-        return there.filter(whole).select("id", "needle", F.col("_at").alias("start"), F.length("_needle").alias("len"))
-    first = there.filter(same_prefix).withColumn("_whole", whole).groupBy("id", "needle").agg(F.min("_at").alias("start"), F.min_by("_whole", "_at").alias("_whole"), F.first(F.length("_needle")).alias("len"))
-    return first.filter("_whole").drop("_whole")
+        where = F.filter(F.sequence(F.lit(1), F.length("_text")), lambda i: F.substring(F.col("_text"), i, n) == F.col("_needle"))
+        return there.filter(F.contains("_text", "_needle")).select("id", "needle", (F.explode(where) - 1).alias("start"), n.alias("len"))
+    at = F.expr(f"locate(left(_needle, {prefix_len}), _text)")
+    hit = there.withColumn("start", at - 1).filter("start >= 0")
+    return hit.filter(F.substring(F.col("_text"), F.col("start") + 1, n) == F.col("_needle")).select("id", "needle", "start", n.alias("len"))
 
 
 def exclude_protected(df: DataFrame, key: str, *protected: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def locate_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | Non
     base = codes.select("code_id", "code", size.alias("size"), F.coalesce(offset, size).alias("aux"), F.coalesce(length, F.lit(0)).alias("aux_len"))
     w = Window.partitionBy("code_id").orderBy("idx")
     op = F.col("mnemonic")
-    pushed = F.when(op.startswith("PUSH") & (F.length("imm") <= 8), F.conv("imm", 16, 10).cast("int"))
+    pushed = F.when(op.startswith("PUSH") & (F.length("imm") <= 6), F.conv("imm", 16, 10).cast("int"))
     ahead = F.max((op == "RETURN").cast("int")).over(w.rowsBetween(1, 20))
     numbers = F.collect_list(pushed).over(w.rowsBetween(-10, -1))
     marks = instr.filter("idx is not null").withColumn("_ahead", ahead).withColumn("_numbers", numbers)

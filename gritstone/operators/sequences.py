@@ -72,7 +72,7 @@ def group_by_markers(trace: DataFrame, part: Sequence[str], order: Sequence[str]
     """
     w, run = over(part, order), so_far(part, order)
     fin = F.coalesce(finalize, F.lit(False)) if finalize is not None else F.lit(False)
-    df = df.withColumn("_s", F.coalesce(start, F.lit(False))).withColumn("_e", F.coalesce(end, F.lit(False))).withColumn("_f", fin)
+    df = trace.withColumn("_s", F.coalesce(start, F.lit(False))).withColumn("_e", F.coalesce(end, F.lit(False))).withColumn("_f", fin)
     df = df.withColumn("_fin", F.max("_f").over(run))
     df = df.withColumn("_s", F.col("_s") & ~F.col("_fin")).withColumn("_e", F.col("_e") & ~F.col("_fin"))
     seq = F.row_number().over(w)
