@@ -39,6 +39,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table that ``materialize`` wrote and nothing will read again."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if path.rpartition("/")[2].startswith("gritstone-"):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def map_texts(
     docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()
 ) -> DataFrame:

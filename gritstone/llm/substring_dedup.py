@@ -5,12 +5,13 @@ Only repeated edges are of interest, so few are ever shuffled:
 
 1. Anchors. Each k-mer holds ``k - 4`` five-word grams; the one of smallest hash is its anchor. Equal
    k-mers have equal anchors, so a k-mer whose anchor occurs in one text only cannot be repeated. About
-   a fifth of the grams are anchors; one aggregation finds those that different texts share.
+   a fifth of the grams are anchors; one aggregation finds those that different texts share, told apart
+   by 32 bits of a hash of the text.
 2. Edges. Texts with shared anchors give up the k-mers on them, each with the edges before and after it.
    One aggregation keeps those of two documents or more, with the smallest document as their source.
-3. Compaction. Edge f continues edge e if e is all that comes before f and f all that comes after e: a
-   join of the edges with themselves. Runs of such edges are the nonbranching paths. Every document
-   that holds a path's first edge holds the whole path.
+3. Compaction. An edge is inner if all texts have the same edge before it and the same after it. A join of
+   the edges with themselves, on coordinates in their sources, links inner edges that follow each other;
+   runs of them are the nonbranching paths. Every document with a path's first edge has the whole path.
 4. Coordinates. A join of the first edges with their occurrences gives the spans in each document; each
    is verified on the text itself, at both ends, before a word is removed.
 
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm._spark import batch, map_texts, materialize, with_text
+from gritstone.llm._spark import batch, discard, map_texts, materialize, with_text
 from gritstone.llm._words import Chunk, chunks, cover, mix, per_row, window_hash
 from gritstone.llm.decontamination import cut_words, texts_of
 
@@ -83,8 +84,19 @@ def digests(data: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def balanced(x: np.ndarray) -> np.ndarray:
+    """The lower 32 bits as a code of 64 with exactly 32 set: each bit followed by its complement. The union of two different codes has more."""
+    x = x & np.uint64(0xFFFFFFFF)
+    x = x | ((~x & np.uint64(0xFFFFFFFF)) << np.uint64(32))
+    out = np.zeros(len(x), np.uint64)
+    for k in range(32):
+        out |= ((x >> np.uint64(k)) & np.uint64(1)) << np.uint64(2 * k)
+        out |= ((x >> np.uint64(32 + k)) & np.uint64(1)) << np.uint64(2 * k + 1)
+    return out
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_words, print (of the word sequence), whole_sha256 and the anchors of each document."""
+    """doc_id, n_words, print (of the word sequence) and its code, whole_sha256 and the anchors of each document."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n_words, prints, sha, flat, sizes = [], [], [], [], []
@@ -101,15 +113,16 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
             sizes.append(np.bincount(row[new], minlength=c.n))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
-        return batch(doc_id=b.column(0), n_words=np.concatenate([np.zeros(0, np.int64), *n_words]), print=pa.array(prints, pa.int64()), whole_sha256=pa.array(sha, pa.string()), anchors=lists)
+        return batch(doc_id=b.column(0), n_words=np.concatenate([np.zeros(0, np.int64), *n_words]), print=pa.array(prints, pa.int64()), code=signed(balanced(mix(np.array(prints, np.int64).view(np.uint64)))), whole_sha256=pa.array(sha, pa.string()), anchors=lists)
 
-    return map_texts(docs, run, "doc_id long, n_words long, print long, whole_sha256 string, anchors array<long>", id_col, text_col)
+    return map_texts(docs, run, "doc_id long, n_words long, print long, code long, whole_sha256 string, anchors array<long>", id_col, text_col)
 
 
 def candidate_edges(texts: DataFrame, k: int) -> DataFrame:
-    """edge, before, after, doc_id, at: the k-mers of ``texts`` (doc_id, text, anchors) on a shared anchor.
+    """edge, between, doc_id, at: the k-mers of ``texts`` (doc_id, text, anchors) on a shared anchor.
 
-    before and after are 0 where no such k-mer stands there, or where the text holds the k-mer twice.
+    between: a hash of the k-mers before and after it; 0 where one of them is none of these k-mers, or
+    where the text holds the k-mer twice.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,27 +142,31 @@ def candidate_edges(texts: DataFrame, k: int) -> DataFrame:
             hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
             h, at, row = h[hit], at[hit], row[hit]
             near = (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])
-            before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
-            before[1:][near] = h[:-1][near]
-            after[:-1][near] = h[1:][near]
+            between = np.zeros(len(h), np.int32)
+            inner = np.flatnonzero(near[1:] & near[:-1]) + 1
+            between[inner] = (mix(h[inner - 1] + h[inner + 1] * _ROW) >> np.uint64(33)).astype(np.int32) | 1
             key = mix(h + row.astype(np.uint64) * _ROW)
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
-            twice = np.union1d(order[1:][same], order[:-1][same])
-            before[twice] = after[twice] = 0
-            out.append((signed(h), signed(before), signed(after), ids[c.row + row], (at - c.ptr[row]).astype(np.int32)))
-        kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
+            between[order[1:][same]] = between[order[:-1][same]] = 0
+            out.append((signed(h), between, ids[c.row + row], (at - c.ptr[row]).astype(np.int32)))
+        kinds = (np.int64, np.int32, np.int64, np.int32)
         cols = [np.concatenate([np.zeros(0, t), *(x[j] for x in out)]) for j, t in enumerate(kinds)]
-        return batch(edge=cols[0], before=cols[1], after=cols[2], doc_id=cols[3], at=cols[4])
+        return batch(edge=cols[0], between=cols[1], doc_id=cols[2], at=cols[3])
 
-    return map_texts(texts, run, "edge long, before long, after long, doc_id long, at int", extra=("anchors",))
+    return map_texts(texts, run, "edge long, between int, doc_id long, at int", extra=("anchors",))
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """Nonbranching paths of ``edges`` (edge, before, after, source, at): head, tail, n_edges, source."""
-    onward = edges.filter("after <> 0").select(F.col("edge").alias("before"), F.col("after").alias("edge"))
-    linked = edges.filter("before <> 0").join(onward, ["before", "edge"], "left_semi").select("edge", F.lit(0).alias("first"))
-    marked = edges.join(linked, "edge", "left").select("edge", "source", "at", F.coalesce("first", F.lit(1)).alias("first"))
+    """Nonbranching paths of ``edges`` (edge, inner, source, at): head, tail, n_edges, source.
+
+    inner: all texts have the same edge before it and the same after it. An inner edge continues the inner
+    edge that stands before it in the source; other edges are paths of their own.
+    """
+    inner = edges.filter("inner").select("source", (F.col("at") + 1).alias("at"))
+    linked = edges.filter("inner").join(inner, ["source", "at"], "left_semi").select("edge", "source", "at", F.lit(0).alias("first"))
+    others = edges.join(linked.select("edge"), "edge", "left_anti").select("edge", "source", "at", F.lit(1).alias("first"))
+    marked = linked.unionByName(others)
     order = Window.partitionBy("source").orderBy("at", "edge")  # the edges of one document
     numbered = marked.withColumn("path", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("source", "path").agg(F.min_by("edge", "at").alias("head"), F.max_by("edge", "at").alias("tail"), F.count("*").cast("int").alias("n_edges")).drop("path")
@@ -163,21 +180,25 @@ def repeated_spans(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     spans an array of (at, n_edges, head, tail): ``n_edges + k - 1`` words from word ``at`` on.
     """
     sigs = materialize(signatures(docs, k, id_col, text_col))
-    pairs = sigs.select("doc_id", "print", F.explode("anchors").alias("anchor"))
-    shared = pairs.groupBy("anchor").agg(F.min("print").alias("a"), F.max("print").alias("b")).filter("a <> b").select("anchor")
+    pairs = sigs.select("doc_id", "code", F.explode("anchors").alias("anchor"))
+    shared = pairs.groupBy("anchor").agg(F.bit_or("code").alias("codes")).filter(F.bit_count("codes") > 32).select("anchor")
     lists = pairs.select("anchor", "doc_id").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     source = sigs.groupBy("print").agg(F.min("doc_id").alias("source"))
     flagged = sigs.select("doc_id", "n_words", "print", "whole_sha256").join(source, "print", "left")
     plain = materialize(flagged.select("doc_id", "n_words", "whole_sha256", (F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False)) & (F.col("n_words") >= k)).alias("copy")))
     lists = materialize(lists.join(plain.filter("copy").select("doc_id").distinct(), "doc_id", "left_anti"))
+    discard(sigs)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(lists, "doc_id")
     found = materialize(candidate_edges(texts, k))
-    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(0).cast("long"))
-    edges = found.groupBy("edge").agg(one("before").alias("before"), one("after").alias("after"), F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("at"))
+    inner = (F.min("between") == F.max("between")) & (F.min("between") != 0)
+    edges = found.groupBy("edge").agg(inner.alias("inner"), F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("at"))
     edges = materialize(edges.filter("source < last").drop("last"))
     paths = materialize(compact(edges))
     spans = found.select(F.col("edge").alias("head"), "doc_id", "at").join(paths, "head").filter("doc_id > source")
-    return plain, spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_edges", "head", "tail")).alias("spans"))
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_edges", "head", "tail")).alias("spans")))
+    for table in (found, edges, paths, lists):
+        discard(table)
+    return plain, spans
 
 
 def removed_words(c: Chunk, k: int, spans: pa.ListArray) -> np.ndarray:
