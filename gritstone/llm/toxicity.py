@@ -214,6 +214,8 @@ def learn_lexicon(sample: DataFrame, size: int) -> dict[str, float]:
 
     both = sample.agg(F.sum("toxic"), F.count("*")).first()
     t, n = float(both[0] or 0), float(both[1])
+    if not n:
+        return {}
     words = map_texts(sample, run, "word string, toxic long", extra=("toxic",)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("t >= 5")
     odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - t + 1))
     expected = F.col("n") * F.lit(t / n)
@@ -244,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     calibrate = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0
     counts = sample.agg(F.count("*"), F.sum("toxic")).first()
     share = float(counts[1] or 0) / counts[0] if counts[0] else 0.5
-    if not 0 < share < 1:
+    if not counts[0] or not 0 < share < 1:
         return Model(Features({}), None, None, share)
     features = Features(learn_lexicon(sample.filter(~calibrate), lexicon_size))
 
