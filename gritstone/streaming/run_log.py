@@ -66,7 +66,7 @@ class OpenGroup(StatefulProcessor):
         self.handle = handle
         self.group = handle.getValueState("group", "first long, last long, n long, until long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["ts_ms", "seq"])
         state = self.group.get() if self.group.exists() else None
         out = []
@@ -88,7 +88,7 @@ class OpenGroup(StatefulProcessor):
             self.handle.registerTimer(state[3])
         yield pd.DataFrame(out, columns=["run_id", "first_seq", "last_seq", "n", "how"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.group.exists():
             first, last, n, _ = self.group.get()
             self.group.clear()

@@ -46,3 +46,18 @@ def test_sessions(spark, tmp_path):
     batch = {(r["user_id"], r["start"], r["n"]) for r in R.gap_sessions(source(spark, tmp_path, False), "user_id").collect()}
     stream = {(r["user_id"], r["start"], r["n"]) for r in drain(spark, R.gap_sessions(source(spark, tmp_path, True), "user_id"), "sessions").collect()}
     assert stream <= batch and len(stream) > 0.8 * len(batch)  # the last ones are still open
+
+
+def test_open_groups(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(1, 0, "S"), (1, 1, "a"), (1, 2, "E"), (1, 3, "b"), (1, 4, "S"), (1, 5, "c"), (2, 0, "S"), (2, 1, "E")]
+    log = spark.createDataFrame(rows, "run_id long, seq long, kind string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    later = spark.createDataFrame([(9, 0, "E")], "run_id long, seq long, kind string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_900_000)))
+    folder = str(tmp_path / "log")
+    log.coalesce(1).write.parquet(folder)
+    later.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kind = F.col("kind")
+    out = drain(spark, R.stream_segments(stream, kind == "S", kind == "E", timeout_ms=60_000, watermark="1 minute"), "groups")
+    got = {tuple(r) for r in out.collect()}
+    assert {(1, 0, 2, 3, "closed"), (1, 3, 3, 1, "cut"), (2, 0, 1, 2, "closed"), (1, 4, 5, 2, "timeout")} <= got
