@@ -219,3 +219,32 @@ def test_masking_leaves_the_rest(spark):
     rows = [r["text"] for r in S.mask_literals(df, "text", r"[a-z]+@[a-z.]+", "s", F.col("safe")).collect()]
     assert rows[0].startswith("mail ") and rows[0].endswith(" now") and len(rows[0]) == len("mail a@b.c now") and "@" not in rows[0]
     assert rows[1:] == ["a@b.c", "none"]
+
+
+def test_sections_cover_every_code(spark):
+    runtime = "6080604052" + "00" * 10 + "fe"
+    code = "600a600c600039600a6000f3" + runtime + "aabbccdd" + "a1" * 8 + "0008"
+    codes = code_table(spark, code, "600160015b00", "")
+    codes = codes.filter("length(code) > 0")
+    instr = U.decode_instructions(codes)
+    known = spark.createDataFrame([(0, runtime)], "code_id long, h string").select("code_id", F.unhex("h").alias("runtime"))
+    got = sorted((r["code_id"], r["offset"], r["kind"], r["len"]) for r in U.locate_sections(codes, instr, known).collect())
+    size = len(code) // 2
+    assert [g[2] for g in got if g[0] == 0] == ["Init", "Runtime", "ConstructorArgs", "Auxdata"]
+    checked = V.interval_properties(U.locate_sections(codes, instr, known), codes.select("code_id", F.length("code").alias("size"))).collect()
+    assert all(r["full_cover"] and r["in_order"] and r["non_empty"] for r in checked) and sum(g[3] for g in got if g[0] == 0) == size
+
+
+def test_block_summary_and_functions(spark):
+    codes = code_table(spark, "6000600657005b00")
+    instr = U.decode_instructions(codes)
+    blocks, rows = U.block_table(instr)
+    blocks = U.with_control(blocks, J.resolve_targets(instr, blocks), rows)
+    edges = G.build_edges(blocks)
+    got = {r["node"]: (r["n_instr"], r["operations"], r["incoming"], r["outgoing"]) for r in A.block_summary(blocks.filter("kind = 'Body'"), edges, rows).collect()}
+    assert got[2] == (3, ["PUSH1", "PUSH1", "JUMPI"], ["Fallthrough"], ["BranchFalse", "BranchTrue"])
+    assert got[4] == (2, ["JUMPDEST", "STOP"], ["BranchTrue"], ["Fallthrough"])
+    entry = spark.createDataFrame([(0, "aa", 2)], "code_id long, entry string, node int")
+    reach = G.reachable(edges, entry.select("code_id", "node")).select("code_id", F.lit("aa").alias("entry"), "node")
+    row = A.function_rollup(reach, rows, blocks.filter("kind = 'Body'")).first()
+    assert (row["entry"], row["read_only"], row["payable"]) == ("aa", True, False)
