@@ -60,6 +60,7 @@ def map_texts(
             out = fn(batch)
             if out is not None:
                 yield out
+            pa.default_memory_pool().release_unused()  # workers stay for other operators
 
     return narrow.mapInArrow(run, schema)
 
@@ -70,6 +71,7 @@ def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield fn(batch)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from gritstone.llm._words import CHUNK, _powers, buffers, mix, per_row
+from gritstone.llm._words import _powers, buffers, mix, per_row
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _classes: list[np.ndarray] = []
 REMEMBERED = 300_000
+CHUNK = 1 << 20  # bytes; a token takes more room than a byte of text
 
 
 def default_tokenizer() -> str:

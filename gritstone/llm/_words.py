@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: Word bytes: all but space, tab, line feed, vertical tab, form feed and carriage return.
 PLAIN = np.ones(256, bool)
