@@ -6,10 +6,10 @@ before and behind a masked one, as embeddings, through one hidden layer, and giv
 vocabulary a probability. A document's score is the sum of the log-probabilities of all its tokens, each
 predicted from both sides.
 
-Training runs over all documents in rounds. In each round every task starts from the shared weights, goes
-through its own documents once, masking every ``mask``-th token (others each round), with Adagrad, and
-gives back its weights; Spark averages them, weighted by the masked tokens. Only weights, whose size is
-fixed, pass through the driver.
+Training runs over all documents in rounds, and the rounds together predict every token once. In each
+round every task starts from the shared weights, goes through its own documents, masking every ``mask``-th
+token of a text at a time, from each of the round's offsets, with Adagrad, and gives back its weights; Spark
+averages them, weighted by the masked tokens. Only weights, whose size is fixed, pass through the driver.
 
 Null and empty texts have no tokens: score 0, and no score for each token (null). Repeated rows count as
 often as they stand in the table. An empty table gives an empty result. Texts are trained on and scored
@@ -96,7 +96,9 @@ class Network:
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.embed[around].reshape(len(around), -1)
         h = np.tanh(x @ self.w1 + self.b1)
-        return x, h, np.clip(h @ self.w2 + self.b2, -30, 30)
+        z = h @ self.w2
+        z += self.b2
+        return x, h, np.clip(z, -30, 30, out=z)
 
     def log_probability(self, token: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Blocks stay in the processor's cache; biases are a row of the last product. Weights that let it overflow take the way of ``forward``, which clips."""
@@ -122,17 +124,17 @@ class Network:
         return out
 
     def learn(self, token: np.ndarray, around: np.ndarray, rate: float) -> None:
-        """One Adagrad step on the mean negative log-probability."""
+        """One Adagrad step on the mean negative log-probability; rows of ``p`` are divided by their sums in the products."""
         n = len(token)
-        x, h, z = self.forward(around)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), token] -= 1
-        p /= n
+        x, h, p = self.forward(around)
+        np.exp(p, out=p)
+        sums = p @ np.ones(self.size, np.float32)
+        p[np.arange(n), token] -= sums
+        share = 1 / (sums * n)
         grad = np.empty_like(self.flat)
-        grad[self.slices[4]] = p.sum(axis=0)
-        grad[self.slices[3]] = (h.T @ p).ravel()
-        dh = (p @ self.w2.T) * (1 - h * h)
+        grad[self.slices[4]] = share @ p
+        grad[self.slices[3]] = ((h * share[:, None]).T @ p).ravel()
+        dh = (p @ self.w2.T) * share[:, None] * (1 - h * h)
         grad[self.slices[2]] = dh.sum(axis=0)
         grad[self.slices[1]] = (x.T @ dh).ravel()
         dx = (dh @ self.w1.T).reshape(-1, self.width)
@@ -147,8 +149,8 @@ class Network:
         self.flat -= rate * grad / np.sqrt(self.squares)
 
 
-def train_round(docs: DataFrame, vocabulary: Vocabulary, shape: tuple[int, int, int], weights: np.ndarray | None, step: int, mask: int, rate: float, size: int, id_col: str, text_col: str) -> np.ndarray | None:
-    """One pass of every task over its documents; the averaged weights, None where there was no token."""
+def train_round(docs: DataFrame, vocabulary: Vocabulary, shape: tuple[int, int, int], weights: np.ndarray | None, offsets: range, mask: int, rate: float, size: int, id_col: str, text_col: str) -> np.ndarray | None:
+    """One pass of every task over its documents, for the tokens whose place in the text is one of ``offsets`` modulo ``mask``; the averaged weights, None where there was no token."""
     side, width, hidden = shape
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
@@ -158,10 +160,12 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, shape: tuple[int, int,
         for b in batches:
             for c in chunks(b.column(1), ALNUM, lower=True):
                 token, around = vocabulary.windows(c, side)
-                token, around = token[step % mask :: mask], around[step % mask :: mask]
-                for at in range(0, len(token), size):
-                    net.learn(token[at : at + size], around[at : at + size], rate)
-                seen += len(token)
+                place = (np.arange(len(token)) - np.repeat(c.ptr[:-1], c.n_words())) % mask
+                for offset in offsets:
+                    own = np.flatnonzero(place == offset)
+                    for at in range(0, len(own), size):
+                        net.learn(token[own[at : at + size]], around[own[at : at + size]], rate)
+                    seen += len(own)
         if seen:
             yield batch(part=np.arange(len(net.flat), dtype=np.int32), value=net.flat.astype(np.float64), seen=np.full(len(net.flat), seen))
 
@@ -184,9 +188,8 @@ def pseudo_likelihood(
     vocabulary = Vocabulary(words[by], by, buckets)
     weights = None
     for step in range(rounds):
-        weights = train_round(docs, vocabulary, (side, width, hidden), weights, step * (mask // max(1, rounds)), mask, rate, size, id_col, text_col)
-        if weights is None:
-            break
+        new = train_round(docs, vocabulary, (side, width, hidden), weights, range(step % mask, mask, rounds), mask, rate, size, id_col, text_col)
+        weights = weights if new is None else new
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         net = Network(vocabulary.size, side, width, hidden, weights)

@@ -340,6 +340,13 @@ def test_pseudo_likelihood(spark, empty):
     assert pseudo_likelihood.pseudo_likelihood(empty).count() == 0
 
 
+def test_pseudo_likelihood_trains_on_every_token(spark):
+    """Texts of eight words: each place of the text is predicted in training, so no word is unlikely."""
+    df = spark.createDataFrame([(k, "a b c d e f g h") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    row = pseudo_likelihood.pseudo_likelihood(df).first()
+    assert row["score_per_token"] > -1
+
+
 def test_network_probabilities_and_gradient():
     net = pseudo_likelihood.Network(20, 2, 4, 6)
     around = np.random.default_rng(1).integers(0, 21, (50, 4))
