@@ -1,10 +1,13 @@
 """LM scoring: masked pseudo-likelihood of a bidirectional window network, trained in numpy on the executors.
 
-Tokens are words as the vocabulary has them: the ``common`` most frequent words of the corpus (all
-documents are counted), and ``buckets`` classes by hash for all others. The network sees ``side`` tokens
-before and behind a masked one, as embeddings, through one hidden layer, and gives every token of the
-vocabulary a probability. A document's score is the sum of the log-probabilities of all its tokens, each
-predicted from both sides.
+Every word of the corpus has a probability of its own, in two levels: that of its class, from the network,
+times that of the word in its class, from the counts of all words. Each of the ``common`` most frequent words
+is a class of one, all others share ``buckets`` classes by hash. The network sees the classes of ``side`` words
+before and behind a masked one, as embeddings, through one hidden layer, and gives every class a probability.
+A document's score is the sum of the log-probabilities of all its words, each predicted from both sides.
+
+The table of counts grows with the corpus, so it stays in Spark: words of shared classes meet their counts in
+a join, and only their sum for each text comes back. Tasks get the classes alone.
 
 Training runs over all documents in rounds, and the rounds together predict every token once. In each
 round every task starts from the shared weights, goes through its own documents, masking every ``mask``-th
@@ -26,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm._spark import batch, map_texts
-from gritstone.llm._words import ALNUM, Chunk, chunks
+from gritstone.llm._spark import batch, map_texts, materialize
+from gritstone.llm._words import ALNUM, Chunk, chunks, per_row
 
 BLOCK = 512
 
@@ -42,8 +45,8 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.common) + self.buckets
 
-    def tokens(self, c: Chunk) -> np.ndarray:
-        h = c.word_hash()
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The classes of word hashes."""
         rest = len(self.common) + (h % np.uint64(self.buckets)).astype(np.int64)
         if not len(self.common):
             return rest
@@ -52,7 +55,7 @@ class Vocabulary:
 
     def windows(self, c: Chunk, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Each token, and those around it; ``size`` stands beyond the ends of the text."""
-        t = self.tokens(c)
+        t = self.of(c.word_hash())
         rows = c.rows()
         out = np.full((len(t), 2 * side), self.size, np.int64)
         for k in range(1, side + 1):
@@ -77,6 +80,38 @@ def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, run, "word long, n long", id_col, text_col).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often the words of each class occur; one where none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(vocabulary.size)
+        for b in batches:
+            sums += np.bincount(vocabulary.of(b.column(0).to_numpy().view(np.uint64)), b.column(1).to_numpy(), vocabulary.size)
+        yield batch(kind=np.arange(vocabulary.size), n=sums)
+
+    out = np.ones(vocabulary.size)
+    for r in counts.mapInArrow(run, "kind long, n double").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # a row for each class
+        out[r["kind"]] = max(r["n"], 1.0)
+    return out
+
+
+def in_class(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, text_col: str) -> DataFrame:
+    """key (of a row), own (sum of the logarithms of the counts of its words of shared classes) and m (how many these are), copies of a row together."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        key, words, keys = b.column(0).to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in chunks(b.column(1), ALNUM, lower=True):
+            h = c.word_hash()
+            shared = np.flatnonzero(vocabulary.of(h) >= len(vocabulary.common))
+            words.append(h[shared].view(np.int64))
+            keys.append(key[c.row + c.rows()[shared]])
+        return batch(key=np.concatenate(keys), word=np.concatenate(words))
+
+    each = map_texts(docs, run, "key long, word long", "key", text_col)
+    table = counts.select("word", F.log("n").alias("own")).hint("shuffle_hash")
+    return each.join(table, "word").groupBy("key").agg(F.sum("own").alias("own"), F.count("*").alias("m"))
+
+
 class Network:
     """Window embeddings, one hidden layer, softmax over the vocabulary."""
 
@@ -182,7 +217,8 @@ def pseudo_likelihood(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 448, buckets: int = 64, side: int = 2, width: int = 16, hidden: int = 32, rounds: int = 2, mask: int = 8, rate: float = 0.1, size: int = 512
 ) -> DataFrame:
     """One row for each document: doc_id, n_tokens, score (summed log-probabilities), score_per_token."""
-    top = count_words(docs, id_col, text_col).orderBy(F.desc("n"), "word").limit(common).toArrow()
+    counts = materialize(count_words(docs, id_col, text_col))
+    top = counts.orderBy(F.desc("n"), "word").limit(common).toArrow()
     words = top["word"].to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     by = np.argsort(words)
     vocabulary = Vocabulary(words[by], by, buckets)
@@ -191,15 +227,24 @@ def pseudo_likelihood(
         new = train_round(docs, vocabulary, (side, width, hidden), weights, range(step % mask, mask, rounds), mask, rate, size, id_col, text_col)
         weights = weights if new is None else new
 
+    share = -np.log(class_totals(counts, vocabulary))
+    share[: len(words)] = 0.0
+    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("key"))
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         net = Network(vocabulary.size, side, width, hidden, weights)
-        n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+        n, total, shared = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         for c in chunks(b.column(1), ALNUM, lower=True):
-            sums = np.concatenate([[0.0], np.cumsum(net.log_probability(*vocabulary.windows(c, side)).astype(np.float64))])
+            token, around = vocabulary.windows(c, side)
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probability(token, around).astype(np.float64) + share[token])])
             n.append(c.n_words())
             total.append(sums[c.ptr[1:]] - sums[c.ptr[:-1]])
+            shared.append(per_row(token >= len(words), c.ptr))
         n, total = np.concatenate(n), np.concatenate(total)
         total[n == 0] = 0.0
-        return batch(doc_id=b.column(0), n_tokens=n, score=total, score_per_token=pa.array(total / np.maximum(n, 1), mask=n == 0))
+        return batch(doc_id=b.column(0), key=b.column(2), n_tokens=n, total=total, shared=np.concatenate(shared))
 
-    return map_texts(docs, run, "doc_id long, n_tokens long, score double, score_per_token double", id_col, text_col)
+    scored = map_texts(keyed, run, "doc_id long, key long, n_tokens long, total double, shared long", extra=("key",))
+    # copies of a row share a key: each has its part of their sum
+    whole = scored.join(in_class(keyed, counts, vocabulary, "text"), "key", "left").withColumn("score", F.col("total") + F.coalesce(F.col("own") * F.col("shared") / F.col("m"), F.lit(0.0)))
+    return whole.select("doc_id", "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("score_per_token"))

@@ -347,6 +347,26 @@ def test_pseudo_likelihood_trains_on_every_token(spark):
     assert row["score_per_token"] > -1
 
 
+def test_pseudo_likelihood_tells_rare_words_apart(spark):
+    """Texts that differ in one word of a shared class differ by the logarithm of its count; copies of a row, and other texts under its id, change nothing."""
+    text = lambda w: f"the cat {w} the cat"
+    rows = [(k, text("often")) for k in range(30)] + [(40, text("rare")), (40, text("rare")), (40, text("odd")), (None, text("odd")), (50, None), (51, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pseudo_likelihood.pseudo_likelihood(df, common=2, buckets=1).collect()
+    assert len(got) == len(rows)
+    often = next(r["score"] for r in got if r["doc_id"] == 7)
+    assert np.allclose([r["score"] for r in got if r["doc_id"] in (40, None)], often + np.log(2 / 30), atol=1e-4)
+    assert [r["score"] for r in got if r["doc_id"] in (50, 51)] == [0, 0]
+
+
+def test_pseudo_likelihood_words_of_a_class_sum_to_one(spark):
+    """The words of one class, each in the same context, have the probability of their class together."""
+    words = [f"w{k}" for k in range(12) for _ in range(k + 1)]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    score = {words[r["doc_id"]]: r["score"] for r in pseudo_likelihood.pseudo_likelihood(df, common=0, buckets=1).collect()}
+    assert np.isclose(sum(np.exp(s) for s in score.values()), 1, atol=1e-4)
+
+
 def test_network_probabilities_and_gradient():
     net = pseudo_likelihood.Network(20, 2, 4, 6)
     around = np.random.default_rng(1).integers(0, 21, (50, 4))
