@@ -248,3 +248,20 @@ def test_block_summary_and_functions(spark):
     reach = G.reachable(edges, entry.select("code_id", "node")).select("code_id", F.lit("aa").alias("entry"), "node")
     row = A.function_rollup(reach, rows, blocks.filter("kind = 'Body'")).first()
     assert (row["entry"], row["read_only"], row["payable"]) == ("aa", True, False)
+
+
+def test_near_pairs_of_large_groups(spark):
+    """Every gram links the texts that have it: all pairs up to the bound, pairs with the smallest id beyond it."""
+    text = {k: "one text that nine documents have, letter for letter" for k in (3, 4, 5, 6, 7, 8, 9, 10, 11)}
+    text |= {k: f"{k} {'z' * k} begins apart; but this passage of theirs is in seven texts" for k in range(20, 27)}
+    text |= {30: "a passage that two texts alone have, and no other", 31: "> a passage that two texts alone have, and no other", 40: "short"}
+    having = {}
+    for k, t in text.items():
+        for i in range(len(t) - 31):
+            having.setdefault(t[i : i + 32], set()).add(k)
+    want = set()
+    for ids in having.values():
+        want |= {(a, b) for a in ids for b in ids if a < b and (len(ids) <= 5 or a == min(ids))}
+    assert (3, 11) in want and (20, 26) in want and (30, 31) in want
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {tuple(r) for r in D.near_pairs(df).collect()} == want
