@@ -21,7 +21,7 @@ SEED = "5eed" * 16
     select doc_id, h, length(h) as n, case when length(h) % 2 = 1 then '0' || h else h end as lpad_hex from (select doc_id, hex(text[1:50]) || case when doc_id % 2 = 0 then '' else 'a' end as h from documents))"""
 )
 def s2_normalize_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digits = F.concat(F.hex(F.encode(F.substring("text", 1, 50), "UTF-8")), F.when(F.col("doc_id") % 2 == 0, "").otherwise("a"))
+    digits = F.concat(F.hex(F.encode("text", "UTF-8")), F.when(F.col("doc_id") % 2 == 0, "").otherwise("a"))
     spaced = F.concat(F.lit(" 0x"), F.regexp_replace(digits, "(.{7})", "$1\n\t "))
     docs = load(spark, sf_dir, "documents").withColumn("spaced", spaced)
     return docs.select("doc_id", S.normalize_hex(F.col("spaced")).alias("normalized"), S.normalize_hex(F.col("spaced"), strict=False).alias("cli"))

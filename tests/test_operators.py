@@ -265,3 +265,15 @@ def test_near_pairs_of_large_groups(spark):
     assert (3, 11) in want and (20, 26) in want and (30, 31) in want
     df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
     assert {tuple(r) for r in D.near_pairs(df).collect()} == want
+
+
+def test_hex_of_whole_texts(spark, tmp_path):
+    from gritstone.plans import core
+
+    text = {k: "ab é漢 1" * k for k in (0, 1, 7, 8, 40, 41)}
+    spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in core.s2_normalize_hex(spark, str(tmp_path)).collect():
+        odd = r["doc_id"] % 2 == 1
+        digits = text[r["doc_id"]].encode().hex() + ("a" if odd else "")
+        assert (r["normalized"] or "").lower() == ("0" if odd else "") + digits
+        assert (r["cli"] is None) if odd else (r["cli"] or "").lower() == digits
