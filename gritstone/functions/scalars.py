@@ -110,7 +110,7 @@ def mask_literals(df: DataFrame, col: str, detector: str, seed: str, protected:
     """Text that matches ``detector`` becomes hash digits of the same length; all else, and protected rows, stay."""
     parts = F.split(F.col(col), detector)
     hits = F.regexp_extract_all(F.col(col), F.lit(f"({detector})"))
-    masked = F.transform(hits, lambda x: F.substring(F.repeat(F.sha2(F.concat(F.lit(seed), x), 256), 8), F.lit(1), F.length(x)))
+    masked = F.transform(hits, lambda x: F.substring(F.repeat(F.sha2(F.concat(F.lit(seed), x), 256), F.ceil(F.length(x) / 64).cast("int")), F.lit(1), F.length(x)))
     woven = F.array_join(F.flatten(F.zip_with(parts, masked, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
     return df.withColumn(col, woven if protected is None else F.when(protected, F.col(col)).otherwise(woven))
 

@@ -277,3 +277,10 @@ def test_hex_of_whole_texts(spark, tmp_path):
         digits = text[r["doc_id"]].encode().hex() + ("a" if odd else "")
         assert (r["normalized"] or "").lower() == ("0" if odd else "") + digits
         assert (r["cli"] is None) if odd else (r["cli"] or "").lower() == digits
+
+
+def test_masking_keeps_the_length_of_long_matches(spark):
+    texts = [f"to {'a' * n}@b.c now" for n in (1, 59, 60, 61, 508, 509, 2000)]
+    rows = S.mask_literals(spark.createDataFrame([(t,) for t in texts], "text string"), "text", r"[a-z]+@[a-z.]+", "s").collect()
+    assert [len(r["text"]) for r in rows] == [len(t) for t in texts]
+    assert all(r["text"].startswith("to ") and r["text"].endswith(" now") and "@" not in r["text"] for r in rows)
