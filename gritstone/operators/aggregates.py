@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gritstone.functions.scalars import windows_of
+from gritstone.functions.windows import Characters, over_texts, unique_pairs
+from gritstone.sources.scratch import cut_lineage
 
 
 def unknown_stats(instr: DataFrame, unknown: Column, kind: str, by: Sequence[str] = ()) -> DataFrame:
@@ -44,21 +48,40 @@ def top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:
 def ngram_diversity(df: DataFrame, col: str, ns: Sequence[int] = (2, 4, 8), by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """A4: for each n, windows of n characters in all texts, distinct ones, and these in percent (0 without windows).
 
-    The distinct windows of a text are taken first, so that a task hands on each at most once a text.
+    One pass over the texts gives, for each slice of them, how many windows there are and the distinct ones as
+    64-bit hashes. The distinct ones meet in one shuffle for all n together.
     """
-    out = None
-    for n in ns:
-        size = F.greatest(F.length(col) - n + 1, F.lit(0)) if n > 0 else F.lit(0)
-        grams = F.array_distinct(windows_of(F.col(col), n)) if n > 0 else F.lit(None).cast("array<string>")
-        totals = df.groupBy(*by).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("windows"))
-        each = df.filter(F.length(col) >= max(n, 1)).select(*by, F.explode(grams).alias("gram"))
-        count = (F.approx_count_distinct("gram") if approx else F.count("*")).alias("distinct_windows")
-        kinds = (each if approx else each.distinct()).groupBy(*by).agg(count)
-        both = totals.join(kinds, list(by), "left") if by else totals.crossJoin(kinds)  # one row each
-        one = both.select(*by, F.lit(n).alias("n"), "windows", F.coalesce("distinct_windows", F.lit(0)).alias("distinct_windows"))
-        out = one if out is None else out.unionByName(one)
-    share = F.when(F.col("windows") == 0, F.lit(0.0)).otherwise(F.col("distinct_windows") * 100.0 / F.col("windows"))
-    return out.withColumn("diversity", share)
+    names, sizes = list(by), [n for n in ns if n > 0]
+    groups = df.select(F.col(col).alias("_text"), F.struct(F.lit(0).alias("_all"), *by).alias("_group"))
+    coded = groups.select("_text", F.to_json("_group").alias("_group"))  # one string for a group, nulls left out
+
+    def run(b: pa.RecordBatch, c: Characters) -> pa.RecordBatch:
+        group = b.column(1).dictionary_encode()
+        code = group.indices.to_numpy()
+        out = []
+        for n in sizes:
+            at, gram = c.windows(n)
+            own = code[c.row[at]]
+            total = np.bincount(own, minlength=len(group.dictionary))
+            first = unique_pairs(own, gram)
+            kinds = np.arange(len(total))
+            out.append((np.concatenate([kinds, own[first]]), np.full(len(total) + len(first), n), np.concatenate([total, np.zeros(len(first), np.int64)]), gram[first].view(np.int64), len(total)))
+        code, size, windows = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(3))
+        grams = pa.array([], pa.int64()) if not out else pa.concat_arrays([y for x in out for y in (pa.nulls(x[4], pa.int64()), pa.array(x[3]))])
+        return pa.RecordBatch.from_arrays([group.dictionary.take(pa.array(code)), pa.array(size, pa.int32()), pa.array(windows, pa.int64()), grams], ["_group", "n", "windows", "gram"])
+
+    found = cut_lineage(over_texts(coded, run, "_group string, n int, windows long, gram long", 0))
+    totals = found.filter("gram is null").groupBy("_group", "n").agg(F.sum("windows").alias("windows"))
+    if approx:
+        kinds = found.filter("gram is not null").groupBy("_group", "n").agg(F.approx_count_distinct("gram").alias("distinct_windows"))
+    else:
+        kinds = found.filter("gram is not null").select("_group", "n", "gram").distinct().groupBy("_group", "n").agg(F.count("*").alias("distinct_windows"))
+    every = coded.select("_group").distinct() if by else df.sparkSession.range(1).select(F.to_json(F.struct(F.lit(0).alias("_all"))).alias("_group"))
+    every = every.select("_group", F.explode(F.array(*map(F.lit, ns))).alias("n"))
+    both = every.join(totals, ["_group", "n"], "left").join(kinds, ["_group", "n"], "left")
+    values = F.from_json("_group", StructType([StructField("_all", IntegerType()), *(df.schema[c] for c in names)]))
+    one = both.withColumn("_g", values).select(*(F.col("_g")[c].alias(c) for c in names), "n", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("distinct_windows", F.lit(0)).alias("distinct_windows"))
+    return one.withColumn("diversity", F.when(F.col("windows") == 0, F.lit(0.0)).otherwise(F.col("distinct_windows") * 100.0 / F.col("windows")))
 
 
 def min_avg_max(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

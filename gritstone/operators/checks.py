@@ -7,14 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gritstone.operators.sets import signed_counts
 from gritstone.functions.scalars import deploy_cost, payload_cost, pct_increase
 
 
 def tables_equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
-    """V1: only_a, only_b (rows by multiplicity) and equivalent."""
-    side = lambda x, n: x.select(F.lit(n).alias("side"))
-    both = side(a.exceptAll(b), 0).unionByName(side(b.exceptAll(a), 1))
-    return both.agg(F.count_if(F.col("side") == 0).alias("only_a"), F.count_if(F.col("side") == 1).alias("only_b")).withColumn("equivalent", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+    """V1: only_a, only_b (rows by multiplicity) and equivalent. Both tables meet in one shuffle."""
+    over = signed_counts(a, b)
+    more = lambda x: F.coalesce(F.sum(F.greatest(x, F.lit(0))), F.lit(0))
+    return over.agg(more(F.col("_over")).alias("only_a"), more(-F.col("_over")).alias("only_b")).withColumn("equivalent", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
 def first_divergence(a: DataFrame, b: DataFrame, key: str, step: str, payload: Sequence[str]) -> DataFrame:

@@ -6,26 +6,16 @@ not grow and a lost executor costs one round.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import potency
 from gritstone.operators.aggregates import graph_size
+from gritstone.sources.scratch import cut_lineage
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("gritstone.graph.scratch", None) or tempfile.mkdtemp(prefix="spark-gritstone-")
-        spark.conf.set("gritstone.graph.scratch", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MOST_TABLES = 16
 
 
 def build_edges(blocks: DataFrame) -> DataFrame:
@@ -52,16 +42,22 @@ def build_edges(blocks: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, roots: DataFrame, by: str = "code_id", node: str = "node", max_rounds: int = 10_000) -> DataFrame:
-    """(by, root, node): everything reachable from each root, itself included; cycles end by themselves."""
-    step = edges.select(by, F.col("src").alias("_at"), F.col("dst").alias(node)).distinct()
-    seen = cut_lineage(roots.select(by, F.col(node).alias("root"), F.col(node)).distinct())
-    frontier = seen
+    """(by, root, node): everything reachable from each root, itself included; cycles end by themselves.
+
+    A round writes what it finds first; what was found before is read, not written again, but for every
+    ``MOST_TABLES`` rounds.
+    """
+    step = cut_lineage(edges.select(by, F.col("src").alias("_at"), F.col("dst").alias(node)).distinct())
+    rounds = [cut_lineage(roots.select(by, F.col(node).alias("root"), F.col(node)).distinct())]
     for _ in range(max_rounds):
-        further = frontier.withColumnRenamed(node, "_at").join(step, [by, "_at"]).select(by, "root", node).distinct()
-        frontier = cut_lineage(further.join(seen, [by, "root", node], "left_anti"))
-        if frontier.isEmpty():
+        seen = functools.reduce(DataFrame.unionByName, rounds)
+        further = rounds[-1].withColumnRenamed(node, "_at").join(step, [by, "_at"]).select(by, "root", node).distinct()
+        new = cut_lineage(further.join(seen, [by, "root", node], "left_anti"))
+        if new.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+        rounds.append(new)
+        if len(rounds) == MOST_TABLES:  # few files a round, and a short plan
+            rounds = [cut_lineage(functools.reduce(DataFrame.unionByName, rounds[:-1])), new]
     raise RuntimeError(f"not closed after {max_rounds} rounds")
 
 

@@ -57,8 +57,9 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, payload: Sequenc
 
 def edge_changes(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct rows of ``key`` that only one side has: change (removed, added)."""
-    x, y = before.select(*key).distinct(), after.select(*key).distinct()
-    return x.exceptAll(y).withColumn("change", F.lit("removed")).unionByName(y.exceptAll(x).withColumn("change", F.lit("added")))
+    both = before.select(*key, F.lit(1).alias("_x"), F.lit(0).alias("_y")).unionByName(after.select(*key, F.lit(0).alias("_x"), F.lit(1).alias("_y")))
+    one = both.groupBy(*key).agg(F.max("_x").alias("_x"), F.max("_y").alias("_y")).filter("_x <> _y")
+    return one.select(*key, F.when(F.col("_x") == 1, "removed").otherwise("added").alias("change"))
 
 
 def remap_keys(df: DataFrame, mapping: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import trailer_bounds
+from gritstone.functions.windows import SLICE
 from gritstone.operators.sequences import running_depth, segment
 
 #: Operation names by opcode.
@@ -37,14 +39,14 @@ def mnemonics() -> list[str]:
     return out
 
 
-def starts(code: np.ndarray) -> np.ndarray:
-    """Where the instructions of a linear sweep begin."""
-    step = np.where((code >= 0x60) & (code <= 0x7F), code.astype(np.int64) - 0x5E, 1)
-    out, at, n = [], 0, len(code)
-    step = step.tolist()
-    while at < n:
-        out.append(at)
-        at += step[at]
+def starts(step: list[int], ends: list[int]) -> np.ndarray:
+    """Where the instructions of linear sweeps begin: codes end at ``ends`` in a row of bytes whose instructions take ``step`` bytes."""
+    out, at = [], 0
+    for end in ends:
+        while at < end:
+            out.append(at)
+            at += step[at]
+        at = end
     return np.array(out, np.int64)
 
 
@@ -52,28 +54,42 @@ def decode_instructions(codes: DataFrame, id_col: str = "code_id", code_col: str
     """code_id, idx, pc, opcode, mnemonic, imm, size by a linear sweep; no shuffle.
 
     PUSHn takes the next n bytes (imm, lower-case hex); one cut off by the end stops the sweep. Null and
-    empty codes give one row with idx null and mnemonic EMPTY.
+    empty codes give one row with idx null and mnemonic EMPTY. The codes of a batch are decoded together, about
+    1 MB of them (one at least) at a time.
     """
-    names = np.array(mnemonics(), object)
+    names = pa.array(mnemonics())
+
+    def decode(ids: pa.Array, codes: pa.Array) -> pa.RecordBatch:
+        size_of = pc.fill_null(pc.binary_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = b"".join(x for x in codes.to_pylist() if x)
+        data, ends = np.frombuffer(raw, np.uint8), np.cumsum(size_of)
+        is_push = (data >= 0x60) & (data <= 0x7F)
+        step = np.where(is_push, data.astype(np.int64) - 0x5E, 1)
+        at = starts(step.tolist(), ends.tolist())
+        row = np.searchsorted(ends, at, "right")
+        whole = at + step[at] <= ends[row] if len(at) else np.zeros(0, bool)
+        at, row = at[whole], row[whole]
+        begins = ends - size_of
+        first = np.searchsorted(row, np.arange(len(ends)))
+        digits, push = raw.hex(), is_push[at]
+        imm: list[str | None] = [None] * len(at)
+        where = np.flatnonzero(push)
+        for k, a, n in zip(where.tolist(), at[where].tolist(), step[at[where]].tolist(), strict=True):
+            imm[k] = digits[2 * a + 2 : 2 * (a + n)]
+        none = np.flatnonzero(size_of == 0)
+        blank = lambda kind: pa.nulls(len(none), kind)
+        one = [ids.take(pa.array(row)), pa.array(np.arange(len(at)) - first[row], pa.int32()), pa.array(at - begins[row], pa.int32()), pa.array(data[at], pa.int16()), names.take(pa.array(data[at].astype(np.int64))), pa.array(imm, pa.string()), pa.array(step[at], pa.int32())]
+        two = [ids.take(pa.array(none)), blank(pa.int32()), blank(pa.int32()), blank(pa.int16()), pa.array(["EMPTY"] * len(none), pa.string()), blank(pa.string()), pa.array(np.zeros(len(none)), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(one, two, strict=True)], schema=SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for code_id, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not code:
-                    yield pa.RecordBatch.from_pydict({"code_id": [code_id], "idx": [None], "pc": [None], "opcode": [None], "mnemonic": ["EMPTY"], "imm": [None], "size": [0]}, SCHEMA)
-                    continue
-                raw = np.frombuffer(code, np.uint8)
-                pc = starts(raw)
-                op = raw[pc]
-                push = (op >= 0x60) & (op <= 0x7F)
-                size = np.where(push, op.astype(np.int64) - 0x5E, 1)
-                if pc[-1] + size[-1] > len(raw):
-                    pc, op, push, size = pc[:-1], op[:-1], push[:-1], size[:-1]
-                digits = code.hex()
-                imm = [digits[2 * p + 2 : 2 * (p + s)] if w else None for p, s, w in zip(pc.tolist(), size.tolist(), push.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([code_id] * len(pc), pa.int64()), pa.array(np.arange(len(pc)), pa.int32()), pa.array(pc, pa.int32()), pa.array(op, pa.int16()), pa.array(names[op].tolist(), pa.string()), pa.array(imm, pa.string()), pa.array(size, pa.int32())], schema=SCHEMA
-                )
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < b.num_rows:
+                stop = max(row + 1, int(np.searchsorted(size, (int(size[row - 1]) if row else 0) + SLICE, "right")))
+                yield decode(b.column(0).slice(row, stop - row), b.column(1).slice(row, stop - row))
+                row = stop
 
     return codes.select(F.col(id_col).cast("long").alias("code_id"), F.col(code_col).alias("code")).mapInArrow(run, "code_id long, idx int, pc int, opcode short, mnemonic string, imm string, size int")
 

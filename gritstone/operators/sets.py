@@ -20,9 +20,17 @@ def head(df: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame, DataFr
     return df.orderBy(*order).limit(n), df.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
 
 
+def signed_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows that do not stand as often in both tables, and ``_over``: how often more in ``a`` (negative: in ``b``). One aggregation of both."""
+    both = a.withColumn("_over", F.lit(1)).unionByName(b.withColumn("_over", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("_over").alias("_over")).filter("_over <> 0")
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """O3: rows, counted as often as they stand there, that one side has more of: side (a, b)."""
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+    over = signed_counts(a, b)
+    times = F.sequence(F.lit(1), F.abs("_over"))
+    return over.withColumn("side", F.when(F.col("_over") > 0, "a").otherwise("b")).withColumn("_time", F.explode(times)).drop("_over", "_time")
 
 
 def dedup_keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ SEED = "5eed" * 16
 
 @query(
     """select doc_id, lpad_hex as normalized, case when n % 2 = 1 then null else h end as cli from (
-    select doc_id, h, length(h) as n, case when length(h) % 2 = 1 then '0' || h else h end as lpad_hex from (select doc_id, hex(text[1:50]) || case when doc_id % 2 = 0 then '' else 'a' end as h from documents))"""
+    select doc_id, h, length(h) as n, case when length(h) % 2 = 1 then '0' || h else h end as lpad_hex from (select doc_id, hex(text) || case when doc_id % 2 = 0 then '' else 'a' end as h from documents))"""
 )
 def s2_normalize_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.concat(F.hex(F.encode("text", "UTF-8")), F.when(F.col("doc_id") % 2 == 0, "").otherwise("a"))
@@ -119,8 +119,8 @@ def p11_block_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select doc_id as code_id, string_agg(sha256(doc_id || ':' || i), '' order by i) as h from documents, range(16) t(i) group by doc_id), n as (select code_id, ('0x' || right(h, 4))::int as n from c)
-select code_id, case when n <= 510 then 510 - n end as trailer_offset, case when n <= 510 then n + 2 end as trailer_len from n"""
+    """with n as (select doc_id as code_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).{1,32}'), lambda x: sha256(x)), '') as h from documents), m as (select code_id, length(h) // 2 as size, case when h <> '' then ('0x' || right(h, 4))::int end as n from n)
+select code_id, case when n <= size - 2 then size - 2 - n end::int as trailer_offset, case when n <= size - 2 then n + 2 end as trailer_len from m"""
 )
 def p13_trailer_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.sources.tables import codes
@@ -137,7 +137,7 @@ def p14_parse_format_be(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""with d as (select doc_id, lang, text, string_split_regex(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+|[0-9]{16}') as p, regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+|[0-9]{16}') as h from documents)
-select doc_id, case when lang = 'es' then text else array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(substr(repeat(sha256('k' || h[i]), 8), 1, length(h[i])), '')), '') end as text from d"""
+select doc_id, case when lang = 'es' then text else array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(substr(repeat(sha256('k' || h[i]), ceil(length(h[i]) / 64.0)::int), 1, length(h[i])), '')), '') end as text from d"""
 )
 def p18_mask_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")

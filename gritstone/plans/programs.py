@@ -12,7 +12,8 @@ from gritstone.operators import joins as J
 from gritstone.operators import parsing as U
 from gritstone.operators import sequences as W
 from gritstone.plans.registry import query
-from gritstone.sources.tables import codes, load
+from gritstone.sources.scratch import cut_lineage
+from gritstone.sources.tables import codes, load, pieces
 
 #: What operations cost; PUSHn, DUPn and SWAPn cost 3, others 1.
 GAS = {
@@ -21,10 +22,12 @@ GAS = {
 }
 
 NAMES = ", ".join(f"({k}, '{name}')" for k, name in enumerate(U.mnemonics()))
-INSTR = f"""codes as (select doc_id as code_id, string_agg(sha256(doc_id || ':' || i), '' order by i) as h from documents, range(16) t(i) group by doc_id), names(op, mnemonic) as (values {NAMES}),
-bytes as materialized (select code_id, p::int as pc, ('0x' || substr(h, 2 * p + 1, 2))::int as op, h from codes, range(512) t(p)), sized as materialized (select code_id, pc, op, case when op between 96 and 127 then op - 94 else 1 end as size from bytes),
-walk as (select code_id, 0 as idx, 0 as pc from codes union all select w.code_id, w.idx + 1, w.pc + s.size from walk w join sized s on s.code_id = w.code_id and s.pc = w.pc where w.pc + s.size < 512),
-instr as materialized (select w.code_id, idx, w.pc, s.op::smallint as opcode, mnemonic, case when size > 1 then substr(h, 2 * w.pc + 3, 2 * size - 2) end as imm, size from walk w join sized s on s.code_id = w.code_id and s.pc = w.pc join names on names.op = s.op join codes c on c.code_id = w.code_id where w.pc + size <= 512)"""
+CODES = "codes as materialized (select doc_id as code_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).{1,32}'), lambda x: sha256(x)), '') as h from documents)"
+#: Matches of this pattern, one after the other, are the instructions of a linear sweep over hex digits; what a cut-off PUSH leaves is the last one.
+ONE = "[0-589a-f].|" + "|".join(f"{k:02x}.{{{2 * (k - 95)}}}" for k in range(0x60, 0x80)) + "|.+"
+INSTR = f"""{CODES}, names(op, mnemonic) as (values {NAMES}), tokens as (select code_id, unnest(t) as token, unnest(range(len(t))) as idx from (select code_id, regexp_extract_all(h, '{ONE}') as t from codes)),
+sized as (select code_id, idx, token, ('0x' || token[1:2])::int as op, length(token) // 2 as size from tokens),
+instr as materialized (select code_id, idx, (sum(size) over (partition by code_id order by idx) - size)::bigint as pc, op::smallint as opcode, mnemonic, case when size > 1 then token[3:] end as imm, size from sized join names using (op) where size = case when op between 96 and 127 then op - 94 else 1 end)"""
 BLOCKS = f"""{INSTR}, mk as (select *, (idx = 0 or mnemonic = 'JUMPDEST' or coalesce(lag(mnemonic) over (partition by code_id order by idx) in ('STOP', 'RETURN', 'REVERT', 'SELFDESTRUCT', 'INVALID', 'JUMP', 'JUMPI'), false))::int as new from instr),
 ib as materialized (select *, (sum(new) over (partition by code_id order by idx) + 1)::int as node from mk),
 blocks as materialized (select code_id, node, min(pc) as start_pc, max(pc) as end_pc, count(*)::int as n_instr, arg_max(mnemonic, idx) as last_op, arg_min(mnemonic, idx) as first_op from ib group by code_id, node),
@@ -35,32 +38,33 @@ case when v1 is not null then v1 when o1 = 'ADD' and v2 is not null and v3 is no
 
 
 def program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """codes, instructions, blocks with control, instructions with nodes, jumps."""
+    """codes, instructions, blocks with control, instructions with nodes, jumps; decoded once, as several uses read them."""
     c = codes(spark, sf_dir)
-    instr = U.decode_instructions(c)
+    instr = cut_lineage(U.decode_instructions(c))
     blocks, rows = U.block_table(instr)
+    blocks, rows = cut_lineage(blocks), cut_lineage(rows)
     jumps = J.resolve_targets(instr, blocks)
     return c, instr, U.with_control(blocks, jumps, rows), rows, jumps
 
 
-@query(f"with recursive {INSTR} select code_id, idx::int as idx, pc::int as pc, opcode, mnemonic, imm, size::int as size from instr")
+@query(f"with {INSTR} select code_id, idx::int as idx, pc::int as pc, opcode, mnemonic, imm, size::int as size from instr union all select code_id, null, null, null, 'EMPTY', null, 0 from codes where coalesce(h, '') = ''")
 def u1_decode_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.decode_instructions(codes(spark, sf_dir))
 
 
-@query(f"with recursive {INSTR} select code_id, string_agg(lpad(lower(to_hex(opcode)), 2, '0') || coalesce(imm, ''), '' order by idx) as encoded, true as ok, 0::bigint as bad_immediates from instr group by code_id")
+@query(f"with {INSTR} select code_id, string_agg(lpad(lower(to_hex(opcode)), 2, '0') || coalesce(imm, ''), '' order by idx) as encoded, true as ok, 0::bigint as bad_immediates from instr group by code_id")
 def u2_encode_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = codes(spark, sf_dir)
     return U.encode_check(U.decode_instructions(c), c)
 
 
-@query(f"with recursive {BLOCKS} select j.code_id, idx::int as idx, op, form, value, b.node as target from jumps j left join blocks b on b.code_id = j.code_id and b.start_pc = j.value")
+@query(f"with {BLOCKS} select j.code_id, idx::int as idx, op, form, value, b.node as target from jumps j left join blocks b on b.code_id = j.code_id and b.start_pc = j.value")
 def j2_resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(spark, sf_dir)[4]
 
 
 @query(
-    f"""with recursive {BLOCKS}, ctl as (select b.*, t.node as target, coalesce(lead(b.node) over (partition by b.code_id order by b.start_pc), 1) as nxt, row_number() over (partition by b.code_id order by b.start_pc) = 1 as first from blocks b left join jumps j on j.code_id = b.code_id and j.node = b.node left join blocks t on t.code_id = j.code_id and t.start_pc = j.value),
+    f"""with {BLOCKS}, ctl as (select b.*, t.node as target, coalesce(lead(b.node) over (partition by b.code_id order by b.start_pc), 1) as nxt, row_number() over (partition by b.code_id order by b.start_pc) = 1 as first from blocks b left join jumps j on j.code_id = b.code_id and j.node = b.node left join blocks t on t.code_id = j.code_id and t.start_pc = j.value),
 tag as (select *, case when last_op in ('STOP', 'RETURN', 'REVERT', 'SELFDESTRUCT', 'INVALID') then 'T' when last_op in ('JUMP', 'JUMPI') and target is null then 'U' when last_op = 'JUMP' then 'J' when last_op = 'JUMPI' then 'B' else 'F' end as tag from ctl)
 select code_id, 0 as src, node as dst, 'Fallthrough' as kind from tag where first union all select code_id, node, 1, 'Fallthrough' from tag where tag = 'T' union all select code_id, node, nxt, 'Fallthrough' from tag where tag = 'F'
 union all select code_id, node, target, 'Jump' from tag where tag = 'J' union all select code_id, node, target, 'BranchTrue' from tag where tag = 'B' union all select code_id, node, nxt, 'BranchFalse' from tag where tag = 'B'"""
@@ -70,16 +74,16 @@ def g1_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs of users: from each dear event's type to the type of the next event; code_id, src, dst (numbers of types)."""
+    """Graphs of users: from each event's type to the type of the next event; code_id, src, dst (numbers of types)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     number = F.array_position(F.array(*map(F.lit, ("signup", "view", "click", "purchase", "error"))), F.col("event_type")).cast("int")
-    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("code_id"), number.alias("src"), F.lead(number).over(w).alias("dst"), "value")
-    return rows.filter("dst is not null and value > 80 and src <> dst").select("code_id", "src", "dst").distinct()
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("code_id"), number.alias("src"), F.lead(number).over(w).alias("dst"))
+    return rows.filter("dst is not null and src <> dst").select("code_id", "src", "dst").distinct()
 
 
-TRANSITIONS = "t as (select user_id as code_id, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type)::int as src, lead(list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type)::int) over (partition by user_id order by ts, event_id) as dst, value from events), e as (select distinct code_id, src, dst from t where dst is not null and value > 80 and src <> dst)"
+TRANSITIONS = "t as (select user_id as code_id, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type)::int as src, lead(list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type)::int) over (partition by user_id order by ts, event_id) as dst from events), e as (select distinct code_id, src, dst from t where dst is not null and src <> dst)"
 
 
 @query(f"with recursive {TRANSITIONS}, r as (select distinct code_id, 1 as root, 1 as node from e union select r.code_id, r.root, e.dst from r join e on e.code_id = r.code_id and e.src = r.node) select * from r")
@@ -110,12 +114,12 @@ def g4_dominator_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g5_graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _, blocks, _, _ = program(spark, sf_dir)
-    blocks = G.cut_lineage(blocks)
-    return G.graph_metrics(c, blocks, G.cut_lineage(G.build_edges(blocks)))
+    blocks = cut_lineage(blocks)
+    return G.graph_metrics(c, blocks, cut_lineage(G.build_edges(blocks)))
 
 
 @query(
-    f"""with recursive {BLOCKS}, dp as (select code_id, node, idx, case when mnemonic like 'PUSH%' or mnemonic like 'DUP%' then 1 when mnemonic = 'POP' then -1 else 0 end as d from ib), sm as (select *, sum(d) over (partition by code_id, node order by idx) as t from dp),
+    f"""with {BLOCKS}, dp as (select code_id, node, idx, case when mnemonic like 'PUSH%' or mnemonic like 'DUP%' then 1 when mnemonic = 'POP' then -1 else 0 end as d from ib), sm as (select *, sum(d) over (partition by code_id, node order by idx) as t from dp),
 fl as (select *, t - least(0, min(t) over (partition by code_id, node order by idx)) as depth from sm) select code_id, node, coalesce(max(depth) filter (d > 0), 0)::int as max_stack from fl group by code_id, node"""
 )
 def w2_max_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,27 +127,27 @@ def w2_max_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.filter("kind = 'Body'").select("code_id", "node", "max_stack")
 
 
-@query(f"with recursive {INSTR} select code_id, count(*) as total, count(*) filter (mnemonic = 'UNKNOWN') as unknown, count(distinct case when mnemonic = 'UNKNOWN' then opcode end) as unknown_kinds from instr group by code_id")
+@query(f"with {INSTR} select code_id, count(*) as total, count(*) filter (mnemonic = 'UNKNOWN') as unknown, count(distinct case when mnemonic = 'UNKNOWN' then opcode end) as unknown_kinds from instr group by code_id")
 def p2_unknown_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.unknown_stats(U.decode_instructions(codes(spark, sf_dir)), F.col("mnemonic") == "UNKNOWN", "opcode", ["code_id"])
 
 
-@query(f"with recursive {INSTR} select code_id, bool_or(mnemonic = 'DELEGATECALL') as is_proxy, bool_or(mnemonic = 'DELEGATECALL') as is_upgradeable, bool_or(mnemonic = 'CALLER') as owner_control, bool_or(g) as guarded from (select *, coalesce(mnemonic = 'SLOAD' and lead(mnemonic) over w = 'ISZERO' and lead(mnemonic, 2) over w = 'JUMPI', false) as g from instr window w as (partition by code_id order by idx)) group by code_id")
+@query(f"with {INSTR} select code_id, bool_or(mnemonic = 'DELEGATECALL') as is_proxy, bool_or(mnemonic = 'DELEGATECALL') as is_upgradeable, bool_or(mnemonic = 'CALLER') as owner_control, bool_or(g) as guarded from (select *, coalesce(mnemonic = 'SLOAD' and lead(mnemonic) over w = 'ISZERO' and lead(mnemonic, 2) over w = 'JUMPI', false) as g from instr window w as (partition by code_id order by idx)) group by code_id")
 def a10_property_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.col("mnemonic")
     rows = W.match_sequence(U.decode_instructions(codes(spark, sf_dir)), ["code_id"], ["idx"], [op == "SLOAD", op == "ISZERO", op == "JUMPI"], "guard")
     return A.property_flags(rows, "code_id", guarded=F.col("guard"))
 
 
-@query(f"with recursive {BLOCKS} select code_id, 'fallback' as entry, not bool_or(mnemonic = 'SSTORE') as read_only, bool_or(mnemonic = 'CALLVALUE') as payable from ib group by code_id")
+@query(f"with {BLOCKS} select code_id, 'fallback' as entry, not bool_or(mnemonic = 'SSTORE') as read_only, bool_or(mnemonic = 'CALLVALUE') as payable from ib group by code_id")
 def a11_function_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo-random codes have no entries, so each is one fallback over all of its blocks."""
+    """Codes made of digests have no entries, so each is one fallback over all of its blocks."""
     _, _, blocks, rows, _ = program(spark, sf_dir)
     none = blocks.filter("false").select("code_id", F.lit("").alias("entry"), "node")
     return A.function_rollup(none, rows, blocks.filter("kind = 'Body'"))
 
 
-@query(f"with recursive {INSTR}, s as (select *, lag(mnemonic) over (partition by code_id order by idx) as o, lag(imm) over (partition by code_id order by idx) as m from instr), a as (select code_id, mnemonic, case when o = 'PUSH0' then '' when o like 'PUSH%' then m end as slot from s where mnemonic in ('SLOAD', 'SSTORE')) select code_id, slot, count(*) filter (mnemonic = 'SLOAD') as loads, count(*) filter (mnemonic = 'SSTORE') as stores, 'slot_' || slot as label from a where slot is not null group by code_id, slot")
+@query(f"with {INSTR}, s as (select *, lag(mnemonic) over (partition by code_id order by idx) as o, lag(imm) over (partition by code_id order by idx) as m from instr), a as (select code_id, mnemonic, case when o = 'PUSH0' then '' when o like 'PUSH%' then m end as slot from s where mnemonic in ('SLOAD', 'SSTORE')) select code_id, slot, count(*) filter (mnemonic = 'SLOAD') as loads, count(*) filter (mnemonic = 'SSTORE') as stores, 'slot_' || slot as label from a where slot is not null group by code_id, slot")
 def a12_slot_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.slot_catalog(U.storage_access(U.decode_instructions(codes(spark, sf_dir))))
 
@@ -157,7 +161,7 @@ def a16_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 COST = ", ".join(f"('{k}', {v})" for k, v in GAS.items())
 
 
-@query(f"with recursive {INSTR}, c(op, c) as (values {COST}) select code_id, (21000 + sum(case when mnemonic = 'PUSH0' then 1 when mnemonic like 'PUSH%' or mnemonic like 'DUP%' or mnemonic like 'SWAP%' then 3 else coalesce(c, 1) end))::bigint as cost, (20000 * count(*) filter (mnemonic = 'SSTORE') + 2300 * count(*) filter (mnemonic in ('CALL', 'CALLCODE', 'DELEGATECALL', 'STATICCALL')))::bigint as variable_cost from instr left join c on c.op = mnemonic group by code_id")
+@query(f"with {INSTR}, c(op, c) as (values {COST}) select code_id, (21000 + sum(case when mnemonic = 'PUSH0' then 1 when mnemonic like 'PUSH%' or mnemonic like 'DUP%' or mnemonic like 'SWAP%' then 3 else coalesce(c, 1) end))::bigint as cost, (20000 * count(*) filter (mnemonic = 'SSTORE') + 2300 * count(*) filter (mnemonic in ('CALL', 'CALLCODE', 'DELEGATECALL', 'STATICCALL')))::bigint as variable_cost from instr left join c on c.op = mnemonic group by code_id")
 def a17_execution_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = {f"{name}{n}": 3 for name, most in (("PUSH", 32), ("DUP", 16), ("SWAP", 16)) for n in range(1, most + 1)}
     costed = J.lookup_cost(U.decode_instructions(codes(spark, sf_dir)), GAS | families)
@@ -165,14 +169,16 @@ def a17_execution_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select doc_id as code_id, string_agg(sha256(doc_id || ':' || i), '' order by i) as h from documents, range(16) t(i) group by doc_id), k as (select code_id, h, code_id % 100 as a, 300 + code_id % 100 as b from c)
-select code_id, 1 as kept_spans, case when a = 0 then 1 else 2 end::int as removed_spans, (512 - (b - a))::bigint as bytes_saved, (b - a)::bigint as clean_len, substr(h, 2 * a + 1, 2 * (b - a)) as clean, sha256(unhex(substr(h, 2 * a + 1, 2 * (b - a)))) as clean_hash from k"""
+    f"""with {CODES}, k as (select code_id, h, n, a, least(a + 300, n) as b from (select code_id, h, length(h) // 2 as n, least(code_id % 100, length(h) // 2) as a from codes))
+select code_id, 1 as kept_spans, ((a > 0)::int + (n > b)::int)::int as removed_spans, (n - (b - a))::bigint as bytes_saved, (b - a)::bigint as clean_len, substr(h, 2 * a::int + 1, 2 * (b - a)::int) as clean, sha256(unhex(substr(h, 2 * a::int + 1, 2 * (b - a)::int))) as clean_hash from k where b > a"""
 )
 def a18_strip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = codes(spark, sf_dir)
-    a = (F.col("code_id") % 100).cast("int")
-    part = lambda kind, at, n: F.struct(F.lit(kind).alias("kind"), at.alias("offset"), n.alias("len"))
-    spans = F.array(part("Init", F.lit(0), a), part("Runtime", a, F.lit(300)), part("Auxdata", a + 300, F.lit(212) - a))
+    n = F.length("code")
+    a = F.least((F.col("code_id") % 100).cast("int"), n)
+    b = F.least(a + 300, n)
+    part = lambda kind, at, size: F.struct(F.lit(kind).alias("kind"), at.alias("offset"), size.alias("len"))
+    spans = F.array(part("Init", F.lit(0), a), part("Runtime", a, b - a), part("Auxdata", b, n - b))
     return A.strip_report(c, c.select("code_id", F.inline(F.filter(spans, lambda s: s["len"] > 0))))
 
 
@@ -182,7 +188,7 @@ def a20_block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.block_summary(blocks.filter("kind = 'Body'"), G.build_edges(blocks), rows)
 
 
-@query(f"with recursive {BLOCKS}, f as (select b.code_id, b.node, b.start_pc, arg_min(imm, idx) as key from ib join blocks b on b.code_id = ib.code_id and b.node = ib.node where mnemonic = 'PUSH4' group by all) select code_id, key, arg_max(node, start_pc) as node, max(start_pc)::int as start_pc from f group by code_id, key")
+@query(f"with {BLOCKS}, f as (select b.code_id, b.node, b.start_pc, arg_min(imm, idx) as key from ib join blocks b on b.code_id = ib.code_id and b.node = ib.node where mnemonic = 'PUSH4' group by all) select code_id, key, arg_max(node, start_pc) as node, max(start_pc)::int as start_pc from f group by code_id, key")
 def a21_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, blocks, rows, _ = program(spark, sf_dir)
     return A.entry_points(rows.join(blocks.select("code_id", "node", "start_pc"), ["code_id", "node"]))
@@ -195,16 +201,20 @@ def u3_locate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select doc_id as code_id, '12345678' as selector, (doc_id % 200)::bigint as target, 4 as instr_index from documents where doc_id % 2 = 0"""
+    f"""with {CODES}, n as (select code_id, h, code_id % 5 as n from codes where h <> ''), k as (select code_id, h, n, unnest(range(n)) as k from n)
+select code_id, substr(sha256(code_id || ':' || k), 1, 8) as selector, ((code_id * 7 + k) % 200)::bigint as target, (4 + 4 * k + case when k >= 3 then 1 else 0 end)::int as instr_index from k where k < 3"""
 )
 def u4_selector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dispatcher is planted before the code of every second document."""
-    opening = F.concat(F.lit("60003560e01c63123456781460"), F.lpad(F.lower(F.hex(F.col("code_id") % 200)), 2, "0"), F.lit("57"))
-    c = codes(spark, sf_dir).select("code_id", F.unhex(F.when(F.col("code_id") % 2 == 0, F.concat(opening, F.lit("00"))).otherwise("00")).alias("code"))
-    return U.selector_table(U.decode_instructions(c))
+    """A dispatcher of up to four keys stands before every code: from the third key on a REVERT follows, which ends the search."""
+    key = lambda i: F.concat(F.lit("63"), F.substring(F.sha2(F.concat_ws(":", F.col("code_id").cast("string"), F.lit(str(i))), 256), 1, 8), F.lit("1460"), F.lpad(F.lower(F.hex((F.col("code_id") * 7 + i) % 200)), 2, "0"), F.lit("57"))
+    keys = [F.when(F.col("code_id") % 5 > i, key(i)).otherwise("") for i in range(4)]
+    stop = F.when(F.col("code_id") % 5 >= 3, "fd").otherwise("00")
+    c = codes(spark, sf_dir).filter("length(code) > 0")
+    planted = F.concat(F.lit("60003560e01c"), *keys[:3], stop, keys[3], F.lower(F.hex("code")))
+    return U.selector_table(U.decode_instructions(c.select("code_id", F.unhex(planted).alias("code"))))
 
 
-@query(f"with recursive {INSTR}, s as (select *, lag(mnemonic) over (partition by code_id order by idx) as o, lag(imm) over (partition by code_id order by idx) as m from instr), a as (select code_id, idx::int as idx, mnemonic, case when o = 'PUSH0' then '' when o like 'PUSH%' then m end as slot from s where mnemonic in ('SLOAD', 'SSTORE')) select *, (length(slot) // 2)::int as width, slot is null and mnemonic = 'SSTORE' as unresolved from a")
+@query(f"with {INSTR}, s as (select *, lag(mnemonic) over (partition by code_id order by idx) as o, lag(imm) over (partition by code_id order by idx) as m from instr), a as (select code_id, idx::int as idx, mnemonic, case when o = 'PUSH0' then '' when o like 'PUSH%' then m end as slot from s where mnemonic in ('SLOAD', 'SSTORE')) select *, (length(slot) // 2)::int as width, slot is null and mnemonic = 'SSTORE' as unresolved from a")
 def u6_storage_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.storage_access(U.decode_instructions(codes(spark, sf_dir)))
 
@@ -221,11 +231,10 @@ def u8_literal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.literal_texts(head.unionByName(body))
 
 
-@query("select doc_id as code_id, string_agg(sha256(doc_id || ':' || i), '' order by i) as code from documents, range(16) t(i) group by doc_id")
+@query(f"with {CODES} select code_id, h as code from codes where h <> ''")
 def u9_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("code_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
-    spans = docs.select("code_id", (F.col("i") * 32).alias("offset"), F.sha2(F.concat_ws(":", F.col("code_id").cast("string"), F.col("i").cast("string")), 256).alias("data"))
-    return U.reassemble(spans)
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("code_id"), F.posexplode(pieces(F.col("text"))).alias("i", "data"))
+    return U.reassemble(docs.select("code_id", (F.col("i") * 32).alias("offset"), "data"))
 
 
 @query(

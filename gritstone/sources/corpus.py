@@ -73,6 +73,6 @@ def read_failure_reports(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 
 
 def write_report(experiment_id: str, sections: dict[str, DataFrame], path: str) -> None:
-    """Each section of a study as Parquet under ``path/section``, partitioned by experiment_id."""
+    """Each section of a study as Parquet under ``path/section``, partitioned by experiment_id; a repeated run replaces its own rows alone."""
     for name, df in sections.items():
-        df.withColumn("experiment_id", F.lit(experiment_id)).write.mode("append").partitionBy("experiment_id").parquet(f"{path}/{name}")
+        df.withColumn("experiment_id", F.lit(experiment_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment_id").parquet(f"{path}/{name}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(text: Column) -> Column:
+    """SHA-256 of each piece of 32 characters of a text, the last one shorter: hex digits, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,32}"), F.lit(0)), lambda x: F.sha2(x, 256))
+
+
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code_id, code: 512 pseudo-random bytes for each document, from sha256 of ``doc_id:i`` for i from 0 to 15."""
-    blocks = [F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(i))), 256) for i in range(16)]
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("code_id"), F.unhex(F.concat(*blocks)).alias("code"))
+    """code_id, code: the digests of each document's ``pieces``, one after the other: a code as long as the text; null for a null text, empty for an empty one."""
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("code_id"), F.unhex(F.array_join(pieces(F.col("text")), "")).alias("code"))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
