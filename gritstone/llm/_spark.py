@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+SLICE = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("gritstone.scratch", None)
         if not folder:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir is unset: {master} needs a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-gritstone-")
             spark.conf.set("gritstone.scratch", folder)
     return folder.rstrip("/")
@@ -39,41 +49,73 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Removes a table that ``materialize`` wrote and nothing will read again."""
-    spark = table.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        if path.rpartition("/")[2].startswith("gritstone-"):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialize`` wrote and nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm = spark.sparkContext._jvm
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if path.rpartition("/")[2].startswith("gritstone-"):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(b: pa.RecordBatch, text: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows of about ``size`` bytes in its ``text``-th column (one row at least), without a copy."""
+    column, n = b.column(text), b.num_rows
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    where = column.buffers()[1]
+    if not n or where is None:
+        yield b
+        return
+    offsets = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1]
+    row = 0
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(offsets, int(offsets[row]) + size, "right")) - 1)
+        yield b.slice(row, stop - row)
+        row = stop
 
 
 def map_texts(
     docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Runs ``fn`` over Arrow batches of the id and text columns alone (renamed ``doc_id`` and ``text``)."""
+    """Runs ``fn`` over slices of Arrow batches of the id and text columns alone (renamed ``doc_id`` and ``text``).
+
+    Each slice has an output batch of its own, so that a task holds one incoming batch and the work on a slice.
+    """
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(docs[c] for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+            for part in slices(batch, 1):
+                out = fn(part)
+                if out is not None:
+                    yield out
             pa.default_memory_pool().release_unused()  # workers stay for other operators
 
     return narrow.mapInArrow(run, schema)
 
 
-def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str = "text") -> DataFrame:
-    """Runs ``fn`` over whole rows and keeps the schema; rows may be left out or have a new text."""
+def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Runs ``fn`` over slices of whole rows and keeps the schema but for columns named in ``drop``; rows may be left out or have a new text."""
+    at = docs.columns.index(text_col)
+    schema = StructType([f for f in docs.schema.fields if f.name not in drop])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            for part in slices(batch, at):
+                yield fn(part)
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -82,8 +124,6 @@ def batch(**columns) -> pa.RecordBatch:
 
 def with_text(b: pa.RecordBatch, texts: pa.Array, text_col: str = "text", count_col: str = "n_chars") -> pa.RecordBatch:
     """``b`` with another text column, and the length in characters beside it if ``b`` has one."""
-    import pyarrow.compute as pc
-
     names = b.schema.names
     columns = list(b.columns)
     at = names.index(text_col)
@@ -99,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then follows labels of labels, so the
     number of rounds follows the logarithm of the longest path. Labels are written to the shared folder
-    each round.
+    each round; what a round has read is removed after it.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct())
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
@@ -108,6 +148,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("comp", "other").alias("next"), F.col("comp").alias("old"))
         hop = labels.select(F.col("id").alias("next"), F.col("comp").alias("via"))
         step = materialize(new.join(hop, "next").select("id", "old", F.least("next", "via").alias("comp")))
-        if step.filter("old <> comp").isEmpty():
-            return step.select("id", "comp")
+        done = step.filter("old <> comp").isEmpty()
+        discard(labels)
         labels = step.select("id", "comp")
+        if done:
+            discard(both)
+            return labels

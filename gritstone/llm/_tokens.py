@@ -11,6 +11,7 @@ does. The memory of pieces is bounded and only saves time.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from gritstone.llm._words import _powers, buffers, mix, per_row
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _classes: list[np.ndarray] = []
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000  # some 40 MB
 CHUNK = 1 << 20  # bytes; a token takes more room than a byte of text
 
 
@@ -32,6 +33,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, which a worker keeps from task to task."""
+    return Encoder(path)
+
+
 def char_classes() -> np.ndarray:
     if not _classes:
         table = np.zeros(0x110000, np.uint8)
@@ -83,23 +90,45 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of each token: a byte-level vocabulary has one character for each.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of the pieces
+        self.slot = np.zeros(0, np.int64)  # their numbers
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.array([len(x) for x in encoded], np.int64)
-        used, more = int(self.first[-1]), int(size.sum())
+        self.first = np.zeros(1, np.int64)  # where each piece's ids begin
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Appends the ids of ``pieces``, encoded together; the bytes of tokens tell where each piece ends."""
+        encoded = np.array(self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(x.encode()) for x in pieces])
+        size = np.searchsorted(np.cumsum(self.width[encoded]), ends) + 1
+        used, more = int(self.first[-1]), len(encoded)
         while used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[used : used + more] = np.fromiter((i for x in encoded for i in x), np.uint32, more)
-        for k, key in enumerate(keys, len(self.first) - 1):
-            self.slot[key] = k
-        self.first = np.concatenate([self.first, used + np.cumsum(size)])
+        self.ids[used : used + more] = encoded
+        self.first = np.concatenate([self.first, used + size])
+
+    def _numbers(self, text: str, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces ``text[starts:ends]`` with hashes ``h``."""
+        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            number = len(self.first) - 1 + np.arange(len(new))
+            self._learn([text[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], number)
+            at = np.searchsorted(self.keys, keys)
+        return self.slot[at][inverse] if len(keys) else at
 
     def rows(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For chunks of rows: the first row's number, the ids of all of them (each with ``end`` behind it), and where rows begin."""
@@ -120,13 +149,7 @@ class Encoder:
         sums = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * p[: len(cp)], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
-        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) + len(keys) > REMEMBERED:
-            self._forget()
-        new = [(k, w) for k, w in zip(keys.tolist(), where.tolist(), strict=True) if k not in self.slot]
-        if new:
-            self._learn([k for k, _ in new], [text[starts[w] : ends[w]] for _, w in new])
-        slots = np.fromiter((self.slot[k] for k in keys.tolist()), np.int64, len(keys))[inverse]
+        slots = self._numbers(text, h, starts, ends)
         size = self.first[slots + 1] - self.first[slots]
         done = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.first[slots] - done[:-1], size) + np.arange(done[-1])]

@@ -8,16 +8,25 @@ The automaton walk is Python, so numpy first leaves out what cannot matter: a ma
 words of the items' vocabulary in a row, each pair of neighbours a pair of the items. That test is
 exact; only such stretches are walked.
 
-The items reach every task, so their size is checked: they are cut into blocks of at most
-``block_words`` words and each block has an automaton and a pass of its own.
+The items reach every task, so their size is checked: they are cut into blocks of at most about
+``block_words`` words. One block takes one narrow pass. Several take a pass each, one after the other: the
+driver and the tasks hold a single block, a worker builds its automaton once and keeps it, and the spans
+hit, which are few, are written and then joined to the documents on a hash of the row. So time grows with
+the number of blocks, and memory doesn't.
 
 Null and empty texts have no words and no hits; an item without words has no window. Repeated items
-count by their item_id. An empty benchmark hits nothing.
+count by their item_id, items of equal words all count, and an item with a null id is called None. An empty
+benchmark hits nothing. Repeated rows, and rows of one id with different texts, are judged each for itself.
+Texts are walked whole, in slices of rows of about 1 MB, so that a longer text is a slice of its own. Other
+columns pass through ``remove_benchmark`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm._spark import batch, map_rows, map_texts, with_text
+from gritstone.llm._spark import batch, discard, fresh, map_rows, map_texts, materialize, with_text
 from gritstone.llm._words import ALNUM, Chunk, chunks, cover, mix, per_row
 
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -174,18 +183,86 @@ class Matcher:
         return cover(np.array(start, np.int64), np.array(size, np.int64), n), found, longest
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[tuple[list, list[str]]]:
-    """The test items in blocks whose sizes are checked before they are fetched."""
+@dataclass(frozen=True)
+class Block:
+    name: str
+    ids: list
+    texts: list[str]
+    window: int
+
+
+_held: dict[str, Matcher] = {}
+
+
+def matcher(block: Block) -> Matcher:
+    """The matcher of a block, which a worker keeps until it meets another block."""
+    if block.name not in _held:
+        _held.clear()
+        _held[block.name] = Matcher(block.ids, block.texts, block.window)
+    return _held[block.name]
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> tuple[int, Iterator[Block]]:
+    """The number of blocks of test items, and the blocks, each fetched when it is asked for."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if items.isEmpty():
-        return []
     size = items.agg(F.sum(F.length("text"))).first()[0]
-    n_blocks = 1 + int(size) // (2 * block_words)  # a word and what parts it from the next are 2 characters at least
-    blocks = []
-    for k in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy(F.col("item_id").cast("string")).toArrow()
-        blocks.append((part["item_id"].to_pylist(), part["text"].to_pylist()))
-    return blocks
+    n_blocks = 1 + int(size or 0) // (2 * block_words)  # a word and what parts it from the next are 2 characters at least
+
+    def fetch() -> Iterator[Block]:
+        for k in range(n_blocks):
+            part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy(F.col("item_id").cast("string"), "text").toArrow()
+            yield Block(uuid.uuid4().hex, part["item_id"].to_pylist(), part["text"].to_pylist(), window)
+
+    return n_blocks, fetch()
+
+
+def spans_of(c: Chunk, hit: np.ndarray) -> pa.ListArray:
+    """For each row of the chunk, its runs of hit words: the place of the first one in the row times 2^32, and how many they are."""
+    rows = c.rows()
+    same = rows[1:] == rows[:-1]
+    begin, last = hit.copy(), hit.copy()
+    begin[1:] &= ~(hit[:-1] & same)
+    last[:-1] &= ~(hit[1:] & same)
+    first, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    row = rows[first]
+    offsets = np.searchsorted(row, np.arange(c.n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(((first - c.ptr[row]) << 32) + end - first))
+
+
+def hit_words(c: Chunk, spans: pa.ListArray) -> np.ndarray:
+    """Which words of the chunk lie in the spans of its rows."""
+    own = spans.slice(c.row, c.n)
+    row = np.repeat(np.arange(c.n), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+    flat = np.asarray(pc.list_flatten(own))
+    return cover(c.ptr[row] + (flat >> 32), flat & 0xFFFFFFFF, len(c.starts))
+
+
+def found_spans(texts: DataFrame, blocks: Iterator[Block]) -> DataFrame:
+    """key, spans, items and longest of the rows of ``texts`` (doc_id, text, key) that any block hits or matches in part; a pass for each block."""
+    tables = []
+    for block in blocks:
+
+        def run(b: pa.RecordBatch, block: Block = block) -> pa.RecordBatch:
+            m, out = matcher(block), []
+            for c in chunks(b.column(1), ALNUM, lower=True):
+                hit, found, longest = m.hits(c)
+                some = pa.array(longest > 0)
+                items = pa.array([[str(m.ids[k]) for k in x] for x in found], pa.list_(pa.string()))
+                out.append(batch(key=b.column(2).slice(c.row, c.n), spans=spans_of(c, hit), items=items, longest=longest).filter(some))
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else None
+
+        tables.append(materialize(map_texts(texts, run, "key long, spans array<long>, items array<string>, longest long", extra=("key",)).dropDuplicates(["key"])))
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    joined = lambda x: F.array_distinct(F.flatten(F.collect_list(x))).alias(x)  # noqa: E731  # of one text
+    merged = materialize(every.groupBy("key").agg(joined("spans"), joined("items"), F.max("longest").alias("longest")))
+    discard(*tables)
+    return merged
+
+
+def row_key(docs: DataFrame, text_col: str, *others: str):
+    return F.xxhash64(*(docs[c].cast("string") for c in others), docs[text_col])
 
 
 def benchmark_hits(
@@ -193,33 +270,45 @@ def benchmark_hits(
 ) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit (words inside a window of an item), n_items, items_sha256
     (of the item_ids found, sorted as strings and joined by commas), longest_match, contaminated (n_hit > 0)."""
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    held: list[Matcher] = []
+    n_blocks, blocks = item_blocks(benchmark, item_col, item_text_col, window, block_words)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long, contaminated boolean"
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        if len(blocks) == 1 and not held:
-            held.append(Matcher(*blocks[0], window))
+    def row(doc: pa.Array, c: Chunk, hit: np.ndarray, names: list[list[str]], longest: np.ndarray) -> pa.RecordBatch:
+        names = [sorted(set(x)) for x in names]
+        n_hit = per_row(hit, c.ptr)
+        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+        return batch(doc_id=doc.slice(c.row, c.n), n_words=c.n_words(), n_hit=n_hit, n_items=pa.array([len(x) for x in names], pa.int64()), items_sha256=pa.array(sha, pa.string()), longest_match=longest, contaminated=n_hit > 0)
+
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+
+    if n_blocks == 1:
+        block = next(blocks)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            m, out = matcher(block), []
+            for c in chunks(b.column(1), ALNUM, lower=True):
+                hit, found, longest = m.hits(c)
+                out.append(row(b.column(0), c, hit, [[str(m.ids[i]) for i in x] for x in found], longest))
+            return one(out)
+
+        return map_texts(docs, run, schema, id_col, text_col)
+
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), row_key(docs, text_col).alias("key"))
+    joined = texts.join(found_spans(texts, blocks), "key", "left")
+
+    def merge(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        out, items, longest = [], b.column(3), pc.fill_null(b.column(4), 0).to_numpy(zero_copy_only=False)
         for c in chunks(b.column(1), ALNUM, lower=True):
-            hit, names, longest = np.zeros(len(c.starts), bool), [[] for _ in range(c.n)], np.zeros(c.n, np.int64)
-            for k in range(len(blocks)):
-                m = held[0] if held else Matcher(*blocks[k], window)
-                own, found, most = m.hits(c)
-                hit |= own
-                longest = np.maximum(longest, most)
-                for r, items in enumerate(found):
-                    names[r] += [str(m.ids[i]) for i in items]
-            names = [sorted(set(x)) for x in names]
-            out.append((c.n_words(), per_row(hit, c.ptr), np.array([len(x) for x in names]), [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], longest))
-        n_words, n_hit, n_items, sha, longest = ([x[k] for x in out] for k in range(5))
-        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-        return batch(doc_id=b.column(0), n_words=join(n_words), n_hit=join(n_hit), n_items=join(n_items), items_sha256=pa.array([x for p in sha for x in p], pa.string()), longest_match=join(longest), contaminated=join(n_hit) > 0)
-
-    return map_texts(docs, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long, contaminated boolean", id_col, text_col)
+            names = [x or [] for x in items.slice(c.row, c.n).to_pylist()]
+            out.append(row(b.column(0), c, hit_words(c, b.column(2)), names, longest[c.row : c.row + c.n]))
+        return one(out)
+
+    return map_texts(joined, merge, schema, extra=("spans", "items", "longest"))
 
 
 def cut_words(c: Chunk, keep: np.ndarray, original: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's texts without the words that ``keep`` leaves out, each with what stands between it and the next word: bytes and offsets."""
+    """The chunk's texts without the words that ``keep`` leaves out, each with what stands between it and the next word: bytes and lengths."""
     gone = np.flatnonzero(~keep)
     if not len(gone):
         return original, np.diff(c.offsets)
@@ -229,12 +318,27 @@ def cut_words(c: Chunk, keep: np.ndarray, original: np.ndarray) -> tuple[np.ndar
     return original[stay], per_row(stay, c.offsets)
 
 
-def texts_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """Strings from the bytes and lengths of chunks."""
-    lengths = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
-    data = np.concatenate([np.zeros(0, np.uint8), *(p[0] for p in parts)])
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+def cut_rows(b: pa.RecordBatch, text_col: str, parts: list[tuple[Chunk, np.ndarray, np.ndarray]], max_coverage: float = 1.0) -> pa.RecordBatch:
+    """The batch with texts cut: parts are its chunks, their bytes as they were, and which words go.
+
+    Rows go of which more than ``max_coverage`` goes, or that are left without a word; rows that lose
+    nothing stay as they are, nulls too.
+    """
+    data, sizes, stay, touched = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
+    for c, original, gone in parts:
+        n, n_gone = c.n_words(), per_row(gone, c.ptr)
+        left, lengths = cut_words(c, ~gone, original)
+        data.append(left)
+        sizes.append(lengths)
+        touched.append(n_gone > 0)
+        stay.append((n_gone == 0) | ((n_gone <= max_coverage * n) & (n_gone < n)))
+    touched, stay = np.concatenate(touched), np.concatenate(stay)
+    if touched.any():
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        cut = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data))])
+        texts = b.column(b.schema.get_field_index(text_col))
+        b = with_text(b, pc.if_else(pa.array(touched), cut, texts.cast(pa.large_string())), text_col)
+    return b if stay.all() else b.filter(pa.array(stay))
 
 
 def remove_benchmark(
@@ -245,28 +349,30 @@ def remove_benchmark(
     A document of which more than ``max_coverage`` is hit goes as a whole, as does one left without a
     word; one without hits stays as it is, empty and null texts too. n_chars, if there, follows the text.
     """
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    held: list[Matcher] = []
+    n_blocks, blocks = item_blocks(benchmark, item_col, item_text_col, window, block_words)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if len(blocks) == 1 and not held:
-            held.append(Matcher(*blocks[0], window))
-        texts = b.column(b.schema.get_field_index(text_col))
-        plain = iter(chunks(texts, ALNUM))
-        parts, stay, touched = [], [], []
+    def both(texts: pa.Array) -> Iterator[tuple[Chunk, np.ndarray]]:
+        plain = chunks(texts, ALNUM)
         for c in chunks(texts, ALNUM, lower=True):
-            raw = next(plain).data
-            hit = np.zeros(len(c.starts), bool)
-            for k in range(len(blocks)):
-                hit |= (held[0] if held else Matcher(*blocks[k], window)).hits(c)[0]
-            n, n_hit = c.n_words(), per_row(hit, c.ptr)
-            parts.append(cut_words(c, ~hit, raw))
-            touched.append(n_hit > 0)
-            stay.append((n_hit == 0) | ((n_hit <= max_coverage * n) & (n_hit < n)))
-        if not parts:
-            return b
-        touched = pa.array(np.concatenate(touched))
-        new = pc.if_else(touched, texts_of(parts), texts.cast(pa.large_string()))
-        return with_text(b, new, text_col).filter(pa.array(np.concatenate(stay)))
-
-    return map_rows(docs, run, text_col)
+            yield c, next(plain).data
+
+    if n_blocks == 1:
+        block = next(blocks)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            m = matcher(block)
+            return cut_rows(b, text_col, [(c, raw, m.hits(c)[0]) for c, raw in both(b.column(b.schema.get_field_index(text_col)))], max_coverage)
+
+        return map_rows(docs, run, text_col)
+
+    key, spans = fresh(docs, "row_key"), fresh(docs, "row_spans")
+    keyed = docs.withColumn(key, row_key(docs, text_col))
+    found = found_spans(keyed.select(F.lit(None).cast("long").alias("doc_id"), keyed[text_col].alias("text"), keyed[key].alias("key")), blocks)
+    joined = keyed.join(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left").select(*docs.columns, spans)
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = b.column(b.schema.get_field_index(spans))
+        b = b.drop_columns([spans])
+        return cut_rows(b, text_col, [(c, raw, hit_words(c, own)) for c, raw in both(b.column(b.schema.get_field_index(text_col)))], max_coverage)
+
+    return map_rows(joined, cut, text_col, drop=(spans,))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm._spark import batch, map_texts, materialize
-from gritstone.llm._tokens import Encoder, cut, default_tokenizer
+from gritstone.llm._tokens import cut, default_tokenizer, encoder
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +57,10 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 def pieces(docs: DataFrame, size: int, tokenizer: str, end: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    held: list[Encoder] = []
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(Encoder(tokenizer))
         doc, number, start, length, crc = [], [], [], [], []
-        for at, ids, ptr in held[0].rows(b.column(1), end):
+        for at, ids, ptr in encoder(tokenizer).rows(b.column(1), end):
             row, n, s, size_ = cut(ptr, size)
             raw = memoryview(ids.astype("<u4").tobytes())
             begin = ptr[row] + s

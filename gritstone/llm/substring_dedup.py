@@ -5,21 +5,25 @@ Only repeated edges are of interest, so few are ever shuffled:
 
 1. Anchors. Each k-mer holds ``k - 4`` five-word grams; the one of smallest hash is its anchor. Equal
    k-mers have equal anchors, so a k-mer whose anchor occurs in one text only cannot be repeated. About
-   a fifth of the grams are anchors; one aggregation finds those that different texts share, told apart
-   by 32 bits of a hash of the text.
+   a fifth of the grams are anchors; one aggregation finds those that different texts share: the smallest
+   and the largest hash of a text that has the anchor differ.
 2. Edges. Texts with shared anchors give up the k-mers on them, each with the edges before and after it.
    One aggregation keeps those of two documents or more, with the smallest document as their source.
 3. Compaction. An edge is inner if all texts have the same edge before it and the same after it. A join of
    the edges with themselves, on coordinates in their sources, links inner edges that follow each other;
    runs of them are the nonbranching paths. Every document with a path's first edge has the whole path.
-4. Coordinates. A join of the first edges with their occurrences gives the spans in each document; each
-   is verified on the text itself, at both ends, before a word is removed.
-
-A document whose words all equal those of one with a smaller id is a copy as a whole and joins no graph.
-
-Null and empty texts have no words and nothing to remove. doc_id names a document: repeated rows of one
-id are treated alike, each for itself, and do not repeat each other. A null doc_id is nobody's source
-and loses nothing. Other columns pass through ``remove_repeated`` unchanged.
+4. Coordinates. A join of the first edges with their occurrences gives the spans in each document. Each is
+   verified on the text itself before a word is removed: its ends, and all of its edges by what the source
+   gave for them.
+
+Words, k-mers and texts are told apart by hashes of 64 bits. A document whose words, ``k`` at least, all equal
+those of one with a smaller id is a copy as a whole and joins no graph.
+
+Null and empty texts have no words and nothing to remove. doc_id names a document: rows of one id, equal or
+not, do not repeat each other, and each is judged for itself. A null doc_id is nobody's source and loses
+nothing. Of an empty table nothing is returned. Texts are read whole, a slice of rows of about 1 MB at a time;
+a longer text is a slice of its own. Other columns pass through ``remove_repeated`` unchanged, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm._spark import batch, discard, map_texts, materialize, with_text
+from gritstone.llm._spark import batch, discard, fresh, map_rows, map_texts, materialize
 from gritstone.llm._words import Chunk, chunks, cover, mix, per_row, window_hash
-from gritstone.llm.decontamination import cut_words, texts_of
+from gritstone.llm.decontamination import cut_rows
 
 GRAM = 5
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -84,26 +88,26 @@ def digests(data: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def balanced(x: np.ndarray) -> np.ndarray:
-    """The lower 32 bits as a code of 64 with exactly 32 set: each bit followed by its complement. The union of two different codes has more."""
-    x = x & np.uint64(0xFFFFFFFF)
-    x = x | ((~x & np.uint64(0xFFFFFFFF)) << np.uint64(32))
-    out = np.zeros(len(x), np.uint64)
-    for k in range(32):
-        out |= ((x >> np.uint64(k)) & np.uint64(1)) << np.uint64(2 * k)
-        out |= ((x >> np.uint64(32 + k)) & np.uint64(1)) << np.uint64(2 * k + 1)
-    return out
+def print_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def row_of(c: Chunk, r: int) -> tuple[Chunk, np.ndarray]:
+    """One row of a chunk, with all its words."""
+    a, b, at = c.ptr[r], c.ptr[r + 1], c.offsets[r]
+    own = Chunk(0, c.data[at : c.offsets[r + 1]], c.offsets[r : r + 2] - at, c.starts[a:b] - at, c.ends[a:b] - at, np.array([0, b - a]))
+    return own, np.ones(b - a, bool)
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_words, print (of the word sequence) and its code, whole_sha256 and the anchors of each document."""
+    """doc_id, n_words, print (of the word sequence), whole_sha256 and the anchors of each document."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n_words, prints, sha, flat, sizes = [], [], [], [], []
         for c in chunks(b.column(1)):
             d = digests(*joined(c, np.ones(len(c.starts), bool)))
             sha += [x.hex() for x in d]
-            prints += [int.from_bytes(x[:8], "little", signed=True) for x in d]
+            prints += [print_of(x) for x in d]
             n_words.append(c.n_words())
             _, m, at = kmers(c, k)
             row = c.rows()[at]
@@ -113,16 +117,16 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
             sizes.append(np.bincount(row[new], minlength=c.n))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
-        return batch(doc_id=b.column(0), n_words=np.concatenate([np.zeros(0, np.int64), *n_words]), print=pa.array(prints, pa.int64()), code=signed(balanced(mix(np.array(prints, np.int64).view(np.uint64)))), whole_sha256=pa.array(sha, pa.string()), anchors=lists)
+        return batch(doc_id=b.column(0), n_words=np.concatenate([np.zeros(0, np.int64), *n_words]), print=pa.array(prints, pa.int64()), whole_sha256=pa.array(sha, pa.string()), anchors=lists)
 
-    return map_texts(docs, run, "doc_id long, n_words long, print long, code long, whole_sha256 string, anchors array<long>", id_col, text_col)
+    return map_texts(docs, run, "doc_id long, n_words long, print long, whole_sha256 string, anchors array<long>", id_col, text_col)
 
 
 def candidate_edges(texts: DataFrame, k: int) -> DataFrame:
-    """edge, between, doc_id, at: the k-mers of ``texts`` (doc_id, text, anchors) on a shared anchor.
+    """edge, between, doc_id, place: the k-mers of ``texts`` (doc_id, text, anchors) on a shared anchor.
 
     between: a hash of the k-mers before and after it; 0 where one of them is none of these k-mers, or
-    where the text holds the k-mer twice.
+    where the text holds the k-mer twice. place: a hash of the text times 2^32, and the k-mer's first word.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -142,82 +146,89 @@ def candidate_edges(texts: DataFrame, k: int) -> DataFrame:
             hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
             h, at, row = h[hit], at[hit], row[hit]
             near = (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])
-            between = np.zeros(len(h), np.int32)
+            between = np.zeros(len(h), np.int64)
             inner = np.flatnonzero(near[1:] & near[:-1]) + 1
-            between[inner] = (mix(h[inner - 1] + h[inner + 1] * _ROW) >> np.uint64(33)).astype(np.int32) | 1
+            between[inner] = signed(mix(h[inner - 1] + h[inner + 1] * _ROW) | np.uint64(1))
             key = mix(h + row.astype(np.uint64) * _ROW)
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
             between[order[1:][same]] = between[order[:-1][same]] = 0
-            out.append((signed(h), between, ids[c.row + row], (at - c.ptr[row]).astype(np.int32)))
-        kinds = (np.int64, np.int32, np.int64, np.int32)
-        cols = [np.concatenate([np.zeros(0, t), *(x[j] for x in out)]) for j, t in enumerate(kinds)]
-        return batch(edge=cols[0], between=cols[1], doc_id=cols[2], at=cols[3])
+            name = (c.span_hash(c.offsets[:-1], c.offsets[1:]) >> np.uint64(33)).astype(np.int64) << 32
+            out.append((signed(h), between, ids[c.row + row], name[row] + at - c.ptr[row]))
+        cols = [np.concatenate([np.zeros(0, np.int64), *(x[j] for x in out)]) for j in range(4)]
+        return batch(edge=cols[0], between=cols[1], doc_id=cols[2], place=cols[3])
 
-    return map_texts(texts, run, "edge long, between int, doc_id long, at int", extra=("anchors",))
+    return map_texts(texts, run, "edge long, between long, doc_id long, place long", extra=("anchors",))
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """Nonbranching paths of ``edges`` (edge, inner, source, at): head, tail, n_edges, source.
+    """Nonbranching paths of ``edges`` (edge, inner, source, place): head, tail, n_edges, whole (the exclusive or of all its edges), source.
 
     inner: all texts have the same edge before it and the same after it. An inner edge continues the inner
     edge that stands before it in the source; other edges are paths of their own.
     """
-    inner = edges.filter("inner").select("source", (F.col("at") + 1).alias("at"))
-    linked = edges.filter("inner").join(inner, ["source", "at"], "left_semi").select("edge", "source", "at", F.lit(0).alias("first"))
-    others = edges.join(linked.select("edge"), "edge", "left_anti").select("edge", "source", "at", F.lit(1).alias("first"))
+    inner = edges.filter("inner").select("source", (F.col("place") + 1).alias("place"))
+    linked = edges.filter("inner").join(inner, ["source", "place"], "left_semi").select("edge", "source", "place", F.lit(0).alias("first"))
+    others = edges.join(linked.select("edge"), "edge", "left_anti").select("edge", "source", "place", F.lit(1).alias("first"))
     marked = linked.unionByName(others)
-    order = Window.partitionBy("source").orderBy("at", "edge")  # the edges of one document
+    order = Window.partitionBy("source").orderBy("place", "edge")  # the edges of one document
     numbered = marked.withColumn("path", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("source", "path").agg(F.min_by("edge", "at").alias("head"), F.max_by("edge", "at").alias("tail"), F.count("*").cast("int").alias("n_edges")).drop("path")
+    ends = F.min_by("edge", "place").alias("head"), F.max_by("edge", "place").alias("tail")
+    return numbered.groupBy("source", "path").agg(*ends, F.count("*").cast("int").alias("n_edges"), F.bit_xor("edge").alias("whole")).drop("path")
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """What each document repeats of documents with smaller ids.
 
-    First: a row (doc_id, n_words, whole_sha256, copy) for each document; copy tells that all of its words,
+    First: a row (doc_id, n_words, print, whole_sha256, copy) for each row; copy tells that all of its words,
     ``k`` at least, are those of a document with a smaller id. Second: for the others, (doc_id, spans) with
-    spans an array of (at, n_edges, head, tail): ``n_edges + k - 1`` words from word ``at`` on.
+    spans an array of (at, n_edges, head, tail, whole): ``n_edges + k - 1`` words from word ``at`` on. Rows of
+    one doc_id share their spans; the text tells which are its own.
     """
     sigs = materialize(signatures(docs, k, id_col, text_col))
-    pairs = sigs.select("doc_id", "code", F.explode("anchors").alias("anchor"))
-    shared = pairs.groupBy("anchor").agg(F.bit_or("code").alias("codes")).filter(F.bit_count("codes") > 32).select("anchor")
-    lists = pairs.select("anchor", "doc_id").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    source = sigs.groupBy("print").agg(F.min("doc_id").alias("source"))
-    flagged = sigs.select("doc_id", "n_words", "print", "whole_sha256").join(source, "print", "left")
-    plain = materialize(flagged.select("doc_id", "n_words", "whole_sha256", (F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False)) & (F.col("n_words") >= k)).alias("copy")))
-    lists = materialize(lists.join(plain.filter("copy").select("doc_id").distinct(), "doc_id", "left_anti"))
-    discard(sigs)
+    pairs = sigs.select("doc_id", "print", F.explode("anchors").alias("anchor"))
+    shared = pairs.groupBy("anchor").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least < most").select("anchor")
+    lists = pairs.filter("doc_id is not null").select("anchor", "doc_id").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    # texts of several documents only, and written: a join with a table can split what many copies have in common
+    first = sigs.filter(f"n_words >= {k}").groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    first = materialize(first.filter("source < last").drop("last"))
+    slim = sigs.select("doc_id", "n_words", "print", "whole_sha256")
+    copy = F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False)).alias("copy")
+    marked = slim.filter(f"n_words >= {k}").join(first, "print", "left").select("doc_id", "n_words", "print", "whole_sha256", copy)
+    plain = materialize(marked.unionByName(slim.filter(f"n_words < {k}").withColumn("copy", F.lit(False))))
+    whole = plain.filter("doc_id is not null").groupBy("doc_id").agg(F.min("copy").alias("copies")).filter("copies").select("doc_id")
+    lists = materialize(lists.join(whole, "doc_id", "left_anti"))
+    discard(sigs, first)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(lists, "doc_id")
     found = materialize(candidate_edges(texts, k))
     inner = (F.min("between") == F.max("between")) & (F.min("between") != 0)
-    edges = found.groupBy("edge").agg(inner.alias("inner"), F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("at"))
+    edges = found.groupBy("edge").agg(inner.alias("inner"), F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place"))
     edges = materialize(edges.filter("source < last").drop("last"))
     paths = materialize(compact(edges))
-    spans = found.select(F.col("edge").alias("head"), "doc_id", "at").join(paths, "head").filter("doc_id > source")
-    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_edges", "head", "tail")).alias("spans")))
-    for table in (found, edges, paths, lists):
-        discard(table)
+    spans = found.select(F.col("edge").alias("head"), "doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")).join(paths, "head").filter("doc_id > source")
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_edges", "head", "tail", "whole")).alias("spans")))
+    discard(found, edges, paths, lists)
     return plain, spans
 
 
 def removed_words(c: Chunk, k: int, spans: pa.ListArray) -> np.ndarray:
-    """Which words of the chunk lie in one of its rows' spans whose ends the text itself confirms."""
+    """Which words of the chunk lie in one of its rows' spans that the text itself confirms."""
     n = len(c.starts)
     own = spans.slice(c.row, c.n)
     size = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(own)
     if not len(flat) or n < k:
         return np.zeros(n, bool)
-    at, edges, head, tail = (np.asarray(flat.field(j)).astype(np.int64) for j in range(4))
+    at, edges, head, tail, whole = (np.asarray(flat.field(j)).astype(np.int64) for j in range(5))
     row = np.repeat(np.arange(c.n), size)
     h = signed(window_hash(c.word_hash(), k))
+    so_far = np.concatenate([[0], np.bitwise_xor.accumulate(h)])
     begin = c.ptr[row] + at
-    end = begin + edges - 1
-    good = end + k <= c.ptr[row + 1]
-    begin, end, head, tail = begin[good], end[good], head[good], tail[good]
-    good = (h[begin] == head) & (h[end] == tail)
-    return cover(begin[good], (end - begin)[good] + k, n)
+    end = begin + edges
+    good = np.flatnonzero(end + k - 1 <= c.ptr[row + 1])
+    begin, end = begin[good], end[good]
+    good = (h[begin] == head[good]) & (h[end - 1] == tail[good]) & (so_far[begin] ^ so_far[end] == whole[good])
+    return cover(begin[good], (end - begin)[good] + k - 1, n)
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,15 +237,16 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(spans, "doc_id")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        removed, sha = [], []
+        prints, removed, sha = [], [], []
         for c in chunks(b.column(1)):
             gone = removed_words(c, k, b.column(2))
             removed.append(per_row(gone, c.ptr))
             sha += [x.hex() for x in digests(*joined(c, ~gone))]
-        return batch(doc_id=b.column(0), n_removed=np.concatenate([np.zeros(0, np.int64), *removed]), kept_sha256=pa.array(sha, pa.string()))
+            prints += [print_of(x) for x in digests(*joined(c, np.ones(len(c.starts), bool)))]
+        return batch(doc_id=b.column(0), print=pa.array(prints, pa.int64()), n_removed=np.concatenate([np.zeros(0, np.int64), *removed]), kept_sha256=pa.array(sha, pa.string()))
 
-    cut = map_texts(texts, run, "doc_id long, n_removed long, kept_sha256 string", extra=("spans",)).dropDuplicates(["doc_id"])
-    return plain.join(cut, "doc_id", "left").select(
+    cut = map_texts(texts, run, "doc_id long, print long, n_removed long, kept_sha256 string", extra=("spans",)).filter("n_removed > 0").dropDuplicates(["doc_id", "print"])
+    return plain.join(cut, ["doc_id", "print"], "left").select(
         "doc_id",
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -247,28 +259,23 @@ def remove_repeated(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
 
     What stood between a removed word and the next goes with it; other columns stay, n_chars follows the text.
     """
-    names = docs.columns
     plain, spans = repeated_spans(docs, k, id_col, text_col)
-    copies = plain.filter("copy").select(F.col("doc_id").alias("_copy_of_earlier")).distinct()
-    rest = docs.join(copies, docs[id_col].cast("long") == copies["_copy_of_earlier"], "left_anti")
-    spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("spans").alias("_repeated_spans"))
-    with_spans = rest.join(spans, rest[id_col].cast("long") == spans["_span_doc"], "left").drop("_span_doc")
-
-    def run(batches):
-        for b in batches:
-            at = b.schema.get_field_index("_repeated_spans")
-            spans, b = b.column(at), pa.RecordBatch.from_arrays([b.column(j) for j in range(b.num_columns) if j != at], names=[x for x in b.schema.names if x != "_repeated_spans"])
-            texts = b.column(b.schema.get_field_index(text_col))
-            parts, changed, stay = [], [], []
-            for c in chunks(texts):
-                gone = removed_words(c, k, spans)
-                n, n_gone = c.n_words(), per_row(gone, c.ptr)
-                parts.append(cut_words(c, ~gone, c.data))
-                changed.append(n_gone > 0)
-                stay.append((n_gone == 0) | (n_gone < n))
-            if parts:
-                new = pc.if_else(pa.array(np.concatenate(changed)), texts_of(parts), texts.cast(pa.large_string()))
-                b = with_text(b, new, text_col).filter(pa.array(np.concatenate(stay)))
-            yield b
-
-    return with_spans.select(*names, "_repeated_spans").mapInArrow(run, docs.schema)
+    own, marks = fresh(docs, "row_doc"), fresh(docs, "row_marks")
+    copies = plain.filter("copy").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))  # the texts of one document
+    both = spans.join(copies, "doc_id", "full").select(F.col("doc_id").alias(own), F.struct("spans", "prints").alias(marks))
+    marked = docs.join(both, docs[id_col].cast("long") == both[own], "left").drop(own)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        mark = b.column(b.schema.get_field_index(marks))
+        spans, prints = pc.struct_field(mark, [0]), pc.struct_field(mark, [1]).to_pylist()
+        b = b.drop_columns([marks])
+        parts = []
+        for c in chunks(b.column(b.schema.get_field_index(text_col))):
+            gone = removed_words(c, k, spans)
+            for r in range(c.n):
+                if prints[c.row + r] and print_of(digests(*joined(*row_of(c, r)))[0]) in prints[c.row + r]:
+                    gone[c.ptr[r] : c.ptr[r + 1]] = True
+            parts.append((c, c.data, gone))
+        return cut_rows(b, text_col, parts)
+
+    return map_rows(marked, run, text_col, drop=(marks,))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm._spark import batch, map_texts
-from gritstone.llm._tokens import Encoder, cut, default_tokenizer
+from gritstone.llm._tokens import cut, default_tokenizer, encoder
 
 SCHEMA = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
@@ -76,13 +76,10 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 def encoded(docs: DataFrame, size: int, tokenizer: str, end: int, kind: str, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, ids (little-endian) of every piece."""
-    held: list[Encoder] = []
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(Encoder(tokenizer))
         doc, number, start, data, width = [], [], [], [], []
-        for at, ids, ptr in held[0].rows(b.column(1), end):
+        for at, ids, ptr in encoder(tokenizer).rows(b.column(1), end):
             row, n, s, length = cut(ptr, size)
             for x, y in zip((doc, number, start, width), (at + row, n, s, length), strict=True):
                 x.append(y)
