@@ -35,6 +35,22 @@ def normalize_hex(col: Column, strict: bool = True) -> Column:
     return F.when(valid & odd, F.concat(F.lit("0"), digits) if strict else F.lit(None)).when(valid, digits)
 
 
+def rejected_hex(df: DataFrame, key: str, col: str, strict: bool = True) -> DataFrame:
+    """S2's side table: key and value of the rows that are no hex digits."""
+    return df.filter(F.col(col).isNotNull() & normalize_hex(F.col(col), strict).isNull()).select(key, F.col(col).alias("value"))
+
+
+#: Fixed value: 2 to the power of 256.
+WORD_RANGE = str(1 << 256)
+
+
+def in_word_range(digits: Column) -> Column:
+    """Whether decimal digits stand for a number from 0 to 2^256 - 1: by length, then by order."""
+    body = F.regexp_replace(digits, "^0+(?=.)", "")
+    size = F.length(body)
+    return digits.rlike("^[0-9]+$") & ((size < len(WORD_RANGE)) | ((size == len(WORD_RANGE)) & (body < F.lit(WORD_RANGE))))
+
+
 def is_likely_text(col: Column, min_len: int = 4, ratio: float = 0.6) -> Column:
     """Without trailing NULs, long enough and mostly printable ASCII; in bytes, compared as 32-bit floats."""
     body = F.regexp_replace(col, "\\x00+$", "")

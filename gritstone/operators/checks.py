@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.operators.sets import signed_counts
 from gritstone.functions.scalars import deploy_cost, payload_cost, pct_increase
+from gritstone.operators.sequences import running_depth
+from gritstone.operators.sets import signed_counts
 
 
 def tables_equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,6 +33,13 @@ def rule_suite(df: DataFrame, rules: Sequence[tuple[str, str, Column]]) -> DataF
     return one.select(F.inline(rows)).withColumn("passed", F.col("violations") == 0)
 
 
+def no_reentry(df: DataFrame, part: Sequence[str], order: Sequence[str], enters: Column, leaves: Column, description: str = "no re-entry") -> DataFrame:
+    """V3, forbidden re-entry: one result row; a row that enters while its partition is inside already is a violation."""
+    delta = F.when(F.coalesce(enters, F.lit(False)), 1).when(F.coalesce(leaves, F.lit(False)), -1).otherwise(0)
+    one = running_depth(df, part, order, delta).agg(F.count_if(F.col("at_rise") & (F.col("depth") > 1)).alias("violations"))
+    return one.select(F.lit("re-entry").alias("check_type"), F.lit(description).alias("description"), "violations", (F.col("violations") == 0).alias("passed"))
+
+
 def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
     """V3 on two tables' results: a property is preserved iff both pass."""
     keys = ["check_type", "description"]
@@ -77,6 +85,17 @@ def size_cost_report(pairs: DataFrame, key: str, before: str, after: str) -> Dat
     return pairs.select(key, b.alias("bytes_before"), a.alias("bytes_after"), (a - b).alias("delta"), deploy_cost(b).alias("cost_before"), deploy_cost(a).alias("cost_after"), (deploy_cost(a) - deploy_cost(b)).alias("cost_delta"), pct_increase(b, a).alias("percent"), note.alias("note"))
 
 
+def size_cost_counts(report: DataFrame) -> DataFrame:
+    """How many pairs there are, grew, shrank and stayed, over a ``size_cost_report``, with summed deltas."""
+    note = lambda n: F.count_if(F.col("note") == n).alias(n)
+    return report.agg(F.count("*").alias("pairs"), note("larger"), note("smaller"), note("unchanged"), F.coalesce(F.sum("delta"), F.lit(0)).alias("delta"), F.coalesce(F.sum("cost_delta"), F.lit(0)).alias("cost_delta"))
+
+
+def as_documents(df: DataFrame, key: str, name: str = "document") -> DataFrame:
+    """Key, and each row as a JSON document."""
+    return df.select(key, F.to_json(F.struct("*")).alias(name))
+
+
 def interval_properties(sections: DataFrame, totals: DataFrame, by: str = "code_id") -> DataFrame:
     """V7: ten properties of each code's sections; totals: by, size."""
     w = Window.partitionBy(by).orderBy("offset", "len")

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import trailer_bounds
+from gritstone.functions.scalars import is_likely_text, trailer_bounds
 from gritstone.functions.windows import SLICE
 from gritstone.operators.sequences import running_depth, segment
 
@@ -222,6 +222,61 @@ def literal_texts(writes: DataFrame, by: str = "code_id") -> DataFrame:
     return one.select(by, "length", F.decode(F.unhex(F.substring("_hex", F.lit(1), (F.col("length") * 2).cast("int"))), "UTF-8").alias("text"))
 
 
+def pushed_texts(rows: DataFrame) -> DataFrame:
+    """U8's other form: code_id, node, idx, length, text of literals of 16 bytes and more in blocks that have the error selector.
+
+    rows: instructions with their node. The selector is pushed as it is, or as 461bcd shifted by e5; what is likely text
+    (P3) counts, without the zero bytes at its end.
+    """
+    w = Window.partitionBy("code_id", "node")
+    order = w.orderBy("idx")
+    shifted = (F.col("imm") == "461bcd") & (F.lead("imm").over(order) == "e5") & (F.lead("mnemonic", 2).over(order) == "SHL")
+    marked = rows.withColumn("_mark", F.coalesce((F.col("imm") == "08c379a0") | shifted, F.lit(False)))
+    marked = marked.withColumn("_error", F.max("_mark").over(w)).filter(F.col("_error") & (F.length("imm") >= 32))
+    digits = F.regexp_replace("imm", "(00)+$", "")
+    found = marked.withColumn("_digits", F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
+    text = found.withColumn("text", F.try_validate_utf8(F.unhex("_digits").cast("string")))
+    return text.filter(F.col("text").isNotNull() & is_likely_text(F.col("text"))).select("code_id", "node", "idx", F.octet_length("text").alias("length"), "text")
+
+
+def replace_spans(codes: DataFrame, spans: DataFrame, by: str = "code_id") -> DataFrame:
+    """U9 with changed lengths: by, code (hex digits), ok.
+
+    spans: by, offset, len (bytes of the code that go) and data (hex digits in their place). What lies between the
+    spans stays. Spans that overlap or leave the code make it null, and ok false; codes without spans stay as they are.
+    """
+    order = Window.partitionBy(by).orderBy("offset", "len")
+    end = F.col("offset") + F.col("len")
+    placed = spans.withColumn("_prior", F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lists = placed.groupBy(by).agg(
+        F.array_sort(F.collect_list(F.struct("offset", "len", "_prior", "data"))).alias("_spans"), F.max(end).alias("_end"), F.bool_and((F.col("offset") >= F.col("_prior")) & (F.col("len") >= 0)).alias("_apart")
+    )  # the spans of one code
+    both = codes.select(by, F.lower(F.hex("code")).alias("_h")).join(lists, by, "left")
+    cut = lambda a, n: F.substring("_h", (2 * a + 1).cast("int"), (2 * n).cast("int"))
+    woven = F.array_join(F.transform("_spans", lambda x: F.concat(cut(x["_prior"], x["offset"] - x["_prior"]), x["data"])), "")
+    rest = cut(F.col("_end"), F.length("_h") / 2 - F.col("_end"))
+    ok = F.col("_spans").isNull() | (F.col("_apart") & (2 * F.col("_end") <= F.length("_h")))
+    return both.select(by, F.when(F.col("_spans").isNull(), F.col("_h")).when(ok, F.concat(woven, rest)).alias("code"), ok.alias("ok"))
+
+
+class Decode:
+    """One code for SQL users: ``select * from decode(unhex('6001'))``."""
+
+    def eval(self, code: bytes):
+        if not code:
+            return
+        step = [b - 0x5E if 0x60 <= b <= 0x7F else 1 for b in code]
+        for idx, pc in enumerate(starts(step, [len(code)]).tolist()):
+            n = step[pc]
+            if pc + n <= len(code):
+                yield idx, pc, code[pc], mnemonics()[code[pc]], code[pc + 1 : pc + n].hex() if n > 1 else None, n
+
+
+def register_decode(spark: SparkSession, name: str = "decode") -> None:
+    """Makes ``Decode`` a table function of SQL."""
+    spark.udtf.register(name, F.udtf(Decode, returnType="idx int, pc int, opcode int, mnemonic string, imm string, size int"))
+
+
 def reassemble(spans: DataFrame, by: str = "code_id", offset: str = "offset", data: str = "data") -> DataFrame:
     """Spans of hex digits put back in the order of their offsets."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(offset).alias("o"), F.col(data).alias("d")))), lambda x: x["d"]), "")

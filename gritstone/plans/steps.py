@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gritstone.sources.scratch import cut_lineage
+
 
 @dataclass
 class Context:
@@ -17,10 +19,10 @@ class Context:
 
 @dataclass(frozen=True)
 class Step:
-    """A name and ``apply(df, ctx)``, which gives the new table. ``when`` may leave the step out."""
+    """A name and ``apply(df, ctx)``, which gives the new table, or the table and whether it is changed. ``when`` may leave the step out."""
 
     name: str
-    apply: Callable[[DataFrame, Context], DataFrame]
+    apply: Callable[[DataFrame, Context], DataFrame | tuple[DataFrame, bool]]
     when: Callable[[DataFrame], bool] | None = None
 
 
@@ -41,7 +43,8 @@ def build_steps(names: str, registry: dict[str, Step], aliases: dict[str, str] |
 def run_pipeline(df: DataFrame, steps: list[Step], seed: str, on_error: str = "raise") -> tuple[DataFrame, list[tuple[str, Observation, Observation]], Context]:
     """The table after all steps, and for each step the observed rows before and after; they count along with the query itself.
 
-    on_error ``skip``: a step that raises while it is planned is logged and leaves the table unchanged.
+    on_error ``skip``: a step that fails, while it is planned or while it runs, is logged and leaves the table
+    unchanged; each step is run and written to the shared folder for that. A step that says it changed nothing keeps the table.
     """
     ctx, seen = Context(seed), []
     for no, step in enumerate(steps):
@@ -52,10 +55,14 @@ def run_pipeline(df: DataFrame, steps: list[Step], seed: str, on_error: str = "r
         before, after = Observation(f"{no}-before"), Observation(f"{no}-after")
         try:
             new = step.apply(df.observe(before, F.count(F.lit(1)).alias("rows")), ctx)
+            new, changed = new if isinstance(new, tuple) else (new, True)
+            new = new.observe(after, F.count(F.lit(1)).alias("rows"))
             new.schema  # a step that cannot be planned fails here
-            df = new.observe(after, F.count(F.lit(1)).alias("rows"))
+            if on_error == "skip":
+                new = cut_lineage(new)
+            df = new
             seen.append((step.name, before, after))
-            ctx.log.append({"step_no": no, "name": step.name, "kind": "end"})
+            ctx.log.append({"step_no": no, "name": step.name, "kind": "end", "changed": changed})
         except Exception as e:
             ctx.log.append({"step_no": no, "name": step.name, "kind": "error", "message": str(e)[:200]})
             if on_error != "skip":

@@ -22,6 +22,24 @@ PAIRS = """g as (select distinct doc_id, substr(text, i, 32) as gram from (selec
 o as (select doc_id, gram, n, first from g join f using (gram)), pairs as (select distinct a.doc_id as id_a, b.doc_id as id_b from o a join o b on a.gram = b.gram and a.doc_id < b.doc_id where a.n <= 5 union select distinct first, doc_id from o where n > 5 and doc_id > first)"""
 
 
+#: The ordered diff of lines la (key, i, line) and lb (key, j, line), step by step: anchors, runs from them, gaps.
+ORDERED = """once_a as (select key, line, min(i) as i from la group by all having count(*) = 1), once_b as (select key, line, min(j) as j from lb group by all having count(*) = 1), uni as (select key, i, j from once_a join once_b using (key, line)),
+crs as (select *, max(j) over (partition by key order by i rows between unbounded preceding and 1 preceding) as pm, min(j) over (partition by key order by i rows between 1 following and unbounded following) as nm from uni), anc as (select key, i, j from crs where coalesce(pm < j, true) and coalesce(nm > j, true)),
+ends as (select key, n_a, n_b from (select key, count(*) as n_a from la group by key) join (select key, count(*) as n_b from lb group by key) using (key)),
+r1 as (select la.key, la.i, la.line, n_a, n_b, case when anc.j is not null then la.i end as ai, anc.j as aj from la join ends using (key) left join anc on anc.key = la.key and anc.i = la.i),
+r2 as (select *, coalesce(last_value(ai ignore nulls) over p, -1) as pi, coalesce(last_value(aj ignore nulls) over p, -1) as pj, coalesce(first_value(ai ignore nulls) over q, n_a) as ni, coalesce(first_value(aj ignore nulls) over q, n_b) as nj, coalesce(first_value(aj ignore nulls) over x, n_b) as lim from r1
+window p as (partition by key order by i rows between unbounded preceding and current row), q as (partition by key order by i rows between current row and unbounded following), x as (partition by key order by i rows between 1 following and unbounded following)),
+r3 as (select r2.*, pj + i - pi as j1, nj - ni + i as j2, coalesce(r2.line = x.line and pj + i - pi < lim, false) as e1, coalesce(r2.line = y.line and nj - ni + i > pj, false) or i = ni as e2 from r2 left join lb x on x.key = r2.key and x.j = pj + i - pi left join lb y on y.key = r2.key and y.j = nj - ni + i),
+r4 as (select *, bool_and(e1) over (partition by key, pi order by i) as o1, bool_and(e2) over (partition by key, ni order by i desc) as o2 from r3), r5 as (select *, coalesce(max(case when o1 then j1 end) over (partition by key, pi), pj) as f from r4),
+mat as (select key, i, case when o1 then j1 when o2 and j2 > f then j2 end as j from r5), ga as (select la.key, la.i as no, la.line, mat.j as hit, count(mat.j) over (partition by la.key order by la.i) as gap from la left join mat on mat.key = la.key and mat.i = la.i),
+gb as (select lb.key, lb.j as no, lb.line, mat.i as hit, count(mat.i) over (partition by lb.key order by lb.j) as gap from lb left join mat on mat.key = lb.key and mat.j = lb.j),
+gone as (select key, gap, 'a' as side, no, line from ga where hit is null union all select key, gap, 'b', no, line from gb where hit is null),
+stat as (select key, total, coalesce(hunks, 0) as hunks, coalesce(removed, 0) as removed, coalesce(added, 0) as added, total - coalesce(removed, 0) as unchanged from (select key, sum(n)::bigint as total from (select key, 1 as n from la union all select key, 0 from lb) group by key)
+left join (select key, count(distinct gap) as hunks, count(*) filter (side = 'a') as removed, count(*) filter (side = 'b') as added from gone group by key) using (key))"""
+TEXT_LINES = """la as (select key, k - 1 as i, parts[k] as line from (select key, parts, unnest(range(1, len(parts) + 1)) as k from (select id_a || '-' || id_b as key, string_split(text, chr(10)) as parts from pairs join documents on doc_id = id_a where text <> ''))),
+lb as (select key, k - 1 as j, parts[k] as line from (select key, parts, unnest(range(1, len(parts) + 1)) as k from (select id_a || '-' || id_b as key, string_split(text, chr(10)) as parts from pairs join documents on doc_id = id_b where text <> '')))"""
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, id_a, id_b, text_a, text_b of documents that share a passage of 32 characters."""
     docs = load(spark, sf_dir, "documents")
@@ -43,7 +61,7 @@ def d2_preserved_run_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study["summary"].crossJoin(study["verdict"].select("diversity", "preservation", "variety"))  # one row each
 
 
-@query()
+@query(f"with {PAIRS}, {TEXT_LINES}, {ORDERED} select key as pair_id, hunks, removed, added, unchanged, total from stat")
 def d3_line_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.line_diff_stats(near_copies(spark, sf_dir), "text_a", "text_b")
 
@@ -59,9 +77,13 @@ def d4_line_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.line_multiset_diff(cut("text_a"), cut("text_b"))
 
 
-@query()
+@query(
+    f"""with {PAIRS}, {TEXT_LINES}, {ORDERED}, h as (select key, gap, coalesce(array_to_string(list(line order by no) filter (side = 'a'), chr(10)), '') as before, coalesce(array_to_string(list(line order by no) filter (side = 'b'), chr(10)), '') as after from gone group by key, gap)
+select key as pair_id, (row_number() over (partition by key order by gap) - 1)::int as hunk_no, before, after from h"""
+)
 def d5_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.replacements(near_copies(spark, sf_dir), "text_a", "text_b")
+    out = D.replacements(near_copies(spark, sf_dir), "text_a", "text_b")
+    return out.select("pair_id", "hunk_no", *(F.array_join(c, "\n").alias(c) for c in ("before", "after")))
 
 
 @query("select event_type as before, nxt as after, count(*) as n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) where nxt is not null group by all order by n desc, before, after limit 5")
@@ -78,25 +100,24 @@ def sectioned(pairs: DataFrame, text: str) -> DataFrame:
 
 
 SECTIONS = """lab as (select pair_id, side, i - 1 as line_no, parts[i] as line from (select pair_id, side, string_split(t, chr(10)) as parts, unnest(range(1, len(string_split(t, chr(10))) + 1)) as i from txt)),
-lb as (select *, coalesce(bool_or(ends_with(line, '.')) over (partition by pair_id, side order by line_no rows between unbounded preceding and 1 preceding), false) as past, contains(line, ' the ') as f from lab), lc as (select *, sum((f and past)::int) over (partition by pair_id, side order by line_no) as fn from lb),
-ld as (select *, case when not past then '#header' when fn = 0 then '#storage' else fn::varchar end as key from lc), ka as (select pair_id, side, key from ld group by all),
-lin as (select coalesce(pair_id, pair_id) as pair_id, key, line, sum((side = 'a')::int) as p, sum((side = 'b')::int) as q from ld group by pair_id, key, line),
-it as (select pair_id, key, sum(greatest(p - q, 0))::bigint as removed, sum(greatest(q - p, 0))::bigint as added, sum(least(p, q))::bigint as unchanged, sum(p)::bigint as total, bool_or(p > 0) as in_a, bool_or(q > 0) as in_b from lin group by pair_id, key)"""
+sec as (select *, coalesce(bool_or(ends_with(line, '.')) over (partition by pair_id, side order by line_no rows between unbounded preceding and 1 preceding), false) as past, contains(line, ' the ') as f from lab), lc as (select *, sum((f and past)::int) over (partition by pair_id, side order by line_no) as fn from sec),
+ld as (select *, pair_id || '/' || case when not past then '#header' when fn = 0 then '#storage' else fn::varchar end as key from lc), la as (select key, row_number() over (partition by key order by line_no) - 1 as i, line from ld where side = 'a'), lb as (select key, row_number() over (partition by key order by line_no) - 1 as j, line from ld where side = 'b'),
+named as (select key, any_value(pair_id) as pair_id, bool_or(side = 'a') as in_a, bool_or(side = 'b') as in_b from ld group by key), """ + ORDERED + """, it as (select pair_id, split_part(key, '/', 2) as key, in_a, in_b, hunks, removed, added, unchanged, total from named join stat using (key))"""
 
 
 @query(
     f"""with {PAIRS}, txt as (select id_a || '-' || id_b as pair_id, 'a' as side, text as t from pairs join documents on doc_id = id_a union all select id_a || '-' || id_b, 'b', text from pairs join documents on doc_id = id_b), {SECTIONS}
-select pair_id, case key when '#header' then 'header' when '#storage' then 'storage' else 'function' end as kind, case when in_a then key end as key_a, case when in_b then key end as key_b, removed, added, unchanged, total from it"""
+select pair_id, case key when '#header' then 'header' when '#storage' then 'storage' else 'function' end as kind, case when in_a then key end as key_a, case when in_b then key end as key_b, hunks, removed, added, unchanged, total from it"""
 )
 def d7_structured_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_copies(spark, sf_dir)
     none = spark.range(0).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("token"))
-    return D.structured_diff(sectioned(pairs, "text_a"), sectioned(pairs, "text_b"), none).drop("item_no", "hunks")
+    return D.structured_diff(sectioned(pairs, "text_a"), sectioned(pairs, "text_b"), none).drop("item_no")
 
 
 @query(
     f"""with {PAIRS}, txt as (select id_a || '-' || id_b as pair_id, 'a' as side, text as t from pairs join documents on doc_id = id_a union all select id_a || '-' || id_b, 'b', text from pairs join documents on doc_id = id_b), {SECTIONS},
-r as (select pair_id, sum((removed + added > 0)::int)::bigint as hunks, sum(removed)::bigint as removed, sum(added)::bigint as added, sum(unchanged)::bigint as unchanged from it group by pair_id)
+r as (select pair_id, sum(hunks)::bigint as hunks, sum(removed)::bigint as removed, sum(added)::bigint as added, sum(unchanged)::bigint as unchanged from it group by pair_id)
 select count(*) as samples, min(hunks) as hunks_min, round(avg(hunks), 6) as hunks_avg, max(hunks) as hunks_max, min(removed) as removed_min, round(avg(removed), 6) as removed_avg, max(removed) as removed_max, min(added) as added_min, round(avg(added), 6) as added_avg, max(added) as added_max, min(unchanged) as unchanged_min, round(avg(unchanged), 6) as unchanged_avg, max(unchanged) as unchanged_max from r"""
 )
 def d8_diff_study(spark: SparkSession, sf_dir: str) -> DataFrame:

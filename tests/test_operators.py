@@ -98,6 +98,128 @@ def test_line_diffs_agree_on_totals(spark):
     assert [(r["before"], r["after"]) for r in hunks] == [(["b"], ["x"]), ([], ["d"])]
 
 
+def diff_by_hand(p: list[str], q: list[str]) -> list[tuple[list[str], list[str]]]:
+    """The hunks: lines unique on both sides that cross no other are anchors; equal lines are matched on from them, then back."""
+    uni = [(i, q.index(x)) for i, x in enumerate(p) if p.count(x) == 1 and q.count(x) == 1]
+    anchors = [(i, j) for i, j in uni if all((i < k) == (j < m) for k, m in uni if k != i)]
+    match = {}
+    marks = [(-1, -1), *anchors, (len(p), len(q))]
+    for (i, j), (k, m) in zip(marks[:-1], marks[1:], strict=True):
+        if i >= 0:
+            match[i] = j
+        n = 1
+        while i + n < k and j + n < m and p[i + n] == q[j + n]:
+            match[i + n] = j + n
+            n += 1
+        last, back = j + n - 1, 1
+        while k - back > i + n - 1 and m - back > last and p[k - back] == q[m - back]:
+            match[k - back] = m - back
+            back += 1
+    gaps: dict[int, tuple[list[str], list[str]]] = {}
+    for i, x in enumerate(p):
+        if i not in match:
+            gaps.setdefault(sum(k < i for k in match), ([], []))[0].append(x)
+    for j, x in enumerate(q):
+        if j not in match.values():
+            gaps.setdefault(sum(m < j for m in match.values()), ([], []))[1].append(x)
+    assert [match[i] for i in sorted(match)] == sorted(match.values())
+    return [gaps[g] for g in sorted(gaps)]
+
+
+def test_ordered_diff_against_loops(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(0, None, "x"), (1, "", ""), (2, "a\nb", None), (3, "same\ntext", "same\ntext")]
+    for k in range(4, 80):
+        p = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(1, 15))]
+        q = list(p)
+        for _ in range(rng.randint(0, 5)):
+            at, kind = rng.randrange(len(q) + 1), rng.random()
+            if kind < 0.4:
+                q.insert(at, rng.choice("abcxyz"))
+            elif kind < 0.7 and q:
+                q.pop(at % len(q))
+            elif q:
+                q.insert(at, q.pop(rng.randrange(len(q))))
+        rows.append((k, "\n".join(p), "\n".join(q)))
+    pairs = spark.createDataFrame(rows, "pair_id int, a string, b string")
+    stats = {r["pair_id"]: tuple(r)[1:] for r in D.line_diff_stats(pairs, "a", "b").collect()}
+    hunks: dict[int, list] = {}
+    for r in D.replacements(pairs, "a", "b").orderBy("pair_id", "hunk_no").collect():
+        hunks.setdefault(r["pair_id"], []).append((r["before"], r["after"]))
+    for k, a, b in rows:
+        p, q = (x.split("\n") if x else [] for x in (a, b))
+        want = diff_by_hand(p, q)
+        assert hunks.get(k, []) == want
+        removed, added = (sum(len(h[s]) for h in want) for s in (0, 1))
+        assert stats[k] == (len(want), removed, added, len(p) - removed, len(p))
+
+
+def test_longest_common_run_of_short_and_repeated_texts(spark):
+    pairs = spark.createDataFrame([(1, "ab" * 300, "xx" + "ab" * 20 + "y"), (2, "abcabcabd", "abd"), (3, "xyz" * 5, "zzyxx"), (4, None, "a"), (5, "é漢é漢", "漢é")], "pair_id int, a string, b string")
+    got = {r["pair_id"]: (r["length"], r["content"], r["at_b"]) for r in D.longest_common_run(pairs, "a", "b").collect()}
+    assert got == {1: (40, "ab" * 20, 2), 2: (3, "abd", 0), 3: (2, "zx", 3) if "zx" in "zzyxx" else (1, "z", 0), 4: (0, "", None), 5: (2, "漢é", 0)}
+
+
+def test_preserved_run_study_against_loops(spark):
+    import random
+    import statistics
+
+    rng = random.Random(9)
+    rows = [(k, "".join(rng.choice("ab") for _ in range(30)), "".join(rng.choice("ab") for _ in range(30))) for k in range(20)] + [(20, "", "x")]
+    study = D.preserved_run_study(spark.createDataFrame(rows, "pair_id int, a string, b string"), "a", "b", base=30.0)
+    runs = {k: max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0) for k, a, b in rows}
+    assert {r["pair_id"]: r["length"] for r in study["runs"].collect()} == runs
+    row = study["summary"].first()
+    assert abs(row["mean"] - statistics.mean(runs.values())) < 1e-9 and abs(row["ratio"] - statistics.mean(runs.values()) / 30 * 100) < 1e-9 and row["median"] == statistics.median(runs.values())
+    assert sum(r["n"] for r in study["histogram"].collect()) == 21
+    grams = [b[i : i + 8] for _, _, b in rows for i in range(len(b) - 7)]
+    verdict = study["verdict"].first()
+    assert abs(verdict["diversity"] - len(set(grams)) * 100 / len(grams)) < 1e-9
+    covered = {r["content"]: r["n"] for r in study["coverage"].collect()}
+    assert sum(covered.values()) == sum(n > 0 for n in runs.values())
+    assert verdict["preservation"] == ("strong" if row["ratio"] < 10 else "moderate" if row["ratio"] < 25 else "weak")
+
+
+def test_ngram_diversity_against_loops(spark):
+    rows = [("en", "hello hello"), ("en", None), ("en", ""), ("de", "äöü äöü äöü"), (None, "xyz"), ("fr", "a")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = {(r["lang"], r["n"]): (r["windows"], r["distinct_windows"], round(r["diversity"], 9)) for r in A.ngram_diversity(df, "text", (0, 2, 4), ["lang"]).collect()}
+    for lang in ("en", "de", None, "fr"):
+        for n in (0, 2, 4):
+            grams = [t[i : i + n] for x, t in rows if x == lang and t and n for i in range(len(t) - n + 1)]
+            assert got[lang, n] == (len(grams), len(set(grams)), round(len(set(grams)) * 100 / len(grams), 9) if grams else 0.0)
+    whole = {r["n"]: (r["windows"], r["distinct_windows"]) for r in A.ngram_diversity(df, "text", (2,)).collect()}
+    every = [t[i : i + 2] for _, t in rows if t for i in range(len(t) - 1)]
+    assert whole == {2: (len(every), len(set(every)))}
+
+
+def test_decode_of_long_and_mixed_codes(spark):
+    """Codes of one batch are decoded together: as each alone, by a loop."""
+    import random
+
+    rng = random.Random(1)
+    raw = [rng.randbytes(n) for n in (1, 2, 40, 0, 300, 1_500_000, 77)] + [b"\x7f", b"\x60", None, b"\x61\x01\x02\x00"]
+    codes = spark.createDataFrame(list(enumerate(raw)), "code_id long, code binary").coalesce(1)
+    names = U.mnemonics()
+    rows = U.decode_instructions(codes).select("code_id", "idx", "pc", "opcode", "mnemonic", "imm", "size").toPandas()
+    for k, code in enumerate(raw):
+        own = rows[rows.code_id == k].sort_values("idx")
+        if not code:
+            assert own.mnemonic.tolist() == ["EMPTY"] and own["size"].tolist() == [0]
+            continue
+        want, at = [], 0
+        while at < len(code):
+            n = code[at] - 0x5E if 0x60 <= code[at] <= 0x7F else 1
+            if at + n > len(code):
+                break
+            want.append((len(want), at, code[at], names[code[at]], code[at + 1 : at + n].hex() if n > 1 else None, n))
+            at += n
+        got = [(int(i), int(p), int(o), m, x, int(z)) for i, p, o, m, x, z in own[["idx", "pc", "opcode", "mnemonic", "imm", "size"]].itertuples(index=False)]
+        assert [(a[:4], a[4] or None, a[5]) for a in got] == [(a[:4], a[4], a[5]) for a in want]
+
+
 def test_dominators_of_small_graphs(spark):
     edges = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 3), (0, 2, 3), (0, 3, 4), (0, 4, 3)], "code_id int, src int, dst int")
     roots = spark.createDataFrame([(0, 0)], "code_id int, node int")
@@ -107,6 +229,90 @@ def test_dominators_of_small_graphs(spark):
     assert back == {4: None, 3: 4, 1: 3, 2: 3, 0: 3}
 
 
+def test_dominators_and_overlap_against_loops(spark):
+    """Random graphs: a node dominates another if that is out of reach without it."""
+    import random
+
+    rng = random.Random(7)
+    graphs = {g: sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)} | {(k, k + 1) for k in range(n - 1) if rng.random() < 0.8}) for g, n in enumerate((1, 2, 4, 7, 9, 12))}
+    rows = [(g, a, b) for g, e in graphs.items() for a, b in e]
+    edges = spark.createDataFrame(rows, "code_id int, src int, dst int")
+
+    def reach(e, root, without=None):
+        seen, todo = set(), [root] if root != without else []
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b for a, b in e if a == x and b != without]
+        return seen
+
+    def idoms(e, root):
+        nodes = reach(e, root)
+        doms = {v: {d for d in nodes if d != v and v not in reach(e, root, d)} for v in nodes}
+        return {v: max(doms[v], key=lambda d: len(doms[d]), default=None) for v in nodes}
+
+    want, last = {}, {0: 0, 1: 1, 2: 3, 3: 6, 4: 8, 5: 11}
+    for g, e in graphs.items():
+        if e:
+            want[g] = idoms(e, 0), idoms([(b, a) for a, b in e], last[g])
+    roots = spark.createDataFrame([(g, 0) for g in want], "code_id int, node int")
+    ends = spark.createDataFrame([(g, last[g]) for g in want], "code_id int, node int")
+    dom, pdom = G.immediate_dominators(edges, roots), G.immediate_dominators(edges, ends, reverse=True)
+    for out, k in ((dom, 0), (pdom, 1)):
+        assert {(r["code_id"], r["node"]): r["idom"] for r in out.collect()} == {(g, v): d for g, w in want.items() for v, d in w[k].items()}
+    got = {r["code_id"]: r["overlap"] for r in G.dominator_overlap(dom, pdom).collect()}
+    for g, (one, two) in want.items():
+        own = [v for v, d in one.items() if d is not None]
+        share = sum(two.get(v) == one[v] for v in own) / len(own) if own else 0.0
+        assert abs(got[g] - share) < 1e-9
+
+
+def test_reachable_over_many_rounds(spark):
+    """A chain that is longer than the tables that a search keeps before it puts them together."""
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(40)] + [(1, 40, 0), (2, 5, 6)], "code_id int, src int, dst int")
+    roots = spark.createDataFrame([(1, 0), (1, 30), (2, 5), (2, 6)], "code_id int, node int")
+    got = G.reachable(edges, roots).groupBy("code_id", "root").count().collect()
+    assert {(r["code_id"], r["root"]): r["count"] for r in got} == {(1, 0): 41, (1, 30): 41, (2, 5): 2, (2, 6): 1}
+
+
+def test_graph_metrics_by_hand(spark):
+    """6000600157600256: two blocks and two edges, one item deep after two pushes; 600050: one block, two edges."""
+    codes = code_table(spark, "600050", "6000600157600256", "00", "600160015601")
+    instr = U.decode_instructions(codes)
+    blocks, rows = U.block_table(instr)
+    blocks = U.with_control(blocks, J.resolve_targets(instr, blocks), rows)
+    edges = G.build_edges(blocks)
+    got = {r["code_id"]: r.asDict() for r in G.graph_metrics(codes, blocks, edges).collect()}
+    count = {r["code_id"]: r["count"] for r in edges.groupBy("code_id").count().collect()}
+    assert [(got[k]["byte_len"], got[k]["blocks"], got[k]["max_stack"]) for k in range(4)] == [(3, 1, 1), (8, 2, 2), (1, 1, 0), (6, got[3]["blocks"], got[3]["max_stack"])]
+    import math
+
+    for k, r in got.items():
+        assert r["edges"] == count[k] and abs(r["potency"] - (5 * math.log2(r["blocks"] + 2) + r["edges"] + 30 * (1 - r["overlap"]))) < 1e-9
+    assert (got[0]["edges"], got[2]["edges"]) == (2, 2)
+    size = {r["code_id"]: (r["blocks"], r["edges"], r["max_stack"], r["ok"]) for r in A.graph_size(blocks, edges).collect()}
+    assert size == {k: (r["blocks"], r["edges"], r["max_stack"], True) for k, r in got.items()}
+
+
+def test_determinism_check_sees_change(spark):
+    df = spark.range(50).select(F.col("id").alias("k"))
+    seeded_job = lambda s: df.select(S.seeded("x", s, F.col("k")).alias("h"))
+    assert V.determinism_check(seeded_job, SEED, "cd" * 32, df.select(F.col("k").cast("string").alias("h"))).first().asDict() == {"same_seed_equal": True, "other_seed_differs": True, "changed": True}
+    assert V.determinism_check(lambda s: df, SEED, "cd" * 32, df).first().asDict() == {"same_seed_equal": True, "other_seed_differs": False, "changed": False}
+
+
+def test_differences_of_tables_with_repeated_rows(spark):
+    from gritstone.operators import sets as O
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (4, "z")], "k int, v string")
+    got = sorted((r["k"], r["v"] or "", r["side"]) for r in O.symmetric_difference(a, b).collect())
+    assert got == [(1, "x", "a"), (2, "", "b"), (3, "z", "a"), (4, "z", "b")]
+    assert tuple(V.tables_equivalent(a, b).first()) == (2, 2, False) and tuple(V.tables_equivalent(a, a).first()) == (0, 0, True)
+    assert sorted((r["k"], r["change"]) for r in J.edge_changes(a, b, ["k"]).collect()) == [(3, "removed"), (4, "added")]
+
+
 def test_tokens_are_distinct_and_keep_the_byte(spark):
     keys = spark.range(500).withColumnRenamed("id", "k")
     rows = K.token_map(keys, "k", SEED, width=2, preserve=1).collect()
@@ -211,7 +417,10 @@ def test_sources_and_sinks(spark, tmp_path):
     good, bad = read_failure_reports(spark, str(f))
     assert [(r["id"], r["logs"]) for r in good.collect()] == [("ab", [])] and bad.count() == 1
     write_report("e1", {"summary": spark.range(2)}, str(tmp_path / "report"))
-    assert spark.read.parquet(str(tmp_path / "report" / "summary")).filter("experiment_id = 'e1'").count() == 2
+    write_report("e2", {"summary": spark.range(5)}, str(tmp_path / "report"))
+    write_report("e1", {"summary": spark.range(3)}, str(tmp_path / "report"))  # again: its own rows alone are replaced
+    counts = spark.read.parquet(str(tmp_path / "report" / "summary")).groupBy("experiment_id").count().collect()
+    assert {r["experiment_id"]: r["count"] for r in counts} == {"e1": 3, "e2": 5}
 
 
 def test_masking_leaves_the_rest(spark):
@@ -284,3 +493,48 @@ def test_masking_keeps_the_length_of_long_matches(spark):
     rows = S.mask_literals(spark.createDataFrame([(t,) for t in texts], "text string"), "text", r"[a-z]+@[a-z.]+", "s").collect()
     assert [len(r["text"]) for r in rows] == [len(t) for t in texts]
     assert all(r["text"].startswith("to ") and r["text"].endswith(" now") and "@" not in r["text"] for r in rows)
+
+
+def test_rejects_ranges_and_documents(spark):
+    df = spark.createDataFrame([(1, "0xAB"), (2, "zz"), (3, None), (4, "abc")], "k int, x string")
+    assert [r["k"] for r in S.rejected_hex(df, "k", "x").collect()] == [2]
+    assert sorted(r["k"] for r in S.rejected_hex(df, "k", "x", strict=False).collect()) == [2, 4]
+    big = 1 << 256
+    rows = spark.createDataFrame([(str(big - 1), True), (str(big), False), ("0", True), ("-1", False), ("000" + str(big - 1), True), ("", False), (str(10 * big), False)], "x string, want boolean")
+    assert rows.filter(S.in_word_range(F.col("x")) != F.col("want")).count() == 0
+    report = V.size_cost_report(spark.createDataFrame([(1, 10, 12), (2, 10, 10), (3, 10, 5)], "k int, b long, a long"), "k", "b", "a")
+    assert V.size_cost_counts(report).first().asDict() == {"pairs": 3, "larger": 1, "smaller": 1, "unchanged": 1, "delta": -3, "cost_delta": -600}
+    assert '"note":"larger"' in V.as_documents(report, "k").filter("k = 1").first()["document"]
+
+
+def test_reentry(spark):
+    calls = spark.createDataFrame([(1, k, x) for k, x in enumerate("([)](")] + [(2, k, x) for k, x in enumerate("((")], "run int, seq int, x string")
+    x = F.col("x")
+    row = V.no_reentry(calls, ["run"], ["seq"], x == "(", x == ")").first()
+    assert (row["violations"], row["passed"]) == (1, False)
+    assert V.no_reentry(calls.filter("run = 1"), ["run"], ["seq"], x == "(", x == ")").first()["passed"]
+
+
+def test_pushed_texts_and_replaced_spans(spark):
+    words = b"only the owner may call".hex()
+    direct = "6308c379a0" + "76" + words + "00"  # PUSH4 selector, PUSH23 text
+    shifted = "62461bcd" + "60e5" + "1b" + "7f" + words + "00" * 9 + "00"
+    codes = code_table(spark, direct, shifted, "76" + words + "00", "6308c379a0" + "6f" + "ff" * 16 + "00")
+    _, rows = U.block_table(U.decode_instructions(codes))
+    got = sorted((r["code_id"], r["length"], r["text"]) for r in U.pushed_texts(rows).collect())
+    assert got == [(0, 23, "only the owner may call"), (1, 23, "only the owner may call")]
+    spans = spark.createDataFrame([(0, 1, 2, "aa"), (0, 4, 0, "bbbb"), (1, 0, 3, ""), (2, 1, 2, "00"), (2, 2, 1, "00"), (3, 0, 99, "")], "code_id long, offset int, len int, data string")
+    out = {r["code_id"]: (r["code"], r["ok"]) for r in U.replace_spans(code_table(spark, "0102030405", "010203", "01020304", "01", "0a0b"), spans).collect()}
+    assert out == {0: ("01aa04bbbb05", True), 1: ("", True), 2: (None, False), 3: (None, False), 4: ("0a0b", True)}
+
+
+def test_decode_for_sql_users(spark):
+    U.register_decode(spark)
+    rows = spark.sql("select idx, pc, mnemonic, imm from decode(unhex('600160ff0161')) order by idx").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, "PUSH1", "01"), (1, 2, "PUSH1", "ff"), (2, 4, "ADD", None)]
+
+
+def test_steps_that_fail_while_they_run(spark):
+    steps = [Step("half", lambda df, ctx: (df.filter("id % 2 = 0"), True)), Step("breaks", lambda df, ctx: df.filter("raise_error(cast(id as string)) is null")), Step("same", lambda df, ctx: (df, False))]
+    out, seen, ctx = run_pipeline(spark.range(10), steps, SEED, on_error="skip")
+    assert out.count() == 5 and [(x["kind"], x.get("changed")) for x in ctx.log] == [("start", None), ("end", True), ("start", None), ("error", None), ("start", None), ("end", False)]
