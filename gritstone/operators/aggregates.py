@@ -19,10 +19,15 @@ def unknown_stats(instr: DataFrame, unknown: Column, kind: str, by: Sequence[str
     return instr.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(unknown).alias("unknown"), F.count_distinct(F.when(unknown, F.col(kind))).alias("unknown_kinds"))
 
 
-def distribution_summary(df: DataFrame, value: str, base: float, by: Sequence[str] = ()) -> DataFrame:
-    """A1: count, mean, median, sample deviation, extremes, interpolated percentiles, mean as percent of ``base``; zeros for no rows."""
+def distribution_summary(df: DataFrame, value: str, base: float, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """A1: count, mean, median, sample deviation, extremes, interpolated percentiles, mean as percent of ``base``; zeros for no rows.
+
+    Exact percentiles keep the distinct values of a group together; for groups of very many, ``accuracy`` gives values
+    of the data whose rank is wrong by at most 1 / accuracy of the group, from a sketch of bounded size.
+    """
     x = F.col(value).cast("double")
-    p = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
+    points = F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95)))
+    p = F.percentile(x, points) if accuracy is None else F.percentile_approx(x, points, accuracy)
     zero = F.lit(0.0)
     one = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), p.alias("p"))
     picked = [F.coalesce(F.col("p")[k], zero).alias(name) for k, name in enumerate(("p25", "median", "p75", "p95"))]
@@ -164,7 +169,7 @@ def run_stats(results: DataFrame, success: Column, error: Column, mismatch: Colu
 
 
 def check_rollup(checks: DataFrame, suite: str = "suite_id", order: str = "check_no") -> DataFrame:
-    """Valid (all passed), proven, total, success rate, summed time, and a hash of statements and results in order."""
+    """Valid (all passed), proven, total, success rate, summed time, and a hash of statements and results in order. The statements of one suite are put together in one row."""
     line = F.concat(F.col("statement"), F.lit("="), F.col("passed").cast("string"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), line.alias("line")))), lambda x: x["line"]), "\n")
     one = checks.groupBy(suite).agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("valid"), F.count_if("passed").alias("proven"), F.count("*").alias("total"), F.sum("elapsed_ms").alias("elapsed_ms"), ordered.alias("lines"))

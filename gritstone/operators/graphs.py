@@ -65,7 +65,8 @@ def immediate_dominators(edges: DataFrame, roots: DataFrame, by: str = "code_id"
     """(by, node, idom) for what each graph's root reaches; the root's idom is null. reverse: post-dominators.
 
     All graphs at once: every node keeps the set of nodes that all known ways to it pass, starting from its
-    first way and shrinking to the intersection over its predecessors.
+    first way and shrinking to the intersection over its predecessors. That suits the graphs of programs; a row holds
+    as many nodes as its node has dominators, so a deep graph of n nodes has up to n * n / 2 of them in all.
     """
     e = edges.select(by, F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges.select(by, "src", "dst")
     reach = reachable(e, roots, by).select(by, "node").distinct()

@@ -152,7 +152,7 @@ def keys_present(codes: DataFrame, literals: DataFrame, on: Sequence[str]) -> Da
 
 
 def reverse_targets(jumps: DataFrame, source: str, target: str, by: Sequence[str] = ()) -> DataFrame:
-    """For each target its sources in order."""
+    """For each target its distinct sources in order, in one row: of a program at most as many as it has jumps."""
     return jumps.filter(F.col(target).isNotNull()).groupBy(*by, target).agg(F.sort_array(F.collect_set(source)).alias("sources"))
 
 

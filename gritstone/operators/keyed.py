@@ -62,23 +62,36 @@ def apply_tokens(df: DataFrame, mapping: DataFrame, col: str, part: Sequence[str
     return both.withColumn("replaced", hit).withColumn("new_value", F.when(hit, F.col("token").cast("string")).otherwise(F.col(col).cast("string"))).select(*df.columns, "new_value", "replaced")
 
 
+def ranked(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with each row's number in its group from 1 on, written to the shared folder; a group of any size is spread over tasks.
+
+    Rows are dealt by ranges of (group, order) and numbered in their partition; what a group has in the partitions before
+    is added, from a table of one row for each group and partition.
+    """
+    sorted_ = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(sorted_).withColumn("_part", F.shiftright("_id", 33))
+    parts = placed.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(parts.select(group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    both = placed.join(offsets.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")) & (placed["_part"] == offsets["_part"]))
+    return both.withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+
+
 def permute_within(values: DataFrame, group: str, value: str, seed: str, excluded: DataFrame | None = None, unresolved: Column | None = None) -> DataFrame:
     """K4: group, value, new_value: a bijection of each group's distinct values; excluded ones stay fixed.
 
-    Values are ranked in natural and in hashed order; if both orders agree in a group of several values,
-    it is rotated left by one. If any row is unresolved, nothing is permuted.
+    Values are ranked in natural and in hashed order, by ranges and not by group; if both orders agree in a group of
+    several values, it is rotated left by one. If any row is unresolved, nothing is permuted.
     """
     distinct = values.filter(F.col(value).isNotNull()).select(group, value).distinct()
     free = distinct if excluded is None else exclude_protected(distinct, value, excluded.select(value))
-    natural = Window.partitionBy(group).orderBy(value)
-    hashed = Window.partitionBy(group).orderBy(F.col("_h"), F.col(value))
-    ranked = free.withColumn("_h", seeded("permute", seed, F.concat_ws(":", F.col(group).cast("string"), F.col(value).cast("string"))))
-    ranked = ranked.withColumn("_n", F.row_number().over(natural)).withColumn("_m", F.row_number().over(hashed))
-    state = ranked.groupBy(group).agg(F.count("*").alias("_size"), F.bool_and(F.col("_n") == F.col("_m")).alias("_same"))
-    ranked = ranked.join(state, group)
+    hashed = free.withColumn("_h", seeded("permute", seed, F.concat_ws(":", F.col(group).cast("string"), F.col(value).cast("string"))))
+    both = cut_lineage(ranked(ranked(hashed, group, [value], "_n"), group, ["_h", value], "_m").drop("_h"))
+    state = cut_lineage(both.groupBy(group).agg(F.count("*").alias("_size"), F.bool_and(F.col("_n") == F.col("_m")).alias("_same")))
+    sized = both.join(state, group)
     rotated = F.when(F.col("_same") & (F.col("_size") > 1), F.col("_n") % F.col("_size") + 1).otherwise(F.col("_n"))
-    source = ranked.withColumn("_slot", rotated).select(group, value, "_slot")
-    moved = source.join(ranked.select(group, F.col("_m").alias("_slot"), F.col(value).alias("new_value")), [group, "_slot"]).select(group, value, "new_value")
+    source = sized.withColumn("_slot", rotated).select(group, value, "_slot")
+    moved = source.join(both.select(group, F.col("_m").alias("_slot"), F.col(value).alias("new_value")), [group, "_slot"]).select(group, value, "new_value")
     out = distinct.join(moved, [group, value], "left").withColumn("new_value", F.coalesce("new_value", value))
     if unresolved is not None:
         stop = values.agg(F.coalesce(F.bool_or(unresolved), F.lit(False)).alias("_stop"))

@@ -92,6 +92,18 @@ def g2_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(edges, edges.select("code_id", F.lit(1).alias("node")).distinct())
 
 
+@query(
+    """with recursive l as (select distinct 'page ' || page_id as page, 'link ' || unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages), e as (select page as src, link as dst from l union all select link, page from l),
+r as (select src as root, src as node from e where src = 'page 0' union select r.root, e.dst from r join e on e.src = r.node) select 0 as code_id, root, node from r"""
+)
+def g2_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One large graph: pages and the links that stand in them; all that the first page reaches over links that pages share."""
+    pages = load(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("page"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    both = pages.select(F.lit(0).alias("code_id"), F.inline(F.array(F.struct(F.col("page").alias("src"), F.concat(F.lit("link "), "link").alias("dst")), F.struct(F.concat(F.lit("link "), "link").alias("src"), F.col("page").alias("dst")))))
+    edges = cut_lineage(both.distinct())
+    return G.reachable(edges, edges.filter("src = 'page 0'").select("code_id", F.col("src").alias("node")).distinct())
+
+
 @query(
     f"""with recursive {TRANSITIONS}, n as (select distinct code_id, 1 as node from e), r as (select code_id, 0 as gone, node from n union select r.code_id, r.gone, e.dst from r join e on e.code_id = r.code_id and e.src = r.node),
 q as (select n.code_id, g.gone, n.node from n, (values (2), (3), (4), (5)) g(gone) union select q.code_id, q.gone, e.dst from q join e on e.code_id = q.code_id and e.src = q.node and e.dst <> q.gone),
