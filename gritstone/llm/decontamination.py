@@ -153,7 +153,7 @@ class Matcher:
         return mix(a * _PAIR + b)
 
     def hits(self, c: Chunk) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
-        """Which words of the chunk are hit; the items found and the longest match of each row."""
+        """Which words of the chunk are hit; the items found and the longest match of each row (0 under a window)."""
         n, rows = len(c.starts), c.rows()
         found: list[set[int]] = [set() for _ in range(c.n)]
         longest = np.zeros(c.n, np.int64)
@@ -175,7 +175,7 @@ class Matcher:
         for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
             spans, items, most = self.automaton.walk(at[a:b].tolist())
             r = rows[a]
-            longest[r] = max(longest[r], most)
+            longest[r] = max(longest[r], most if most >= self.automaton.window else 0)
             if spans:
                 found[r] |= items
                 start += [a + s for s, _ in spans]
@@ -238,7 +238,7 @@ def hit_words(c: Chunk, spans: pa.ListArray) -> np.ndarray:
 
 
 def found_spans(texts: DataFrame, blocks: Iterator[Block]) -> DataFrame:
-    """key, spans, items and longest of the rows of ``texts`` (doc_id, text, key) that any block hits or matches in part; a pass for each block."""
+    """key, spans, items and longest of the rows of ``texts`` (doc_id, text, key) that any block hits; a pass for each block."""
     tables = []
     for block in blocks:
 
@@ -246,7 +246,7 @@ def found_spans(texts: DataFrame, blocks: Iterator[Block]) -> DataFrame:
             m, out = matcher(block), []
             for c in chunks(b.column(1), ALNUM, lower=True):
                 hit, found, longest = m.hits(c)
-                some = pa.array(longest > 0)
+                some = pa.array(per_row(hit, c.ptr) > 0)
                 items = pa.array([[str(m.ids[k]) for k in x] for x in found], pa.list_(pa.string()))
                 out.append(batch(key=b.column(2).slice(c.row, c.n), spans=spans_of(c, hit), items=items, longest=longest).filter(some))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else None
@@ -269,7 +269,8 @@ def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000
 ) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit (words inside a window of an item), n_items, items_sha256
-    (of the item_ids found, sorted as strings and joined by commas), longest_match, contaminated (n_hit > 0)."""
+    (of the item_ids found, sorted as strings and joined by commas), longest_match (the longest run of words that an item has too,
+    0 under ``window``), contaminated (n_hit > 0)."""
     n_blocks, blocks = item_blocks(benchmark, item_col, item_text_col, window, block_words)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long, contaminated boolean"
 

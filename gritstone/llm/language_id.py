@@ -10,14 +10,23 @@ A document gets the language of the lowest cross-entropy for each symbol. Calibr
 from the counts, give the temperature that makes ``score`` a probability and, for each language, the
 cross-entropy above which a document is marked ``rejected``.
 
-Bound of the training rows: about ``max_rows`` a language, chosen by a hash of doc_id; one in five of
-these calibrates. Null texts, and texts without a letter, are ``und`` with score 0, as is every text if
-there is no training row. Rows with a null language are never learned from. Repeated rows are judged
-alike; texts are judged whole.
+Bound of the training rows: about ``max_rows`` a language and ``max_total`` in all, chosen by a hash of doc_id; one
+in five of these calibrates. Languages are taken in blocks whose tables have at most ``max_cells`` numbers, so that
+a table that reaches every task has a bounded size however many languages there are. One block, which some
+dozens of languages fit, takes one narrow pass; several take a pass each, and the best of each block meet in
+an aggregation by a hash of the row.
+
+Null texts, and texts without a letter, are ``und`` with score 0, as is every text if there is no training row or
+the table is empty. Rows with a null language are never learned from. Of languages of equal cross-entropy the first
+by name is chosen. Repeated rows are judged alike, rows of one id with different texts each for itself; texts are
+judged whole, a slice of rows of about 1 MB at a time, a longer text as a slice of its own. Other columns are not
+read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,14 +140,14 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class KneserNey:
     """Interpolated Kneser-Ney models of several languages in shared sorted hash arrays."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int):
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, alphabet: int | None = None):
         self.langs, self.order = langs, order
         self.grams: list[np.ndarray] = [np.zeros(0, np.uint64)] * (order + 1)
         self.logp: list[np.ndarray] = [np.zeros((0, len(langs)))] * (order + 1)
         self.contexts: list[np.ndarray] = [np.zeros(0, np.uint64)] * (order + 1)
         self.backoff: list[np.ndarray] = [np.zeros((0, len(langs)))] * (order + 1)
         counts = [self._counts(gram[lang == k], n[lang == k], order) for k in range(len(langs))]
-        alphabet = len(np.unique(np.concatenate([c[1][0] for c in counts]))) + 1
+        alphabet = alphabet or len(np.unique(np.concatenate([c[1][0] for c in counts]))) + 1
         self.floor = np.full(len(langs), -np.log(alphabet))
         lower_keys, lower = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
         for m in range(1, order + 1):
@@ -236,76 +245,133 @@ class KneserNey:
         return -total / np.maximum(size, 1)[:, None], size
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int, order: int) -> tuple[KneserNey, float, np.ndarray] | None:
-    """Models, temperature and rejection limits; None without a training row."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int, max_total: int) -> DataFrame:
+    """doc_id, text, lang, fold of the rows to learn from (fold 0 calibrates)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null")
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not per_lang:
-        return None
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(10)), F.lit(1_000_000)) / 1_000_000
-    share = F.lit(1.0)
-    for name, n in per_lang.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, max_rows / n))).otherwise(share)
-    sample = materialize(rows.filter(part < share).withColumn("fold", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(11)), F.lit(5))))
-    table = count_grams(sample.filter("fold <> 0").select("doc_id", "text", "lang"), order).toArrow()
+    per_lang = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
+    langs = per_lang.count()
+    shares = per_lang.select("lang", F.least(F.lit(1.0), F.lit(min(max_rows, max_total / max(1, langs))) / F.col("n")).alias("share"))
+    if langs <= 10_000:  # well under a megabyte
+        shares = F.broadcast(shares)
+    folded = lambda seed, n: F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), F.lit(n))
+    chosen = rows.join(shares, "lang").filter(folded(10, 1_000_000) / 1_000_000 < F.col("share"))
+    return materialize(chosen.select("doc_id", "text", "lang", folded(11, 5).alias("fold")))
+
+
+def blocks_of(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, max_cells: int) -> Iterator[KneserNey]:
+    """Models of runs of ``langs``, each with at most about ``max_cells`` table entries; one language at least."""
+    alphabet = len(np.unique(gram & np.uint64((1 << BITS) - 1))) + 1
+    sizes = np.bincount(lang, minlength=len(langs))
+    at = 0
+    while at < len(langs):
+        stop = at + 1
+        while stop < len(langs) and int(sizes[at : stop + 1].sum()) * (stop + 1 - at) * 2 <= max_cells:  # grams of all orders and contexts: under twice those of the highest
+            stop += 1
+        own = (lang >= at) & (lang < stop)
+        yield KneserNey(langs[at:stop], lang[own] - at, gram[own], n[own], order, alphabet)
+        at = stop
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int, max_total: int, max_cells: int, order: int) -> tuple[list[KneserNey], float, np.ndarray] | None:
+    """Models by blocks of languages, temperature and rejection limits (of all languages in order); None without a training row."""
+    sample = training_rows(docs, id_col, text_col, lang_col, max_rows, max_total)
+    table = count_grams(sample.filter("fold <> 0").select("doc_id", "text", "lang"), order).toArrow()  # of ``max_total`` rows
     if not table.num_rows:
         return None
     langs = sorted(set(table["lang"].to_pylist()))
     code = {x: k for k, x in enumerate(langs)}
-    model = KneserNey(langs, np.array([code[x] for x in table["lang"].to_pylist()]), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy(), order)
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        h, size = model.entropies(b.column(1))
-        keep = size > 0
-        return batch(lang=b.column(2).filter(pa.array(keep)), h=pa.array(h[keep].tolist(), pa.list_(pa.float64())), size=size[keep])
-
-    held = map_texts(sample.filter("fold = 0").select("doc_id", "text", "lang"), run, "lang string, h array<double>, size long", extra=("lang",)).toArrow()
+    lang = np.array([code[x] for x in table["lang"].to_pylist()])
+    models = list(blocks_of(langs, lang, table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy(), order, max_cells))
+    calibrating = sample.filter("fold = 0").select("doc_id", "text", "lang")
+    parts = []
+    for model in models:
+
+        def run(b: pa.RecordBatch, model: KneserNey = model) -> pa.RecordBatch:
+            h, size = model.entropies(b.column(1))
+            keep = size > 0
+            return batch(doc_id=b.column(0).filter(pa.array(keep)), lang=b.column(2).filter(pa.array(keep)), h=pa.array(h[keep].tolist(), pa.list_(pa.float64())), size=size[keep])
+
+        part = map_texts(calibrating, run, "doc_id long, lang string, h array<double>, size long", extra=("lang",)).toArrow()
+        parts.append(part.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("size", "ascending")]))
     limits, temperature = np.full(len(langs), np.inf), 1.0
-    if held.num_rows:
-        h = np.array(held["h"].to_pylist())
-        truth = np.array([code.get(x, -1) for x in held["lang"].to_pylist()])
-        size = held["size"].to_numpy()
+    if parts[0].num_rows:
+        h = np.concatenate([np.array(p["h"].to_pylist()) for p in parts], axis=1)
+        truth = np.array([code.get(x, -1) for x in parts[0]["lang"].to_pylist()])
+        size = parts[0]["size"].to_numpy()
         scales = np.geomspace(0.5, 200, 40)
-        loss = [-np.log(np.maximum(posterior(h, size, s)[np.arange(len(h)), truth], 1e-9))[truth >= 0].mean() for s in scales]
+        loss = [-np.log(np.maximum(posterior(h, size, s)[np.arange(len(h)), truth], 1e-9))[truth >= 0].mean() for s in scales] if (truth >= 0).any() else [0.0]
         temperature = float(scales[int(np.argmin(loss))])
         for k in range(len(langs)):
             own = h[truth == k, k]
             if len(own):
                 limits[k] = np.quantile(own, 0.995) + 0.25
-    return model, temperature, limits
+    return models, temperature, limits
+
+
+def sharpness(size: np.ndarray, scale: float) -> np.ndarray:
+    """By what cross-entropies count: more in longer texts, with diminishing weight."""
+    return scale * np.sqrt(np.minimum(size, 400) / 400)
 
 
 def posterior(h: np.ndarray, size: np.ndarray, scale: float) -> np.ndarray:
-    """Probabilities of the languages: cross-entropies count more in longer texts, with diminishing weight."""
-    z = -h * (scale * np.sqrt(np.minimum(size, 400) / 400))[:, None]
+    """Probabilities of the languages."""
+    z = -h * sharpness(size, scale)[:, None]
     z -= z.max(axis=1, keepdims=True)
     e = np.exp(z)
     return e / e.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, order: int = 5) -> DataFrame:
+def identify(
+    docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, order: int = 5, max_total: int = 50_000, max_cells: int = 40_000_000
+) -> DataFrame:
     """One row for each document: doc_id, lang_pred, score, cross_entropy, rejected.
 
     train_on: rows to learn from (default: ``docs``).
     """
-    fitted = train(docs if train_on is None else train_on, id_col, text_col, lang_col, max_rows, order)
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = b.num_rows
-        if fitted is None:
-            return batch(doc_id=b.column(0), lang_pred=pa.array(["und"] * rows, pa.string()), score=np.zeros(rows), cross_entropy=np.zeros(rows), rejected=np.ones(rows, bool))
-        model, temperature, limits = fitted
-        h, size = model.entropies(b.column(1))
-        best = h.argmin(axis=1) if rows else np.zeros(0, np.int64)
-        at, some = np.arange(rows), size > 0
-        p = posterior(h, size, temperature)[at, best] if rows else np.zeros(0)
+    fitted = train(docs if train_on is None else train_on, id_col, text_col, lang_col, max_rows, max_total, max_cells, order)
+    schema = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
+    if fitted is None:
+        return docs.select(docs[id_col].cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"))
+    models, temperature, limits = fitted
+
+    def judge(model: KneserNey, limits: np.ndarray, texts: pa.Array) -> dict[str, pa.Array]:
+        """The best language of a block for each row, the probability of it among the block's, and beyond which the row is rejected."""
+        h, size = model.entropies(texts)
+        rows, some = np.arange(len(size)), size > 0
+        best = h.argmin(axis=1)
         names = np.array([*model.langs, "und"], object)
-        return batch(
-            doc_id=b.column(0),
-            lang_pred=pa.array(names[np.where(some, best, len(model.langs))].tolist(), pa.string()),
-            score=np.where(some, p, 0.0),
-            cross_entropy=np.where(some, h[at, best], 0.0),
-            rejected=~some | (h[at, best] > limits[best]),
-        )
-
-    return map_texts(docs, run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean", id_col, text_col)
+        return {
+            "lang_pred": pa.array(names[np.where(some, best, len(model.langs))].tolist(), pa.string()),
+            "score": pa.array(np.where(some, posterior(h, size, temperature)[rows, best], 0.0)),
+            "cross_entropy": pa.array(np.where(some, h[rows, best], 0.0)),
+            "rejected": pa.array(~some | (h[rows, best] > limits[best])),
+            "sharpness": pa.array(sharpness(size, temperature)),
+        }
+
+    if len(models) == 1:
+        model = models[0]
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = judge(model, limits, b.column(1))
+            out.pop("sharpness")
+            return batch(doc_id=b.column(0), **out)
+
+        return map_texts(docs, run, schema, id_col, text_col)
+
+    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key"))
+    every, at = None, 0
+    for model in models:
+        own = limits[at : at + len(model.langs)]
+        at += len(model.langs)
+
+        def run(b: pa.RecordBatch, model: KneserNey = model, own: np.ndarray = own) -> pa.RecordBatch:
+            return batch(key=b.column(2), **judge(model, own, b.column(1)))
+
+        part = materialize(map_texts(keyed, run, "key long, lang_pred string, score double, cross_entropy double, rejected boolean, sharpness double", extra=("key",)).dropDuplicates(["key"]))
+        every = part if every is None else every.unionByName(part)
+    ranked = every.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cross_entropy", "lang_pred", "score", "rejected", "sharpness"))).alias("all"))  # one entry a block
+    best = F.col("all")[0]
+    # a block whose best language has probability q in it has 1 / q times the weight of that language
+    mass = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp((best["cross_entropy"] - x["cross_entropy"]) * x["sharpness"]) / x["score"])
+    merged = materialize(ranked.select("key", best["lang_pred"].alias("lang_pred"), F.when(best["score"] > 0, 1 / mass).otherwise(0.0).alias("score"), best["cross_entropy"].alias("cross_entropy"), best["rejected"].alias("rejected")))
+    return keyed.select("doc_id", "key").join(merged, "key").select("doc_id", "lang_pred", "score", "cross_entropy", "rejected")

@@ -17,8 +17,13 @@ the classes of other components, while that shrinks what is left. A last sweep t
 bands still hold several components and finds their links by prefixes of rare shingles, which is exact.
 So no link between different components is left out, however large a group of near copies is.
 
+Keys that many rows share (a set that thousands of copies have, a band of a large group) meet their other side as a
+written table, so that Spark splits them over tasks; rows without a partner take no part in such joins.
+
 Null and empty texts have an empty set and link with nothing. Repeated rows have equal sets: the smallest
-doc_id stays, and rows of one doc_id are all kept or dropped together. Other columns are not read.
+doc_id stays, and rows of one doc_id are all kept or dropped together. Of links of equal similarity all count, so
+ties change nothing. An empty table gives an empty result. Texts are read whole, a slice of rows of about 1 MB at a
+time; a longer text is a slice of its own. Other columns are not read by ``classes`` and pass through ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm._spark import batch, components, map_texts, materialize
+from gritstone.llm._spark import batch, components, discard, map_texts, materialize
 from gritstone.llm._words import PLAIN, Chunk, chunks, mix, window_hash
 
 BITS = 512
@@ -161,9 +166,9 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     stands at the ends of its sets, so sets that are alike, but too little, do not meet.
     """
     one = sets.join(members, "doc_id").select("doc_id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    common = one.groupBy("shingle").agg(F.count("*").alias("df"))
+    common = materialize(one.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"))
     order = Window.partitionBy("doc_id").orderBy("df", "shingle")  # one document's shingles
-    ranked = one.join(common, "shingle").withColumn("rank", F.row_number().over(order)).filter("df > 1")
+    ranked = one.join(common, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(order)).filter("df > 1")
     # the largest part of a set that any partner can make necessary: a set of n has none under t * n shingles
     last = f"n - ({threshold} * n + 99) div 100 + 1"
     early = f"n - ({2 * threshold} * n + {99 + threshold}) div {100 + threshold} + 1"  # with a partner of n or more
@@ -178,35 +183,43 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
 def classes(docs: DataFrame, shingle: int = 5, threshold: int = 75, bands: int = 48, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included), kept (doc_id = component_id)."""
     sigs = materialize(signatures(docs, shingle, bands, rows, id_col, text_col))
-    own = sigs.filter("n_shingles > 0").groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("class"))
-    member = materialize(sigs.select("doc_id", "n_shingles", "print_a", "print_b").join(own, ["print_a", "print_b", "n_shingles"], "left").select("doc_id", "n_shingles", "class"))
+    alike = ["print_a", "print_b", "n_shingles"]
+    own = materialize(sigs.filter("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    some = sigs.filter("n_shingles > 0").select("doc_id", *alike).join(own, alike, "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("class"))
+    none = sigs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class"))
+    member = materialize(some.unionByName(none))
     firsts = member.filter("doc_id = class").select("doc_id").distinct()
     reps = sigs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    in_band = materialize(banded.join(shared, "band"))
-    drawn = in_band.groupBy("doc_id").agg(F.sum("size").alias("drawn"))  # how many share bands with it: most for the middle of a group
-    in_band = materialize(in_band.join(drawn, "doc_id").select("band", "doc_id", "drawn"))
+    banded = materialize(reps.select("doc_id", F.explode("bands").alias("band")))
+    shared = materialize(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    met = materialize(banded.join(shared, "band"))
+    discard(own, banded, shared)
+    drawn = met.groupBy("doc_id").agg(F.sum("size").alias("drawn"))  # how many share bands with it: most for the middle of a group
+    in_band = materialize(met.join(drawn, "doc_id").select("band", "doc_id", "drawn"))
+    discard(met)
     candidates = materialize(in_band.select("doc_id").distinct())
     odd = materialize(sigs.select("doc_id", "odd").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    discard(sigs)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(candidates, "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]))
     limit = odd_limit(bands * rows, threshold)
 
-    hubs = in_band.groupBy("band").agg(F.max(F.struct("drawn", -F.col("doc_id"))).alias("hub"))
+    hubs = materialize(in_band.groupBy("band").agg(F.max(F.struct("drawn", -F.col("doc_id"))).alias("hub")))
     best = in_band.join(hubs, "band").groupBy("doc_id").agg((-F.max("hub")["col2"]).alias("b")).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     links = materialize(confirm(best, odd, sets, limit, threshold))
     comps = components(links)
     total = in_band.count()
+    discard(hubs)
     pending = None
     for step in range(max_rounds + 1):
         labels = comps.select(F.col("id").alias("doc_id"), "comp")
-        in_band = in_band.join(labels, "doc_id", "left").select("band", "doc_id", "drawn", F.coalesce("comp", "doc_id").alias("comp"))
-        several = in_band.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("band")
-        in_band = materialize(in_band.join(several, "band"))  # bands with one component are finished
+        labelled = materialize(in_band.join(labels, "doc_id", "left").select("band", "doc_id", "drawn", F.coalesce("comp", "doc_id").alias("comp")))
+        several = materialize(labelled.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("band"))
+        former, in_band = in_band, materialize(labelled.join(several, "band"))  # bands with one component are finished
+        discard(former, labelled, several)
         by_comp = in_band.groupBy("band", "comp").agg(F.count("*").alias("n"))
         main = by_comp.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"))
-        main = materialize(main.select("band", F.col("main")["comp"].alias("main"), (F.col("size") - F.col("main")["n"]).alias("apart"), "size"))
+        main = main.select((F.col("size") - F.col("main")["n"]).alias("apart"), "size")
         work = main.agg(F.sum(F.col("apart") * F.col("size"))).first()[0] or 0
         if not work:
             break
@@ -219,12 +232,15 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: int = 75, bands: int =
             hubs = in_band.groupBy("band").agg(F.max(F.struct("drawn", -F.col("doc_id"), "comp")).alias("hub"))
             ours = materialize(hubs.select("band", (-F.col("hub")["col2"]).alias("a"), F.col("hub")["comp"].alias("comp")))
             pairs = ours.join(others, "band").filter("comp <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = materialize(links.union(confirm(pairs, odd, sets, limit, threshold)).distinct())
-        comps = components(links)
+        more = materialize(links.union(confirm(pairs, odd, sets, limit, threshold)).distinct())
+        discard(links, comps)
+        links, comps = more, components(more)
         if sweep:
             break
         done = ours.select("band", F.col("a").alias("doc_id"))  # compared with all the band
-        in_band = in_band.drop("comp").join(done, ["band", "doc_id"], "left_anti")
+        former, in_band = in_band, materialize(in_band.drop("comp").join(done, ["band", "doc_id"], "left_anti"))
+        discard(former, ours)
+    discard(in_band, links, odd, sets, candidates)
     label = comps.select(F.col("id").alias("class"), "comp")
     out = member.join(label, "class", "left").select("doc_id", "n_shingles", F.coalesce("comp", "class", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

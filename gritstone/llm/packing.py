@@ -10,8 +10,9 @@ Documents are encoded where they lie; only piece lengths are shuffled. Pieces ar
 about ``shard`` pieces, by their position and not by a key, and every shard is packed for itself: a shard
 wastes a few sequences at most, and no task or driver sees all pieces.
 
-A null text is an empty one: the closing id alone. Repeated rows are packed like others. Texts of any
-length are cut losslessly. Other columns are not read.
+A null text is an empty one: the closing id alone. Repeated rows are packed like others, an empty table gives no
+rows, and of gaps that give equal sums the smallest is taken. Texts of any length are cut losslessly; they are encoded
+a slice of rows of about 1 MB at a time, a longer text as a slice of its own. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,11 +13,12 @@ frequent ones by a limit that a histogram of counts gives; all rarer words meet
 only their sum for each text comes back.
 
 Documents are encoded once, as class and word numbers. Training goes through all of them in rounds that together
-predict every token once: a round masks the tokens whose place in the text has its own remainder. Documents are
-dealt to shards of about ``shard`` tokens by a hash of id and text and sorted in them. At first, biases give every
-output its share of the corpus. In each round each shard starts from the shared weights, goes through its texts with Adagrad, and gives back its weights; Spark averages them, weighted by
-the masked tokens. What a shard holds, and in which order, depends on the rows alone, so scores do not depend
-on how the table is partitioned. Weights, whose size is fixed, are all that passes through the driver.
+predict every token once: a round masks the tokens whose place in the text, shifted by a hash of the row, has its own
+remainder. Documents are dealt to shards of about ``shard`` tokens by a hash of id and text and sorted in them. At
+first, biases give every output its share of the corpus. In each round each shard starts from the shared weights, goes
+through its texts with Adagrad, and gives back its weights; Spark averages them, weighted by the masked tokens. What a
+shard holds, and in which order, depends on the rows alone, so scores do not depend on how the table is partitioned.
+Weights, whose size is fixed, are all that passes through the driver.
 
 Null and empty texts have no tokens: score 0, and no score for each token (null). Repeated rows count as often as
 they stand in the table and have equal scores; rows of one id with different texts are scored each for itself.
@@ -307,9 +308,9 @@ class Network:
 
 
 def train_round(encoded: DataFrame, vocabulary: Vocabulary, shape: tuple[int, int, int], weights: np.ndarray, step: int, rounds: int, shards: int, rate: float, size: int) -> np.ndarray | None:
-    """One pass over all shards, for the tokens whose place in the text is ``step`` modulo ``rounds``; the averaged weights, None where there was no token."""
+    """One pass over all shards, for the tokens whose shifted place in the text is ``step`` modulo ``rounds``; the averaged weights, None where there was no token."""
     shard = F.pmod(F.hash("key"), F.lit(shards)).alias("shard")
-    sorted_rows = encoded.filter("n_tokens > 0").select("ids", shard, "key", "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id").select("ids", "shard")
+    sorted_rows = encoded.filter("n_tokens > 0").select("ids", shard, "key", "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id").select("ids", "shard", F.pmod("key", F.lit(rounds)).alias("shift"))
     side, width, hidden = shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +342,13 @@ def train_round(encoded: DataFrame, vocabulary: Vocabulary, shape: tuple[int, in
                         now, net, kept, done = of[a], Network(vocabulary.common, vocabulary.buckets, side, width, hidden, weights), [], 0
                     token, ptr = token_rows(part.column(0).slice(a, z - a))
                     around = windows(token, ptr, side, vocabulary.size)
-                    place = np.arange(len(token)) - np.repeat(ptr[:-1], np.diff(ptr))
+                    place = np.arange(len(token)) - np.repeat(ptr[:-1] - part.column(2).to_numpy()[a:z], np.diff(ptr))
                     own = np.flatnonzero(place % rounds == step)
                     kept.append((token[own], around[own]))
                     done += learn(size)
         if net is not None:
             total, seen = close()
+        if seen:
             yield batch(part=np.arange(len(total), dtype=np.int32), value=total, seen=np.full(len(total), seen))
 
     parts = sorted_rows.mapInArrow(run, "part int, value double, seen long").groupBy("part").agg((F.sum("value") / F.sum("seen")).alias("value"))

@@ -5,8 +5,9 @@ shards by position, never by a key; the number of shards follows the bytes of te
 ids stay near ``shard_bytes``. In a shard, pieces go longest first into the open row with the least
 room that is enough; a segment tree over the amounts of room finds it.
 
-A null text is an empty one: the closing id alone. Repeated rows are packed like others; an empty table
-gives no rows. Other columns are not read.
+A null text is an empty one: the closing id alone. Repeated rows are packed like others, pieces of equal length in
+order of document and piece; an empty table gives no rows. Texts of any length are cut losslessly; they are encoded a
+slice of rows of about 1 MB at a time, a longer text as a slice of its own. Other columns are not read.
 """
 
 from __future__ import annotations

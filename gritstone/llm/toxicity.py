@@ -13,8 +13,10 @@ Bound of the training rows: about ``max_rows`` labelled rows, chosen by a hash o
 are a few megabytes). Texts are scored whole, in one narrow pass.
 
 Null and empty texts have all features 0 and get the score of such a text. Rows with a null label are not
-learned from; without two classes of labelled rows the score is the share of label 1 (0.5 if there is
-none). Repeated rows are scored alike.
+learned from; of several labels of one doc_id the highest counts, and words and splits of equal merit are taken in
+order, so the model is reproducible. Without two classes of labelled rows the score is the share of label 1 (0.5 if
+there is none). Repeated rows are scored alike, an empty table gives an empty result, and other columns are
+not read. Texts are scored whole, a slice of rows of about 1 MB at a time; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -114,10 +116,14 @@ class Features:
         middle = np.zeros(len(data), bool)
         if len(data) > 2:
             middle[1:-1] = letter[:-2] & letter[2:]
+        begin, end = raw.offsets[:-1], raw.offsets[1:]
+        middle[begin[begin < len(data)]] = middle[end[end > 0] - 1] = False  # neighbours in the same text
         symbol, digit = byte_set("@$*#!|+")[data], (data >= 0x30) & (data <= 0x39)
         drawn = np.zeros(len(data), bool)
         if len(data) > 2:
             drawn[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 0x80)
+        for k in range(2):
+            drawn[begin[begin + k < len(data)] + k] = False
         count = lambda flags: per_row(flags, raw.offsets)
         plain_n = np.maximum(raw.n_words(), 1)
         hits = per_row(hit, c.ptr)
@@ -240,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         chosen = chosen.filter(usable)
     total = chosen.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    chosen = chosen.filter(part < min(1.0, max_rows / max(1, total))).dropDuplicates(["doc_id"])
+    chosen = chosen.filter(part < min(1.0, max_rows / max(1, total))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sample = materialize(texts.join(F.broadcast(chosen), "doc_id"))  # about max_rows pairs of numbers
     calibrate = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0

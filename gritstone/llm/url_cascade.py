@@ -4,23 +4,29 @@ A listing holds keys, host followed by path. The first level of its cascade enco
 second those keys of the corpus that pass the first level wrongly; the third the listed keys that pass
 the second, and so on until no key is told wrongly. Over the corpus's complete key universe the answers
 are therefore exact, without a join of pages with lists. Only filters reach the tasks: about
-``1.44 * log2(|universe| / |listed|)`` bits for each listed key, and a listing is bounded by ``max_keys``.
+``1.44 * log2(|universe| / |listed|)`` bits for each listed key. A listing of more than ``max_keys`` keys is split by
+a hash of the key into parts, each with a cascade and a pass of its own, so that tasks never get more at once.
+The marks of the universe's keys are written once, and all levels read them.
 
 Keys of a url: its host and every parent domain of as many labels as some listed host has, followed by
 the path's first characters, as many as some listed path has.
 
-A null url or one without ``://`` has an empty host and path and no keys; it gets the default verdict.
-Repeated pages are judged alike; listings may be empty.
+A null url or one without ``://`` has an empty host and path and no keys; it gets the default verdict. Repeated
+pages are judged alike, of two rules of one length the blocking one wins, and listings as well as tables may be empty.
+Urls of any length are judged whole; only their keys, which are short, are compared. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gritstone.llm._spark import discard, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,41 +81,45 @@ def build_level(keys: DataFrame, n: int, share: float, salt: int) -> Level:
 class Cascade:
     levels: tuple[Level, ...]
     salt: int
+    part: int = 0
+    parts: int = 1
 
     def holds(self, key: Column) -> Column:
-        """Whether a key of the universe is listed: the first level that it doesn't pass decides."""
+        """Whether a key of the universe is listed in this part: the first level that it doesn't pass decides."""
         answer = F.lit(len(self.levels) % 2 == 1)
         for k in range(len(self.levels) - 1, -1, -1):
             answer = F.when(~self.levels[k].passes(key, self.salt + k), F.lit(k % 2 == 1)).otherwise(answer)
-        return answer
+        return answer if self.parts == 1 else (part_of(key, self.parts) == self.part) & answer
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 0, max_keys: int = 5_000_000) -> Cascade:
-    """A cascade that is exact on ``universe`` (distinct ``key``): every key of it is told listed or not.
+def build_cascades(listed: DataFrame, universe: DataFrame, salt: int = 0, max_keys: int = 5_000_000) -> Iterator[Cascade]:
+    """Cascades, one for each part of the listing, that are exact on ``universe`` (distinct ``key``) together: every key of it is told listed or not.
 
     listed: column ``key``. No join: the universe's keys and the listed ones are told apart by one
-    aggregation over both.
+    aggregation over both. A cascade is built when it is asked for.
     """
     listed = listed.select("key").distinct()
-    marks = universe.select("key", F.lit(0).alias("own")).unionByName(listed.select("key", F.lit(1).alias("own"))).groupBy("key").agg(F.max("own").alias("own"))
-    n_in, n_out = (int(x or 0) for x in marks.agg(F.sum("own"), F.sum(1 - F.col("own"))).first())
-    if n_in > max_keys:
-        raise ValueError(f"{n_in} listed keys; a filter that reaches every task may have {max_keys}")
-    if not n_in:
-        return Cascade((), salt)
-    inside, outside = marks.filter("own = 1"), marks.filter("own = 0")
-    levels: list[Level] = []
-    share = min(0.5, n_in / max(1, n_out))
-    n, keys, others = n_in, inside, outside
-    while n:
-        level = build_level(keys, n, share, salt + len(levels))
-        levels.append(level)
-        keys, others = others.filter(level.passes(F.col("key"), salt + len(levels) - 1)), keys
-        n = keys.count()
-        if n > max_keys:
-            raise ValueError(f"{n} keys pass wrongly; a filter that reaches every task may have {max_keys}")
-        share = 0.5
-    return Cascade(tuple(levels), salt)
+    marks = materialize(universe.select("key", F.lit(0).alias("own")).unionByName(listed.select("key", F.lit(1).alias("own"))).groupBy("key").agg(F.max("own").alias("own")))
+    total = int(marks.agg(F.sum("own")).first()[0] or 0)
+    parts = 1 if total <= max_keys else 1 + math.ceil(1.2 * total / max_keys)
+    for part in range(parts):
+        some = marks if parts == 1 else marks.filter(part_of(F.col("key"), parts) == part)
+        n_in, n_out = (int(x or 0) for x in some.agg(F.sum("own"), F.sum(1 - F.col("own"))).first())
+        levels: list[Level] = []
+        share = min(0.5, max(1, n_in) / max(1, n_out))
+        n, keys, others = n_in, some.filter("own = 1"), some.filter("own = 0")
+        while n:
+            level = build_level(keys, n, share, salt + len(levels))
+            levels.append(level)
+            keys, others = others.filter(level.passes(F.col("key"), salt + len(levels) - 1)), keys
+            n = keys.count()
+            share = 0.5
+        yield Cascade(tuple(levels), salt, part, parts)
+    discard(marks)
 
 
 def url_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
@@ -140,10 +150,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
     keyed = rows.withColumn("keys", url_keys(F.col("host"), F.col("path"), labels, lengths))
     universe = keyed.select(F.explode("keys").alias("key")).distinct()
-    lists = {v: build_cascade(key_table(spark, [h + p for kind, h, p in rules if kind == v]), universe, 1000 * k, max_keys) for k, v in enumerate(("block", "allow"))}
-    listed = {v: F.filter("keys", c.holds) for v, c in lists.items()}
-    best = keyed.select("page_id", "host", "path", *(F.reduce(x, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a)).alias(v) for v, x in listed.items()))
-    block = F.col("allow").isNull() | (F.length("block") > F.length("allow"))
+    best = keyed.select("page_id", "host", "path", "keys", *(F.lit(None).cast("string").alias(v) for v in ("block", "allow")))
+    for k, v in enumerate(("block", "allow")):
+        listing = key_table(spark, [h + p for kind, h, p in rules if kind == v])
+        for cascade in build_cascades(listing, universe, 1000 * k, max_keys):
+            longest = F.reduce(F.filter("keys", cascade.holds), F.col(v), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
+            best = best.withColumn(v, longest)
+            if cascade.parts > 1:
+                best = materialize(best)
+    block = F.col("allow").isNull() | (F.length("block") >= F.length("allow"))
     rule = F.when(F.col("block").isNotNull() & block, F.col("block")).otherwise(F.col("allow"))
     verdict = F.when(F.col("block").isNotNull() & block, F.lit("block")).when(F.col("allow").isNotNull(), F.lit("allow")).otherwise(F.lit(default))
     return best.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
