@@ -63,12 +63,15 @@ def j2_resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(spark, sf_dir)[4]
 
 
-@query(
-    f"""with {BLOCKS}, ctl as (select b.*, t.node as target, coalesce(lead(b.node) over (partition by b.code_id order by b.start_pc), 1) as nxt, row_number() over (partition by b.code_id order by b.start_pc) = 1 as first from blocks b left join jumps j on j.code_id = b.code_id and j.node = b.node left join blocks t on t.code_id = j.code_id and t.start_pc = j.value),
-tag as (select *, case when last_op in ('STOP', 'RETURN', 'REVERT', 'SELFDESTRUCT', 'INVALID') then 'T' when last_op in ('JUMP', 'JUMPI') and target is null then 'U' when last_op = 'JUMP' then 'J' when last_op = 'JUMPI' then 'B' else 'F' end as tag from ctl)
-select code_id, 0 as src, node as dst, 'Fallthrough' as kind from tag where first union all select code_id, node, 1, 'Fallthrough' from tag where tag = 'T' union all select code_id, node, nxt, 'Fallthrough' from tag where tag = 'F'
-union all select code_id, node, target, 'Jump' from tag where tag = 'J' union all select code_id, node, target, 'BranchTrue' from tag where tag = 'B' union all select code_id, node, nxt, 'BranchFalse' from tag where tag = 'B'"""
-)
+EDGES = f"""{BLOCKS}, ctl as (select b.*, t.node as target, coalesce(lead(b.node) over (partition by b.code_id order by b.start_pc), 1) as nxt, row_number() over (partition by b.code_id order by b.start_pc) = 1 as first from blocks b left join jumps j on j.code_id = b.code_id and j.node = b.node left join blocks t on t.code_id = j.code_id and t.start_pc = j.value),
+tag as materialized (select *, case when last_op in ('STOP', 'RETURN', 'REVERT', 'SELFDESTRUCT', 'INVALID') then 'T' when last_op in ('JUMP', 'JUMPI') and target is null then 'U' when last_op = 'JUMP' then 'J' when last_op = 'JUMPI' then 'B' else 'F' end as tag from ctl),
+edges as materialized (select code_id, 0 as src, node as dst, 'Fallthrough' as kind from tag where first union all select code_id, node, 1, 'Fallthrough' from tag where tag = 'T' union all select code_id, node, nxt, 'Fallthrough' from tag where tag = 'F'
+union all select code_id, node, target, 'Jump' from tag where tag = 'J' union all select code_id, node, target, 'BranchTrue' from tag where tag = 'B' union all select code_id, node, nxt, 'BranchFalse' from tag where tag = 'B')"""
+DEPTHS = """dp as (select code_id, node, idx, case when mnemonic like 'PUSH%' or mnemonic like 'DUP%' then 1 when mnemonic = 'POP' then -1 else 0 end as d from ib), sm as (select *, sum(d) over (partition by code_id, node order by idx) as t from dp),
+fl as (select *, t - least(0, min(t) over (partition by code_id, node order by idx)) as depth from sm), depths as (select code_id, node, coalesce(max(depth) filter (d > 0), 0)::int as max_stack from fl group by code_id, node)"""
+
+
+@query(f"with {EDGES} select * from edges")
 def g1_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.build_edges(program(spark, sf_dir)[2])
 
@@ -104,23 +107,31 @@ def g2_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(edges, edges.filter("src = 'page 0'").select("code_id", F.col("src").alias("node")).distinct())
 
 
-@query(
-    f"""with recursive {TRANSITIONS}, n as (select distinct code_id, 1 as node from e), r as (select code_id, 0 as gone, node from n union select r.code_id, r.gone, e.dst from r join e on e.code_id = r.code_id and e.src = r.node),
-q as (select n.code_id, g.gone, n.node from n, (values (2), (3), (4), (5)) g(gone) union select q.code_id, q.gone, e.dst from q join e on e.code_id = q.code_id and e.src = q.node and e.dst <> q.gone),
-d as (select r.code_id, r.node, g.gone as dom from r join (values (2), (3), (4), (5)) g(gone) on g.gone <> r.node join r x on x.code_id = r.code_id and x.node = g.gone where r.node <> 1 and not exists (select 1 from q where q.code_id = r.code_id and q.gone = g.gone and q.node = r.node) union all select code_id, node, 1 from r where node <> 1),
-s as (select code_id, node, count(*) as depth from d group by code_id, node)
-select r.code_id, r.node, arg_max(d.dom, coalesce(s.depth, 0)) as idom from r left join d on d.code_id = r.code_id and d.node = r.node left join s on s.code_id = d.code_id and s.node = d.dom group by r.code_id, r.node"""
-)
+def dominators(root: int, name: str, src: str = "src", dst: str = "dst") -> str:
+    """SQL of the immediate dominators of the graphs e, nodes 1 to 5: a node is dominated by what its ways from the root cannot do without."""
+    others = ", ".join(f"({k})" for k in range(1, 6) if k != root)
+    return f"""{name}_r as (select distinct code_id, {root} as node from e union select r.code_id, e.{dst} from {name}_r r join e on e.code_id = r.code_id and e.{src} = r.node),
+{name}_q as (select n.code_id, g.gone, n.node from (select distinct code_id, {root} as node from e) n, (values {others}) g(gone) union select q.code_id, q.gone, e.{dst} from {name}_q q join e on e.code_id = q.code_id and e.{src} = q.node and e.{dst} <> q.gone),
+{name}_d as (select r.code_id, r.node, x.node as dom from {name}_r r join {name}_r x on x.code_id = r.code_id and x.node <> r.node where r.node <> {root} and not exists (select 1 from {name}_q q where q.code_id = r.code_id and q.gone = x.node and q.node = r.node)),
+{name}_s as (select code_id, node, count(*) as depth from {name}_d group by code_id, node),
+{name} as (select r.code_id, r.node, arg_max(d.dom, coalesce(s.depth, 0)) as idom from {name}_r r left join {name}_d d on d.code_id = r.code_id and d.node = r.node left join {name}_s s on s.code_id = d.code_id and s.node = d.dom group by r.code_id, r.node)"""
+
+
+@query(f"with recursive {TRANSITIONS}, {dominators(1, 'dom')} select * from dom")
 def g3_immediate_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = transitions(spark, sf_dir)
     return G.immediate_dominators(edges, edges.select("code_id", F.lit(1).alias("node")).distinct())
 
 
-@query()
+@query(
+    f"""with recursive {TRANSITIONS}, {dominators(1, 'dom')}, {dominators(5, 'pdom', 'dst', 'src')}
+select dom.code_id, coalesce(round(count(*) filter (dom.idom is not null and pdom.idom is not distinct from dom.idom) / nullif(count(*) filter (dom.idom is not null), 0)::double, 9), 0.0) as overlap from dom left join pdom using (code_id, node) group by dom.code_id"""
+)
 def g4_dominator_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = transitions(spark, sf_dir)
     root = lambda k: edges.select("code_id", F.lit(k).alias("node")).distinct()
-    return G.dominator_overlap(G.immediate_dominators(edges, root(1)), G.immediate_dominators(edges, root(5), reverse=True))
+    overlap = G.dominator_overlap(G.immediate_dominators(edges, root(1)), G.immediate_dominators(edges, root(5), reverse=True))
+    return overlap.withColumn("overlap", F.round("overlap", 9))
 
 
 @query()
@@ -130,10 +141,7 @@ def g5_graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_metrics(c, blocks, cut_lineage(G.build_edges(blocks)))
 
 
-@query(
-    f"""with {BLOCKS}, dp as (select code_id, node, idx, case when mnemonic like 'PUSH%' or mnemonic like 'DUP%' then 1 when mnemonic = 'POP' then -1 else 0 end as d from ib), sm as (select *, sum(d) over (partition by code_id, node order by idx) as t from dp),
-fl as (select *, t - least(0, min(t) over (partition by code_id, node order by idx)) as depth from sm) select code_id, node, coalesce(max(depth) filter (d > 0), 0)::int as max_stack from fl group by code_id, node"""
-)
+@query(f"with {BLOCKS}, {DEPTHS} select * from depths")
 def w2_max_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, _ = U.block_table(U.decode_instructions(codes(spark, sf_dir)))
     return blocks.filter("kind = 'Body'").select("code_id", "node", "max_stack")
@@ -164,7 +172,10 @@ def a12_slot_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.slot_catalog(U.storage_access(U.decode_instructions(codes(spark, sf_dir))))
 
 
-@query()
+@query(
+    f"""with {EDGES}, {DEPTHS}, c as (select distinct code_id from instr union select code_id from codes where coalesce(h, '') = ''), b as (select code_id, count(*) as n, max(max_stack) as most from depths group by code_id), e as (select code_id, count(*) as n from edges group by code_id)
+select c.code_id, coalesce(b.n, 0) as blocks, coalesce(e.n, 0) as edges, coalesce(most, 0)::int as max_stack, coalesce(b.n, 0) > 0 as ok from c left join b using (code_id) left join e using (code_id)"""
+)
 def a16_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = program(spark, sf_dir)[2]
     return A.graph_size(blocks, G.build_edges(blocks))
@@ -194,10 +205,14 @@ def a18_strip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.strip_report(c, c.select("code_id", F.inline(F.filter(spans, lambda s: s["len"] > 0))))
 
 
-@query()
+@query(
+    f"""with {EDGES}, {DEPTHS}, o as (select code_id, node, count(*) as n_instr, string_agg(mnemonic, ' ' order by idx) as operations from ib group by code_id, node), i as (select code_id, dst as node, string_agg(kind, ' ' order by kind) as incoming from edges group by code_id, dst), u as (select code_id, src as node, string_agg(kind, ' ' order by kind) as outgoing from edges group by code_id, src)
+select o.code_id, o.node, n_instr, operations, max_stack, coalesce(incoming, '') as incoming, coalesce(outgoing, '') as outgoing from o join depths using (code_id, node) left join i using (code_id, node) left join u using (code_id, node)"""
+)
 def a20_block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, blocks, rows, _ = program(spark, sf_dir)
-    return A.block_summary(blocks.filter("kind = 'Body'"), G.build_edges(blocks), rows)
+    out = A.block_summary(blocks.filter("kind = 'Body'"), G.build_edges(blocks), rows)
+    return out.select("code_id", "node", "n_instr", "max_stack", *(F.array_join(c, " ").alias(c) for c in ("operations", "incoming", "outgoing")))
 
 
 @query(f"with {BLOCKS}, f as (select b.code_id, b.node, b.start_pc, arg_min(imm, idx) as key from ib join blocks b on b.code_id = ib.code_id and b.node = ib.node where mnemonic = 'PUSH4' group by all) select code_id, key, arg_max(node, start_pc) as node, max(start_pc)::int as start_pc from f group by code_id, key")
