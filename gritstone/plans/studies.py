@@ -51,14 +51,15 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d1_longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.longest_common_run(near_copies(spark, sf_dir), "text_a", "text_b")
+    out = D.longest_common_run(near_copies(spark, sf_dir), "text_a", "text_b", k=32)
     return out.select("pair_id", "length", "at_b", F.sha2("content", 256).alias("content_hash"))
 
 
 @query()
 def d2_preserved_run_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    study = D.preserved_run_study(near_copies(spark, sf_dir), "text_a", "text_b", base=1000.0)
-    return study["summary"].crossJoin(study["verdict"].select("diversity", "preservation", "variety"))  # one row each
+    study = D.preserved_run_study(near_copies(spark, sf_dir), "text_a", "text_b", base=1000.0, k=32)
+    both = study["summary"].crossJoin(study["verdict"].select("diversity", "preservation", "variety"))  # one row each
+    return both.select("n", "min", "max", "preservation", "variety", *(F.round(c, 6).alias(c) for c in ("mean", "std", "p25", "median", "p75", "p95", "ratio", "diversity")))
 
 
 @query(f"with {PAIRS}, {TEXT_LINES}, {ORDERED} select key as pair_id, hunks, removed, added, unchanged, total from stat")
