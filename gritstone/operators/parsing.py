@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import is_likely_text, trailer_bounds
 from gritstone.functions.windows import SLICE
-from gritstone.operators.sequences import running_depth, segment
+from gritstone.operators.sequences import running_depth, segment, validate_intervals
 
 #: Operation names by opcode.
 NAMED = {
@@ -182,6 +182,14 @@ def locate_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | Non
     return rows.select("code_id", F.inline(F.filter(parts, lambda p: p["len"] > 0)))
 
 
+def checked_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
+    """U3 with its check (W8): the sections, and for each code the first fault of their order and cover, ``ok`` if there is none."""
+    found = locate_sections(codes, instr, runtime)
+    sized = found.join(codes.select("code_id", F.length("code").alias("size")), "code_id")
+    status = validate_intervals(sized, ["code_id"], "offset", "len", "size").select("code_id", "status")
+    return found.join(status, "code_id")
+
+
 def selector_table(instr: DataFrame, limit: int = 200, reach: int = 500) -> DataFrame:
     """U4: code_id, selector, target, instr_index for ``PUSH4 k, EQ, PUSH t, JUMPI`` behind a dispatcher's opening.
 

@@ -224,7 +224,7 @@ def a21_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def u3_locate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = codes(spark, sf_dir)
-    return U.locate_sections(c, U.decode_instructions(c))
+    return U.checked_sections(c, cut_lineage(U.decode_instructions(c)))
 
 
 @query(

@@ -442,6 +442,7 @@ def test_sections_cover_every_code(spark):
     assert [g[2] for g in got if g[0] == 0] == ["Init", "Runtime", "ConstructorArgs", "Auxdata"]
     checked = V.interval_properties(U.locate_sections(codes, instr, known), codes.select("code_id", F.length("code").alias("size"))).collect()
     assert all(r["full_cover"] and r["in_order"] and r["non_empty"] for r in checked) and sum(g[3] for g in got if g[0] == 0) == size
+    assert {r["status"] for r in U.checked_sections(codes, instr, known).collect()} == {"ok"}
 
 
 def test_block_summary_and_functions(spark):
