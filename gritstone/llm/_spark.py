@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import re
 import tempfile
@@ -60,6 +62,20 @@ def discard(*tables: DataFrame) -> None:
                 where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, as workers stay for other operators and share a machine with a JVM."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -99,7 +115,7 @@ def map_texts(
                 out = fn(part)
                 if out is not None:
                     yield out
-            pa.default_memory_pool().release_unused()  # workers stay for other operators
+            give_back()
 
     return narrow.mapInArrow(run, schema)
 
@@ -113,7 +129,7 @@ def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], te
         for batch in batches:
             for part in slices(batch, at):
                 yield fn(part)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
