@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.llm.decontamination import benchmark_hits
+from gritstone.llm.filter_audit import filter_audit
 from gritstone.llm.language_id import identify
 from gritstone.llm.near_dedup import classes
 from gritstone.llm.packing import pack
@@ -73,6 +74,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_output": op9_token_output,
     "op10_language_id": op10_language_id,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -132,4 +138,20 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) c using (doc_id)""",
+    "op13_filter_audit": r"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+d as (select doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, row_number() over () as id from t),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, 0) = 1 as good, coalesce(toxic, 0) = 1 as toxic, len(w) < 100 as "A", 100 * len(list_distinct(w)) < 80 * len(w) as "B",
+  100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) as "C", regexp_matches(text, '[#$%&*|]') as "D",
+  coalesce(d.doc_id > min(d.doc_id) over (partition by text), false) as "E" from d left join l on l.doc_id = d.doc_id),
+m as (select part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: (x = 'A' and "A") or (x = 'B' and "B") or (x = 'C' and "C") or (x = 'D' and "D") or (x = 'E' and "E")) as fails from f),
+c as (select part, good, toxic, fails, count(*) as n from m group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select part, filter_order, step, filter_order[step] as own, good, toxic, fails, n, len(list_filter(fails, lambda y: instr(filter_order, y) < step)) > 0 as gone from c, o, (select unnest(range(1, 6))::int as step)),
+r as (select part, filter_order, step, own, sum(case when not gone and not list_contains(fails, own) then n else 0 end)::bigint as kept, sum(case when not gone and list_contains(fails, own) then n else 0 end)::bigint as removed,
+  sum(case when gone and list_contains(fails, own) then n else 0 end)::bigint as redundant, sum(case when fails = [own] then n else 0 end)::bigint as unique_fails,
+  sum(case when not gone and list_contains(fails, own) and good then n else 0 end)::bigint as good_lost, sum(case when not gone and list_contains(fails, own) and toxic then n else 0 end)::bigint as toxic_lost from s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r""",
 }
