@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 SLICE = 1 << 20
@@ -107,7 +107,7 @@ def map_texts(
 
     Each slice has an output batch of its own, so that a task holds one incoming batch and the work on a slice.
     """
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(docs[c] for c in extra))
+    narrow = docs.select(docs[quoted(id_col)].cast("long").alias("doc_id"), docs[quoted(text_col)].alias("text"), *(docs[quoted(c)].alias(c) for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,18 +120,30 @@ def map_texts(
     return narrow.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Runs ``fn`` over slices of whole rows and keeps the schema but for columns named in ``drop``; rows may be left out or have a new text."""
-    at = docs.columns.index(text_col)
-    schema = StructType([f for f in docs.schema.fields if f.name not in drop])
+    """Runs ``fn`` over slices of whole rows and keeps the schema but for columns named in ``drop``; rows may be left out or have a new text.
+
+    Columns go to Python by number, so that names with dots and the like are no matter.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+    left = [f for f in docs.schema.fields if f.name not in drop]
+    schema = StructType([StructField(f"_{k}", f.dataType, f.nullable) for k, f in enumerate(left)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.rename_columns(names)
             for part in slices(batch, at):
-                yield fn(part)
+                out = fn(part)
+                yield out.rename_columns([f"_{k}" for k in range(out.num_columns)])
             give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"_{k}" for k in range(len(names)))).mapInArrow(run, schema).toDF(*(f.name for f in left))
 
 
 def batch(**columns) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ white space and other, as the pattern
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-does. The memory of pieces is bounded and only saves time.
+does. The memory of pieces is bounded and only saves time: what is remembered is used for the same bytes alone.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from gritstone.llm._words import _powers, buffers, mix, per_row
+from gritstone.llm._words import Lanes, buffers, lanes, per_row
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _classes: list[np.ndarray] = []
-REMEMBERED = 1_000_000  # some 40 MB
+REMEMBERED = 1_000_000  # some 90 MB
 CHUNK = 1 << 20  # bytes; a token takes more room than a byte of text
 
 
@@ -101,6 +101,8 @@ class Encoder:
         self.slot = np.zeros(0, np.int64)  # their numbers
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1, np.int64)  # where each piece's ids begin
+        none = np.zeros(0, np.int64)
+        self.pieces = Lanes(np.zeros(0, np.uint64), none, none, none)  # the pieces' own bytes
 
     def _learn(self, pieces: list[str]) -> None:
         """Appends the ids of ``pieces``, encoded together; the bytes of tokens tell where each piece ends."""
@@ -113,9 +115,20 @@ class Encoder:
         self.ids[used : used + more] = encoded
         self.first = np.concatenate([self.first, used + size])
 
-    def _numbers(self, text: str, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The numbers of the pieces ``text[starts:ends]`` with hashes ``h``."""
-        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+    def _add(self, text: str, starts: np.ndarray, ends: np.ndarray, spans: Lanes, new: np.ndarray) -> np.ndarray:
+        """Learns the pieces ``new`` and gives them numbers."""
+        numbers = len(self.first) - 1 + np.arange(len(new))
+        self._learn([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        count, old = spans.count[new], self.pieces
+        first = np.cumsum(count) - count
+        values = spans.values[np.repeat(spans.first[new] - first, count) + np.arange(int(count.sum()))]
+        merge = lambda x, y: np.concatenate([x, y])
+        self.pieces = Lanes(merge(old.values, values), merge(old.first, first + len(old.values)), merge(old.count, count), merge(old.size, spans.size[new]))
+        return numbers
+
+    def _numbers(self, text: str, spans: Lanes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces ``text[starts:ends]``. A remembered one counts only where its bytes are those of the piece."""
+        keys, where, inverse = np.unique(spans.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -124,11 +137,14 @@ class Encoder:
         known[inside] = self.keys[at[inside]] == keys[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            number = len(self.first) - 1 + np.arange(len(new))
-            self._learn([text[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], number)
+            numbers = self._add(text, starts, ends, spans, where[new])
+            self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], numbers)
             at = np.searchsorted(self.keys, keys)
-        return self.slot[at][inverse] if len(keys) else at
+        out = self.slot[at][inverse] if len(keys) else at
+        other = np.flatnonzero(~spans.equal(np.arange(len(out)), self.pieces, out))
+        if len(other):
+            out[other] = self._add(text, starts, ends, spans, other)
+        return out
 
     def rows(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For chunks of rows: the first row's number, the ids of all of them (each with ``end`` behind it), and where rows begin."""
@@ -145,11 +161,7 @@ class Encoder:
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts = piece_starts(cp, offsets)
         ends = np.append(starts[1:], len(cp)) if len(starts) else starts
-        p, q = _powers(len(cp) + 1)
-        sums = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * p[: len(cp)], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
-        slots = self._numbers(text, h, starts, ends)
+        slots = self._numbers(text, lanes(cp, starts, ends), starts, ends)
         size = self.first[slots + 1] - self.first[slots]
         done = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.first[slots] - done[:-1], size) + np.arange(done[-1])]

@@ -2,13 +2,14 @@
 
 A batch is cut into chunks of rows of about ``CHUNK`` bytes (one row at least), so that memory stays
 bounded whatever the batch holds. Every separator is an ASCII byte, so bytes and characters agree on
-where words begin and end. Words, lines and windows are told apart by 64-bit hashes.
+where words begin and end. Words, lines and windows are told apart by 64-bit hashes, which any two of them
+share by chance alone; ``distinct_spans`` compares their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = _rng.integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power[0]) < n:
-        n = max(n, CHUNK + 1)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _UNBASE)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                np.multiply.accumulate(p, out=p)
-                _power[k] = p
-    return _power[0], _power[1]
+_STEP = np.random.default_rng(20240229).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+_SIZE = np.uint64(0xD1342543DE82EF95)
+#: What is kept of the last eight bytes of a span, by how many of them belong to it.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,6 +45,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@dataclass
+class Lanes:
+    """Byte spans as lanes of eight bytes, the last one filled with zeros: span ``s`` has ``values[first[s]:first[s] + count[s]]``."""
+
+    values: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each span: every lane is mixed with its number before it is added, so no power of a base repeats."""
+        number = np.arange(len(self.values)) - np.repeat(self.first, self.count)
+        mixed = mix(self.values ^ mix(number.astype(np.uint64) * _LANE + _SIZE))
+        sums = np.zeros(len(mixed) + 1, np.uint64)
+        np.cumsum(mixed, out=sums[1:])
+        return mix(sums[self.first + self.count] - sums[self.first] + self.size.astype(np.uint64) * _SIZE)
+
+    def equal(self, a: np.ndarray, other: Lanes, b: np.ndarray) -> np.ndarray:
+        """Whether span ``a[i]`` here has the bytes of ``other``'s span ``b[i]``: the bytes themselves, no hashes."""
+        same = self.size[a] == other.size[b]
+        at = np.flatnonzero(same & (self.count[a] > 0))
+        x, y = a[at], b[at]
+        one = self.values[self.first[x]] == other.values[other.first[y]]
+        same[at[~one]] = False
+        at = at[one & (self.count[x] > 1)]
+        n = self.count[a[at]]
+        done = np.cumsum(n)
+        inside = np.arange(done[-1] if len(done) else 0) - np.repeat(done - n, n)
+        wrong = self.values[np.repeat(self.first[a[at]], n) + inside] != other.values[np.repeat(other.first[b[at]], n) + inside]
+        same[at] = per_row(wrong, np.concatenate([[0], done])) == 0
+        return same
+
+
+def lanes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Lanes:
+    """The spans ``begin`` to ``end`` of ``data`` (bytes, or wider units that two spans are compared in)."""
+    width = data.itemsize
+    padded = np.zeros(len(data) * width + 8, np.uint8)
+    padded[:-8] = np.ascontiguousarray(data).view(np.uint8)
+    begin, end = np.asarray(begin, np.int64) * width, np.asarray(end, np.int64) * width
+    size = end - begin
+    count = (size + 7) >> 3
+    first = np.cumsum(count) - count
+    at = np.repeat(begin - first * 8, count) + np.arange(int(count.sum())) * 8
+    values = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at]
+    values &= _KEEP[np.minimum(np.repeat(end, count) - at, 8)]
+    return Lanes(values, first, count, size)
+
+
 @dataclass
 class Chunk:
     """Rows ``row`` to ``row + n`` of a batch; word ``w`` is ``data[starts[w]:ends[w]]``, row ``r`` has words ``ptr[r]:ptr[r + 1]``."""
@@ -67,7 +103,6 @@ class Chunk:
     starts: np.ndarray
     ends: np.ndarray
     ptr: np.ndarray
-    _sums: np.ndarray | None = field(default=None, repr=False)
 
     @property
     def n(self) -> int:
@@ -82,12 +117,7 @@ class Chunk:
 
     def span_hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the byte spans ``begin`` to ``end``."""
-        p, q = _powers(len(self.data) + 1)
-        if self._sums is None:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * p[: len(self.data)], out=sums[1:])
-            self._sums = sums
-        return mix((self._sums[end] - self._sums[begin]) * q[begin] + (end - begin).astype(np.uint64))
+        return lanes(self.data, begin, end).hashes()
 
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
@@ -168,3 +198,46 @@ def cover(hits: np.ndarray, length: np.ndarray | int, size: int) -> np.ndarray:
     np.add.at(edge, hits, 1)
     np.add.at(edge, hits + length, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def distinct_spans(spans: Lanes, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct span (within its group), in order, and each span's number among them.
+
+    A hash table with open addressing into which all spans go at once: a free slot takes the first that asks,
+    and who finds a slot taken compares group and bytes with its holder, then moves on. Equal spans ask for the same
+    slots in step, so each finds the first of its kind. The table has twice as many slots as there are spans.
+    """
+    n = len(spans.size)
+    h = spans.hashes()
+    if group is not None:
+        h = mix(h + group.astype(np.uint64) * _LANE)
+    bits = max(4, (2 * n).bit_length())
+    holder = np.full(1 << bits, -1, np.int64)
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    owner = np.arange(n)
+    waiting = owner
+    while len(waiting):
+        at = slot[waiting]
+        free = holder[at] < 0
+        holder[at[free][::-1]] = waiting[free][::-1]
+        found = holder[at]
+        same = found == waiting
+        like = np.flatnonzero(~same & (h[found] == h[waiting]))
+        if group is not None:
+            like = like[group[found[like]] == group[waiting[like]]]
+        same[like] = spans.equal(waiting[like], spans, found[like])
+        owner[waiting[same]] = found[same]
+        waiting = waiting[~same]
+        slot[waiting] = (slot[waiting] + 1) & ((1 << bits) - 1)
+    first = owner == np.arange(n)
+    return np.flatnonzero(first), (np.cumsum(first) - 1)[owner]
+
+
+def scan_rows(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The column's bytes in chunks of whole rows, and where rows begin in each."""
+    data, offsets = buffers(texts)
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        yield data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
+        row = stop

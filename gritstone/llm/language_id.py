@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm._spark import batch, map_texts, materialize
 from gritstone.llm._tokens import LETTER, char_classes
-from gritstone.llm._words import _powers, buffers, mix, per_row
+from gritstone.llm._words import buffers, lanes, mix, per_row
 
 BITS = 12  # of a symbol in an n-gram's key
 MARK = 1
@@ -70,10 +70,7 @@ def letter_words(text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def distinct_words(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first place of each distinct word, and each word's number among them."""
-    p, q = _powers(len(sym) + 1)
-    sums = np.zeros(len(sym) + 1, np.uint64)
-    np.cumsum(mix(sym.astype(np.uint64)) * p[: len(sym)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    h = lanes(sym.astype(np.uint16), starts, ends).hashes()
     _, where, inverse = np.unique(h, return_index=True, return_inverse=True)
     return where, inverse
 
