@@ -101,7 +101,7 @@ def slices(b: pa.RecordBatch, text: int, size: int = SLICE) -> Iterator[pa.Recor
 
 
 def map_texts(
-    docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()
+    docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), size: int = SLICE
 ) -> DataFrame:
     """Runs ``fn`` over slices of Arrow batches of the id and text columns alone (renamed ``doc_id`` and ``text``).
 
@@ -111,7 +111,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, size):
                 out = fn(part)
                 if out is not None:
                     yield out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gritstone.llm.collocations import collocations
 from gritstone.llm.decontamination import benchmark_hits
 from gritstone.llm.filter_audit import filter_audit
 from gritstone.llm.language_id import identify
@@ -74,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_output": op9_token_output,
     "op10_language_id": op10_language_id,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -138,6 +144,21 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) c using (doc_id)""",
+    "op12_collocations": r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+f as (select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k as size, count(*) as f from i, (select unnest([1, 2, 3]) as k) where i + k - 1 <= len(w) group by all),
+t as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+c as (select lang, phrase, size, f, string_split(phrase, ' ') as w from f where size > 1 and f >= 10),
+held as (select lang, phrase, max(f) as most from (select lang, array_to_string(w[1:2], ' ') as phrase, f from c where size = 3 union all select lang, array_to_string(w[2:3], ' '), f from c where size = 3) group by all),
+k as (select c.*, unnest(range(1, size)) as k from c),
+s as (select k.lang, k.phrase, k.f as a, k, x.f as l, y.f as r, ((1000000::hugeint * k.f * k.f) // (x.f::hugeint * y.f))::bigint as score from k join f x on x.lang = k.lang and x.phrase = array_to_string(w[1:k], ' ') and x.size = k.k
+  join f y on y.lang = k.lang and y.phrase = array_to_string(w[k + 1:], ' ') and y.size = k.size - k.k),
+b as (select lang, phrase, a, arg_min({'l': l, 'r': r, 'score': score}, score * 10 + k) as b from s group by all),
+g as (select b.lang, b.phrase, a, b.l, b.r, b.score from b left join held on held.lang = b.lang and held.phrase = b.phrase where most is null or 100 * most < 50 * a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from g)
+select lang, rank, phrase, a, l, r, n, score from r join t using (lang) where rank <= 2000""",
     "op13_filter_audit": r"""
 with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
 d as (select doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, row_number() over () as id from t),
