@@ -13,6 +13,7 @@ from gritstone.llm.near_dedup import classes
 from gritstone.llm.packing import pack
 from gritstone.llm.pseudo_likelihood import pseudo_likelihood
 from gritstone.llm.repetition import repetition_rules
+from gritstone.llm.secret_scan import joined, scan_secrets
 from gritstone.llm.substring_dedup import substring_dedup
 from gritstone.llm.token_output import packed_rows
 from gritstone.llm.toxicity import score_toxicity
@@ -75,6 +76,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_output": op9_token_output,
     "op10_language_id": op10_language_id,
+    "op11_secret_scan": op11_secret_scan,
     "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
