@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import is_likely_text, trailer_bounds
+from gritstone.functions.scalars import is_likely_text, is_terminal, trailer_bounds
 from gritstone.functions.windows import SLICE
 from gritstone.operators.sequences import running_depth, segment, validate_intervals
 
@@ -140,46 +140,82 @@ def with_control(blocks: DataFrame, jumps: DataFrame, rows: DataFrame) -> DataFr
 
 
 def locate_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
-    """code_id, kind (Init, Runtime, ConstructorArgs, Auxdata, Padding), offset, len.
-
-    The last two bytes may announce a trailer (Auxdata; if it covers all, there is nothing else). Padding
-    lies between the last ending other than STOP and the trailer. The deployed code begins where the known
-    ``runtime`` (code_id, runtime) stands, else at the number pushed up to 10 rows before a CODECOPY that a
-    RETURN follows within 20 rows, else at a CALLDATASIZE beyond byte 100 (back to the block's start), else
-    at 0. What remains behind a known runtime is constructor arguments from 4 bytes on.
+    """code_id, kind (Init, ConstructorArgs, Runtime, Padding, Auxdata), offset, len.
+
+    Boundaries come one after the other, each from those before:
+
+    - Auxdata: the last two bytes may announce a trailer; if it covers all, there is nothing else.
+    - The split of a known ``runtime`` (code_id, runtime) of 20 bytes or more: the first place of its first 20 bytes,
+      if all of it stands there.
+    - Without that (or at place 0), and with more than 100 bytes before the trailer: the first CODECOPY with a RETURN within
+      20 rows ends Init behind the RETURN; the runtime begins at the last number pushed in the 10 rows before
+      that is beyond it, else there. Else, with any CODECOPY, the runtime begins at the first CALLDATASIZE, or the opening
+      ``PUSH1 80, PUSH1 40, MSTORE, PUSH1 04`` before it, beyond byte 100.
+    - ConstructorArgs: a gap of 4 bytes or more between Init and the runtime; a smaller one joins Init.
+    - Padding, where there are no such arguments: behind the last ending before the trailer, STOPs at the end apart. It cuts a
+      runtime in which it begins.
+
+    Sections that overlap or leave a gap are given as they are; ``checked_sections`` tells. All by windows over the rows of one
+    code and expressions over one row of each code; the runtime is looked up as bytes of the same row.
     """
     offset, length = trailer_bounds(F.col("code"))
     size = F.length("code")
-    base = codes.select("code_id", "code", size.alias("size"), F.coalesce(offset, size).alias("aux"), F.coalesce(length, F.lit(0)).alias("aux_len"))
-    w = Window.partitionBy("code_id").orderBy("idx")
-    op = F.col("mnemonic")
-    pushed = F.when(op.startswith("PUSH") & (F.length("imm") <= 6), F.conv("imm", 16, 10).cast("int"))
-    ahead = F.max((op == "RETURN").cast("int")).over(w.rowsBetween(1, 20))
-    numbers = F.collect_list(pushed).over(w.rowsBetween(-10, -1))
-    marks = instr.filter("idx is not null").withColumn("_ahead", ahead).withColumn("_numbers", numbers)
+    base = codes.select("code_id", "code", size.alias("size"), F.coalesce(offset, size).alias("aux"))
+    op, w = F.col("mnemonic"), Window.partitionBy("code_id").orderBy("idx")
+    number = F.when(op.startswith("PUSH") & (F.length(F.ltrim("imm", F.lit("0"))) <= 5), F.conv(F.when(F.length("imm") > 0, F.col("imm")), 16, 10).cast("int"))
+    opening = (F.lag("mnemonic", 4).over(w) == "PUSH1") & (F.lag("imm", 4).over(w) == "80") & (F.lag("mnemonic", 3).over(w) == "PUSH1") & (F.lag("imm", 3).over(w) == "40")
+    opening = opening & (F.lag("mnemonic", 2).over(w) == "MSTORE") & (F.lag("mnemonic", 1).over(w) == "PUSH1") & (F.lag("imm", 1).over(w) == "04")
+    near = w.rowsBetween(0, 19)
+    marks = instr.filter("idx is not null").select(
+        "code_id", "idx", "pc", "mnemonic",
+        F.min(F.when(op == "RETURN", F.col("pc"))).over(near).alias("returns"),
+        F.collect_list(number).over(w.rowsBetween(-10, -1)).alias("numbers"),  # ten at most
+        F.when(op == "CALLDATASIZE", F.when(opening, F.lag("pc", 4).over(w)).otherwise(F.col("pc"))).alias("call"),
+    )
+    marks = marks.join(base.select("code_id", "aux"), "code_id")
+    inside = F.col("pc") < F.col("aux")
     found = marks.groupBy("code_id").agg(
-        F.min_by("_numbers", F.when((op == "CODECOPY") & (F.col("_ahead") == 1), F.col("idx"))).alias("numbers"),
-        F.min(F.when((op == "CALLDATASIZE") & (F.col("pc") > 100), F.col("pc"))).alias("calldata"),
-        F.max(F.when(op.isin("RETURN", "REVERT", "SELFDESTRUCT", "INVALID"), F.col("pc") + F.col("size"))).alias("last_end"),
+        F.min_by(F.struct("returns", "numbers"), F.when(op == "CODECOPY", F.col("idx"))).alias("copy"),
+        F.min_by("call", F.when((F.col("call") > 100) & (F.col("call") < F.col("aux")), F.col("idx"))).alias("call"),
+        F.max(F.when(inside & (op != "STOP"), F.col("idx"))).alias("last"),
     )
-    rows = base.join(found, "code_id", "left")
-    hit = F.lit(0)
-    known_len = F.lit(None).cast("int")
+    ends = marks.join(found.select("code_id", "last"), "code_id").filter((F.col("idx") <= F.col("last")) & is_terminal(op))
+    rows = base.join(found, "code_id", "left").join(ends.groupBy("code_id").agg((F.max("pc") + 1).alias("pad")), "code_id", "left")
+    known, known_len = F.lit(None).cast("int"), F.lit(None).cast("int")
     if runtime is not None:
-        rows = rows.join(runtime, "code_id", "left")
-        place = F.expr("position(hex(runtime) in hex(code))")
-        hit = F.coalesce(F.when((place > 0) & (place % 2 == 1), (place + 1) / 2), F.lit(0)).cast("int")
-        known_len = F.when(hit > 0, F.length("runtime"))
-    rows = rows.withColumn("_hit", hit).withColumn("_known", known_len)
-    copied = F.try_element_at(F.filter(F.coalesce("numbers", F.array().cast("array<int>")), lambda x: (x > 0) & (x < F.col("aux"))), F.lit(-1))
-    begin = F.when(F.col("_hit") > 0, F.col("_hit") - 1).otherwise(F.coalesce(copied, F.when(F.col("calldata") < F.col("aux"), F.col("calldata") - 1), F.lit(0)))
-    rows = rows.withColumn("run", F.least(begin, F.col("aux")))
-    stop = F.when(F.col("_known").isNotNull(), F.least(F.col("run") + F.col("_known"), F.col("aux"))).otherwise(F.when((F.col("last_end") > F.col("run")) & (F.col("last_end") < F.col("aux")), F.col("last_end")).otherwise(F.col("aux")))
-    rows = rows.withColumn("end", stop).withColumn("gap", F.col("aux") - F.col("end"))
-    args = F.col("_known").isNotNull() & (F.col("gap") >= 4)
-    part = lambda kind, at, n: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("offset"), n.cast("int").alias("len"))
-    parts = F.array(part("Init", F.lit(0), F.col("run")), part("Runtime", F.col("run"), F.col("end") - F.col("run")), F.when(args, part("ConstructorArgs", F.col("end"), F.col("gap"))).otherwise(part("Padding", F.col("end"), F.col("gap"))), part("Auxdata", F.col("aux"), F.col("size") - F.col("aux")))
-    return rows.select("code_id", F.inline(F.filter(parts, lambda p: p["len"] > 0)))
+        rows = rows.join(runtime.select("code_id", "runtime"), "code_id", "left")
+        # bytes as characters of one byte each
+        place = F.expr("locate(decode(substring(runtime, 1, 20), 'ISO-8859-1'), decode(code, 'ISO-8859-1')) - 1")
+        whole = (F.length("runtime") >= 20) & (place >= 0) & (F.substring(F.col("code"), place + 1, F.length("runtime")) == F.col("runtime"))
+        known, known_len = F.when(whole, place), F.when(whole, F.length("runtime"))
+    rows = rows.withColumn("known", known.cast("int")).withColumn("known_len", known_len.cast("int"))
+    copied = F.col("copy.returns") + 1
+    beyond = F.filter("copy.numbers", lambda x: (x > copied) & (x < 100_000))
+    pushed = F.coalesce(F.try_element_at(beyond, F.lit(-1)), copied)
+    split = F.struct(copied.cast("int").alias("init"), pushed.cast("int").alias("run"))
+    called = F.struct(F.col("call").cast("int").alias("init"), F.col("call").cast("int").alias("run"))
+    guessed = F.when(F.col("aux") > 100, F.when(pushed < F.col("aux"), split).when(F.col("copy").isNotNull() & F.col("call").isNotNull(), called))
+    none = F.struct(F.lit(0).alias("init"), F.lit(0).alias("run"))
+    # a known runtime behind the start has Init end one byte before it, a gap that joins Init again
+    at = F.when(F.col("known") > 0, F.struct((F.col("known") - 1).alias("init"), F.col("known").alias("run"))).otherwise(F.coalesce(guessed, none))
+    rows = rows.withColumn("at", at).withColumn("init", F.when((F.col("at.init") == 0) & (F.col("at.run") > 0), F.col("at.run")).otherwise(F.col("at.init"))).withColumn("run", F.col("at.run"))
+    full = F.when(F.col("known").isNotNull() & (F.col("known") == F.col("run")), F.col("known_len")).otherwise(F.col("aux") - F.col("run"))
+    rows = rows.withColumn("len", F.greatest(F.least(full, F.col("aux") - F.col("run")), F.lit(0)))
+    gap = F.col("run") - F.col("init")
+    rows = rows.withColumn("args", (F.col("run") < F.col("aux")) & (gap >= 4)).withColumn("head", F.when((gap > 0) & (gap < 4), F.col("run")).otherwise(F.col("init")))
+    alone = (F.col("head") == 0) & (F.col("run") == 0)
+    padded = ~F.col("args") & (F.col("pad") < F.col("aux"))
+    rows = rows.withColumn("len", F.when(alone, F.col("aux")).otherwise(F.col("len"))).withColumn("padded", F.coalesce(padded, F.lit(False)))
+    cut = F.col("padded") & (F.col("pad") >= F.col("run")) & (F.col("pad") < F.col("run") + F.col("len"))
+    part = lambda kind, begin, n, when: F.when(when & (F.col("aux") > 0), F.struct(F.lit(kind).alias("kind"), begin.cast("int").alias("offset"), n.cast("int").alias("len")))
+    parts = F.array(
+        part("Init", F.lit(0), F.col("head"), F.col("head") > 0),
+        part("ConstructorArgs", F.col("init"), gap, F.col("args")),
+        part("Runtime", F.col("run"), F.when(cut, F.col("pad") - F.col("run")).otherwise(F.col("len")), (F.col("len") > 0) & (F.col("run") < F.col("aux"))),
+        part("Padding", F.col("pad"), F.col("aux") - F.col("pad"), F.col("padded")),
+        F.when(F.col("aux") < F.col("size"), F.struct(F.lit("Auxdata").alias("kind"), F.col("aux").cast("int").alias("offset"), (F.col("size") - F.col("aux")).cast("int").alias("len"))),
+    )
+    return rows.select("code_id", F.inline(F.filter(F.array_compact(parts), lambda p: p["len"] > 0)))
 
 
 def checked_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | None = None) -> DataFrame:

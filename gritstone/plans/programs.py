@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,10 @@ case when v1 is not null then v1 when o1 = 'ADD' and v2 is not null and v3 is no
 
 def program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """codes, instructions, blocks with control, instructions with nodes, jumps; decoded once, as several uses read them."""
-    c = codes(spark, sf_dir)
+    return program_of(codes(spark, sf_dir))
+
+
+def program_of(c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     instr = cut_lineage(U.decode_instructions(c))
     blocks, rows = U.block_table(instr)
     blocks, rows = cut_lineage(blocks), cut_lineage(rows)
@@ -159,12 +164,35 @@ def a10_property_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.property_flags(rows, "code_id", guarded=F.col("guard"))
 
 
-@query(f"with {BLOCKS} select code_id, 'fallback' as entry, not bool_or(mnemonic = 'SSTORE') as read_only, bool_or(mnemonic = 'CALLVALUE') as payable from ib group by code_id")
+def dispatched(code_id: str, digits: str, key: Callable[[int], str]) -> str:
+    """SQL of a code with up to three keys in front of ``digits``: a dispatcher, a short function for each key that stores, takes value or does nothing and then stops or runs into the next, and the code itself."""
+    n = f"({code_id} % 4)"
+    rows = " || ".join(f"case when {n} > {i} then '63' || {key(i)} || '1461' || lpad(lower(hex({code_id} * 0 + 7 + 10 * {n} + {3 * i})), 4, '0') || '57' else '' end" for i in range(3))
+    bodies = " || ".join(f"case when {n} > {i} then '5b' || case ({code_id} + {i}) % 3 when 0 then '55' when 1 then '34' else '5f' end || case when ({code_id} // 4 + {i}) % 2 = 0 then '00' else '5f' end else '' end" for i in range(3))
+    return f"'60003560e01c' || {rows} || '00' || {bodies} || {digits}"
+
+
+DISPATCHED = CODES.replace("select doc_id as code_id, ", "select code_id, " + dispatched("code_id", "h", lambda i: f"substr(sha256(code_id || ':' || {i}), 1, 8)") + " as h from (select doc_id as code_id, ").replace("from documents)", "from documents where text <> ''))")
+
+
+@query(
+    f"""with recursive {EDGES.replace(CODES, DISPATCHED)}, keyed as (select code_id, imm, lead(mnemonic) over w as o1, lead(mnemonic, 2) over w as o2, lead(mnemonic, 3) over w as o3, lead(imm, 2) over w as t, mnemonic from instr window w as (partition by code_id order by idx)),
+entries as (select k.code_id, k.imm as entry, b.node from keyed k join blocks b on b.code_id = k.code_id and b.start_pc = ('0x' || t)::int where mnemonic = 'PUSH4' and o1 = 'EQ' and o2 = 'PUSH2' and o3 = 'JUMPI'),
+r as (select code_id, entry, node from entries union select r.code_id, r.entry, e.dst from r join edges e on e.code_id = r.code_id and e.src = r.node), every as (select * from r union all select code_id, 'fallback', node from blocks where code_id not in (select code_id from entries)),
+f as (select code_id, node, bool_or(mnemonic = 'SSTORE') as writes, bool_or(mnemonic = 'CALLVALUE') as value from ib group by code_id, node)
+select every.code_id, entry, not coalesce(bool_or(writes), false) as read_only, coalesce(bool_or(value), false) as payable from every left join f using (code_id, node) group by every.code_id, entry"""
+)
 def a11_function_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes made of digests have no entries, so each is one fallback over all of its blocks."""
-    _, _, blocks, rows, _ = program(spark, sf_dir)
-    none = blocks.filter("false").select("code_id", F.lit("").alias("entry"), "node")
-    return A.function_rollup(none, rows, blocks.filter("kind = 'Body'"))
+    """Codes with a dispatcher of up to three keys in front: each key is an entry, and what it reaches its function; codes without a key are one fallback."""
+    c = codes(spark, sf_dir).filter("length(code) > 0").withColumn("h", F.lower(F.hex("code")))
+    text = dispatched("code_id", "h", lambda i: f"substr(sha2(concat(code_id, ':', {i}), 256), 1, 8)").replace("//", "div")
+    _, instr, blocks, rows, _ = program_of(c.select("code_id", F.unhex(F.expr(text)).alias("code")))
+    body = blocks.filter("kind = 'Body'")
+    target = body.select("code_id", F.col("start_pc").cast("long").alias("target"), "node")
+    entries = cut_lineage(U.selector_table(instr).select("code_id", F.col("selector").alias("entry"), F.col("target").cast("long").alias("target")).join(target, ["code_id", "target"]).select("code_id", "entry", "node"))
+    reach = G.reachable(G.build_edges(blocks), entries.select("code_id", "node").distinct())
+    owned = reach.join(entries.withColumnRenamed("node", "root"), ["code_id", "root"]).select("code_id", "entry", "node")
+    return A.function_rollup(owned, rows, body)
 
 
 @query(f"with {INSTR}, s as (select *, lag(mnemonic) over (partition by code_id order by idx) as o, lag(imm) over (partition by code_id order by idx) as m from instr), a as (select code_id, mnemonic, case when o = 'PUSH0' then '' when o like 'PUSH%' then m end as slot from s where mnemonic in ('SLOAD', 'SSTORE')) select code_id, slot, count(*) filter (mnemonic = 'SLOAD') as loads, count(*) filter (mnemonic = 'SSTORE') as stores, 'slot_' || slot as label from a where slot is not null group by code_id, slot")
@@ -221,10 +249,43 @@ def a21_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.entry_points(rows.join(blocks.select("code_id", "node", "start_pc"), ["code_id", "node"]))
 
 
-@query()
+TRAILER = "a1a1a1a1a1a1a1a10008"
+
+
+def deployed(code_id: str, h: str) -> str:
+    """SQL of a code as it is deployed, in one of four forms, with a trailer: behind 16 bytes; behind a copy and a return, with a gap; behind a copy and 120 rows, with and without the opening."""
+    gap = f"({code_id} // 4 % 8)"
+    return f"""case {code_id} % 4 when 0 then substr({h}, 1, 32) || {h} || 'fe' when 1 then '61' || lpad(lower(hex({code_id} * 0 + 9 + {gap})), 4, '0') || '6000396000f3' || repeat('00', ({gap})::int) || {h} || 'fe'
+when 2 then '39' || repeat('5b', 120) || '6080604052600436' || {h} || 'fe' else '39' || repeat('5b', 120) || '36' || {h} end || '{TRAILER}'"""
+
+
+PLANTED = CODES.replace("select doc_id as code_id, ", "select code_id, h as own, " + deployed("code_id", "h") + " as h from (select doc_id as code_id, ").replace("from documents)", "from documents where text is not null))")
+
+
+@query(
+    f"""with {INSTR.replace(CODES, PLANTED)}, base as (select code_id, h, length(h) // 2 as size, length(h) // 2 - 2 - ('0x' || right(h, 4))::int as aux, case when code_id % 4 = 0 and length(own) >= 38 then own || 'fe' end as runtime from codes),
+mk as (select *, case when mnemonic like 'PUSH%' and imm <> '' and length(ltrim(imm, '0')) <= 5 then ('0x0' || ltrim(imm, '0'))::int end as num, lag(pc, 4) over w as p4, lag(mnemonic, 4) over w = 'PUSH1' and lag(imm, 4) over w = '80' and lag(mnemonic, 3) over w = 'PUSH1' and lag(imm, 3) over w = '40' and lag(mnemonic, 2) over w = 'MSTORE' and lag(mnemonic) over w = 'PUSH1' and lag(imm) over w = '04' as opening,
+  min(case when mnemonic = 'RETURN' then pc end) over (partition by code_id order by idx rows between current row and 19 following) as ret from instr window w as (partition by code_id order by idx)),
+ml as (select *, list(num) over (partition by code_id order by idx rows between 10 preceding and 1 preceding) as nums, case when mnemonic = 'CALLDATASIZE' then case when opening then p4 else pc end end as call from mk join base using (code_id)),
+fd as (select code_id, arg_min({{'r': ret, 'n': nums}}, idx) filter (mnemonic = 'CODECOPY') as copy, arg_min(call, idx) filter (call > 100 and call < aux) as call, max(idx) filter (pc < aux and mnemonic <> 'STOP') as last from ml group by code_id),
+pd as (select code_id, max(pc) + 1 as pad from ml join fd using (code_id) where idx <= last and mnemonic in ('STOP', 'RETURN', 'REVERT', 'SELFDESTRUCT', 'INVALID') group by code_id),
+c1 as (select base.*, copy, fd.call, pad, case when runtime is not null then (strpos(h, left(runtime, 40)) - 1) // 2 end as known, copy.r + 1 as e, list_filter(copy.n, lambda x: x > copy.r + 1 and x < 100000) as bey from base left join fd using (code_id) left join pd using (code_id)),
+c2 as (select *, coalesce(bey[len(bey)], e) as p from c1), c3 as (select *, case when known > 0 then {{'i': known - 1, 'r': known}} when aux > 100 and p < aux then {{'i': e, 'r': p}} when aux > 100 and copy is not null and call is not null then {{'i': call, 'r': call}} else {{'i': 0, 'r': 0}} end as spl from c2),
+c4 as (select *, case when spl.i = 0 and spl.r > 0 then spl.r else spl.i end as init, spl.r as run, greatest(least(case when known = spl.r then length(runtime) // 2 else aux - spl.r end, aux - spl.r), 0) as rl from c3), c5 as (select *, run < aux and run - init >= 4 as args, case when run - init between 1 and 3 then run else init end as head from c4),
+c6 as (select *, coalesce(not args and pad < aux, false) as padded, case when head = 0 and run = 0 then aux else rl end as n from c5),
+parts as (select code_id, size, 'Init' as kind, 0 as "offset", head as len from c6 union all select code_id, size, 'ConstructorArgs', init, run - init from c6 where args union all select code_id, size, 'Runtime', run, case when padded and pad >= run and pad < run + n then pad - run else n end from c6 where run < aux
+  union all select code_id, size, 'Padding', pad, aux - pad from c6 where padded union all select code_id, size, 'Auxdata', aux, size - aux from c6),
+good as (select * from parts where len > 0), cu as (select *, coalesce(lag("offset" + len) over w, 0) as cursor, row_number() over w as no from good window w as (partition by code_id order by "offset", len)),
+ft as (select *, case when "offset" < cursor then 'overlap' when "offset" > cursor then 'gap' when "offset" + len > size then 'out of bounds' end as fault from cu), st as (select code_id, coalesce(arg_min(fault, no) filter (fault is not null), case when arg_max("offset" + len, no) <> max(size) then 'final gap' end, 'ok') as status from ft group by code_id)
+select code_id, kind, "offset"::int as "offset", len::int as len, status from good join st using (code_id)"""
+)
 def u3_locate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = codes(spark, sf_dir)
-    return U.checked_sections(c, cut_lineage(U.decode_instructions(c)))
+    """Codes as deployed in four forms; for the first form the runtime is known."""
+    c = codes(spark, sf_dir).filter("code is not null").withColumn("h", F.lower(F.hex("code")))
+    planted = c.select("code_id", "h", F.unhex(F.expr(deployed("code_id", "h").replace("//", "div"))).alias("code"))
+    runtime = planted.filter("code_id % 4 = 0").select("code_id", F.unhex(F.concat("h", F.lit("fe"))).alias("runtime"))
+    instr = cut_lineage(U.decode_instructions(planted))
+    return U.checked_sections(planted.select("code_id", "code"), instr, runtime)
 
 
 @query(

@@ -162,6 +162,36 @@ def test_longest_common_run_of_short_and_repeated_texts(spark):
     assert got == {1: (40, "ab" * 20, 2), 2: (3, "abd", 0), 3: (2, "zx", 3) if "zx" in "zzyxx" else (1, "z", 0), 4: (0, "", None), 5: (2, "漢é", 0)}
 
 
+def test_longest_common_run_of_repeated_megabytes(spark):
+    """Texts of a million characters that repeat two: no more work than others; one of them has a run broken in the middle."""
+    rows = [(1, "ab" * 500_000, "xx" + "ab" * 499_000 + "y"), (2, "a" * 300_000, "a" * 150_000 + "é" + "a" * 150_001), (3, None, ""), (4, "é" * 5, "é" * 5)] + [(k, "abc" * k, "cab" * k) for k in range(5, 60)]
+    pairs = spark.createDataFrame(rows, "pair_id int, a string, b string").repartition(2)
+    got = {r["pair_id"]: (r["length"], r["at_b"], len(r["content"])) for r in D.longest_common_run(pairs, "a", "b").collect()}
+    assert got[1] == (998_000, 2, 998_000) and got[2] == (150_001, 150_001, 150_001) and got[3] == (0, None, 0) and got[4] == (5, 0, 5)
+    assert all(got[k] == (3 * k - 1, 1, 3 * k - 1) for k in range(5, 60))
+    assert D.longest_common_run(pairs.limit(0), "a", "b").count() == 0
+
+
+def test_longest_common_run_against_sql(spark):
+    """Every window of every length of both sides in SQL."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(30)
+    rows = [(k, "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 30))), "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    c = duckdb.connect()
+    c.execute("create table pairs(pair_id int, a varchar, b varchar)")
+    c.executemany("insert into pairs values (?, ?, ?)", rows)
+    sql = """with wa as (select distinct pair_id, substr(a, i, n) as w from (select pair_id, a, i, unnest(range(1, length(a) - i + 2)) as n from (select pair_id, a, unnest(range(1, length(a) + 1)) as i from pairs))),
+    wb as (select pair_id, j, substr(b, j, n) as w from (select pair_id, b, j, unnest(range(1, length(b) - j + 2)) as n from (select pair_id, b, unnest(range(1, length(b) + 1)) as j from pairs))),
+    h as (select pair_id, w, min(j) as j from wa join wb using (pair_id, w) group by all), r as (select pair_id, arg_min({'w': w, 'j': j}, (-length(w), j)) as x from h group by pair_id)
+    select pair_id, coalesce(length(x.w), 0), coalesce(x.w, ''), x.j - 1 from pairs left join r using (pair_id)"""
+    want = {k: rest for k, *rest in c.execute(sql).fetchall()}
+    got = D.longest_common_run(spark.createDataFrame(rows, "pair_id int, a string, b string"), "a", "b").collect()
+    assert {r["pair_id"]: [r["length"], r["content"], r["at_b"]] for r in got} == want
+
+
 def test_preserved_run_study_against_loops(spark):
     import random
     import statistics
@@ -430,19 +460,108 @@ def test_masking_leaves_the_rest(spark):
     assert rows[1:] == ["a@b.c", "none"]
 
 
-def test_sections_cover_every_code(spark):
-    runtime = "6080604052" + "00" * 10 + "fe"
-    code = "600a600c600039600a6000f3" + runtime + "aabbccdd" + "a1" * 8 + "0008"
-    codes = code_table(spark, code, "600160015b00", "")
-    codes = codes.filter("length(code) > 0")
+def sections_by_hand(code: bytes, runtime: bytes | None):
+    """Sections of one code, step by step."""
+    if not code:
+        return []
+    size, aux = len(code), len(code)
+    n = int.from_bytes(code[-2:], "big") if size >= 2 else size
+    if size >= 2 and n <= size - 2:
+        aux = size - 2 - n
+    if aux == 0:
+        return [("Auxdata", 0, size)]
+    instr, pc = [], 0
+    while pc < size:
+        op = code[pc]
+        k = op - 0x5F if 0x60 <= op <= 0x7F else 0
+        if pc + 1 + k > size:
+            break
+        instr.append((pc, op, code[pc + 1 : pc + 1 + k]))
+        pc += 1 + k
+    terminal = {0x00, 0xF3, 0xFD, 0xFE, 0xFF}
+    at = len(instr) - 1
+    while at >= 0 and (instr[at][1] == 0 or instr[at][0] >= aux):
+        at -= 1
+    while at >= 0 and instr[at][1] not in terminal:
+        at -= 1
+    pad = instr[at][0] + 1 if at >= 0 and instr[at][0] + 1 < aux else None
+    init, run, length = 0, 0, aux
+    where = code.find(runtime[:20]) if runtime and len(runtime) >= 20 else -1
+    if where >= 0 and code[where : where + len(runtime)] == runtime:
+        init, run, length = max(where - 1, 0), where, len(runtime)
+    if init == 0 and run == 0 and aux > 100:
+        copies = [k for k, x in enumerate(instr) if x[1] == 0x39]
+        found = None
+        if copies:
+            c = copies[0]
+            back = [k for k in range(c, min(c + 20, len(instr))) if instr[k][1] == 0xF3]
+            if back:
+                e = instr[back[0]][0] + 1
+                r = next((int.from_bytes(instr[k][2], "big") for k in range(c - 1, max(c - 11, -1), -1) if instr[k][2] and e < int.from_bytes(instr[k][2], "big") < 100_000), e)
+                found = (e, r) if r < aux else None
+            if not found:
+                for k, x in enumerate(instr):
+                    if x[1] == 0x36:
+                        opening = k >= 4 and [i[1:] for i in instr[k - 4 : k]] == [(0x60, b"\x80"), (0x60, b"\x40"), (0x52, b""), (0x60, b"\x04")]
+                        r = instr[k - 4][0] if opening else x[0]
+                        if 100 < r < aux:
+                            found = (r, r)
+                            break
+        if found:
+            init, run, length = *found, aux - found[1]
+    if init == 0 and run > 0:
+        init = run
+    length = max(0, min(length, aux - run))
+    args = run > 0 and init < run < aux and run - init >= 4
+    head = run if not args and run > init and run - init < 4 else init
+    out = []
+    if args:
+        out.append(("ConstructorArgs", init, run - init))
+    if not args and pad is not None:
+        out.append(("Padding", pad, aux - pad))
+    if head == 0 and run == 0:
+        run, length = 0, aux
+    elif head > 0:
+        out.append(("Init", 0, head))
+    if not args and pad is not None and run <= pad < run + length:
+        length = pad - run
+    if length > 0 and run < aux:
+        out.append(("Runtime", run, length))
+    if aux < size:
+        out.append(("Auxdata", aux, size - aux))
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def test_sections_by_hand(spark):
+    import random
+
+    rng = random.Random(12)
+    trailer = "a1" * 8 + "0008"
+    runtime = "6080604052" + "01" * 30 + "fe"
+    texts = ["600a600c600039600a6000f3" + runtime + "aabbccdd" + trailer, "600160015b00", "00", "0000", "fe" * 30 + "001e", "", runtime + trailer, "5b" + runtime + trailer, "5b5b5b5b5b" + runtime + "0102" + trailer]
+    for gap in (0, 1, 3, 4, 9):  # a copy with a return; the number pushed is the runtime's place
+        head = "61" + f"{9 + gap:04x}" + "60003960 00f3".replace(" ", "")
+        texts.append(head + "00" * gap + "6001" * 60 + "fe" + trailer)
+    texts.append("39" + "5b" * 120 + "608060405260043601" + "5b" * 40 + "fe00" + trailer)
+    texts.append("39" + "5b" * 120 + "36" + "5b" * 40 + "fd00" + trailer)
+    for _ in range(150):
+        texts.append("".join(rng.choice(["39", "f3", "36", "00", "fe", "6080604052600436", "61" + f"{rng.randint(0, 300):04x}", "5b", f"{rng.randint(0, 255):02x}"]) for _ in range(rng.randint(1, 200))) + rng.choice(["", trailer, "0000"]))
+    codes = code_table(spark, *texts)
     instr = U.decode_instructions(codes)
-    known = spark.createDataFrame([(0, runtime)], "code_id long, h string").select("code_id", F.unhex("h").alias("runtime"))
-    got = sorted((r["code_id"], r["offset"], r["kind"], r["len"]) for r in U.locate_sections(codes, instr, known).collect())
-    size = len(code) // 2
-    assert [g[2] for g in got if g[0] == 0] == ["Init", "Runtime", "ConstructorArgs", "Auxdata"]
-    checked = V.interval_properties(U.locate_sections(codes, instr, known), codes.select("code_id", F.length("code").alias("size"))).collect()
-    assert all(r["full_cover"] and r["in_order"] and r["non_empty"] for r in checked) and sum(g[3] for g in got if g[0] == 0) == size
-    assert {r["status"] for r in U.checked_sections(codes, instr, known).collect()} == {"ok"}
+    known = {0: runtime, 6: runtime, 7: runtime, 8: runtime, 1: "6001", 5: runtime} | {k: texts[k][2 * (k % 7) :][: 2 * (20 + k)] for k in range(20, 100)}
+    table = spark.createDataFrame(list(known.items()), "code_id long, h string").select("code_id", F.unhex("h").alias("runtime"))
+    for given in (table, None):
+        got: dict = {}
+        for r in U.locate_sections(codes, instr, given).collect():
+            got.setdefault(r["code_id"], []).append((r["kind"], r["offset"], r["len"]))
+        for k, text in enumerate(texts):
+            code = bytes.fromhex(text)
+            want = sections_by_hand(code, bytes.fromhex(known[k]) if given is not None and k in known else None)
+            assert sorted(got.get(k, []), key=lambda x: (x[1], x[0])) == want, (k, text)
+    kinds = [r["kind"] for r in U.locate_sections(codes, instr, table).filter("code_id = 0").orderBy("offset").collect()]
+    assert kinds == ["Init", "Runtime", "Padding", "Auxdata"]
+    status = {r["code_id"]: r["status"] for r in U.checked_sections(codes, instr, table).collect()}
+    assert all(status[k] == "ok" for k in (0, 1, 2, 3, 4, *range(6, 16))) and 5 not in status
 
 
 def test_block_summary_and_functions(spark):
