@@ -26,3 +26,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``cut_lineage`` wrote and nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if path.rpartition("/")[2].startswith("round-"):
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -289,7 +289,8 @@ def test_dominators_and_overlap_against_loops(spark):
     roots = spark.createDataFrame([(g, 0) for g in want], "code_id int, node int")
     ends = spark.createDataFrame([(g, last[g]) for g in want], "code_id int, node int")
     dom, pdom = G.immediate_dominators(edges, roots), G.immediate_dominators(edges, ends, reverse=True)
-    for out, k in ((dom, 0), (pdom, 1)):
+    by_rounds = G.immediate_dominators(edges, roots, limit=8)  # the smallest graphs in a task, the others in rounds
+    for out, k in ((dom, 0), (pdom, 1), (by_rounds, 0)):
         assert {(r["code_id"], r["node"]): r["idom"] for r in out.collect()} == {(g, v): d for g, w in want.items() for v, d in w[k].items()}
     got = {r["code_id"]: r["overlap"] for r in G.dominator_overlap(dom, pdom).collect()}
     for g, (one, two) in want.items():
@@ -302,8 +303,42 @@ def test_reachable_over_many_rounds(spark):
     """A chain that is longer than the tables that a search keeps before it puts them together."""
     edges = spark.createDataFrame([(1, k, k + 1) for k in range(40)] + [(1, 40, 0), (2, 5, 6)], "code_id int, src int, dst int")
     roots = spark.createDataFrame([(1, 0), (1, 30), (2, 5), (2, 6)], "code_id int, node int")
-    got = G.reachable(edges, roots).groupBy("code_id", "root").count().collect()
-    assert {(r["code_id"], r["root"]): r["count"] for r in got} == {(1, 0): 41, (1, 30): 41, (2, 5): 2, (2, 6): 1}
+    for limit in (0, 100, 1_000_000):
+        got = G.reachable(edges, roots, limit=limit).groupBy("code_id", "root").count().collect()
+        assert {(r["code_id"], r["root"]): r["count"] for r in got} == {(1, 0): 41, (1, 30): 41, (2, 5): 2, (2, 6): 1}
+
+
+def counted_rounds(monkeypatch):
+    from gritstone.operators import graphs
+
+    seen = []
+    write = graphs.cut_lineage
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: seen.append(1) or write(df))
+    return seen
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    """5,000 nodes one behind the other, a ladder beside it, circles that nothing leads to, and a root inside a chain."""
+    seen = counted_rounds(monkeypatch)
+    path = [(1, k, k + 1) for k in range(5000)] + [(1, 9001, 9002), (1, 9002, 9001), (1, 9002, 9003)]
+    ladder = [e for k in range(0, 600, 2) for e in ((2, k, k + 1), (2, k, k + 2), (2, k + 1, k + 2))]
+    edges = spark.createDataFrame(path + ladder, "code_id int, src int, dst int")
+    roots = spark.createDataFrame([(1, 0), (1, 2500), (2, 0)], "code_id int, node int")
+    got = G.reachable(edges, roots, limit=0).groupBy("code_id", "root").count().collect()
+    assert {(r["code_id"], r["root"]): r["count"] for r in got} == {(1, 0): 5001, (1, 2500): 2501, (2, 0): 601}
+    assert len(seen) < 45  # tables written; the pointers of the path double thirteen times
+
+
+def test_dominators_of_a_deep_chain(spark, monkeypatch):
+    """10,000 nodes deep, with a branch that meets the chain again near its end: rows stay small and rounds few."""
+    seen = counted_rounds(monkeypatch)
+    chain = [(1, k, k + 1) for k in range(10_000)] + [(1, 10, 20_000), (1, 20_000, 9_990), (1, 9_999, 5)]
+    edges = spark.createDataFrame(chain, "code_id int, src int, dst int")
+    root = spark.createDataFrame([(1, 0)], "code_id int, node int")
+    got = {r["node"]: r["idom"] for r in G.immediate_dominators(edges, root, limit=0).collect()}
+    assert {r["node"]: r["idom"] for r in G.immediate_dominators(edges, root).collect()} == got
+    assert got == {0: None, 20_000: 10, 9_990: 10} | {k: k - 1 for k in range(1, 10_001) if k != 9_990}
+    assert len(seen) < 250
 
 
 def test_graph_metrics_by_hand(spark):
