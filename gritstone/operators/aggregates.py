@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gritstone.functions.windows import Characters, over_texts, unique_pairs
+from gritstone.operators.scans import quantiles
 from gritstone.sources.scratch import cut_lineage
 
 
@@ -22,15 +23,22 @@ def unknown_stats(instr: DataFrame, unknown: Column, kind: str, by: Sequence[str
 def distribution_summary(df: DataFrame, value: str, base: float, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """A1: count, mean, median, sample deviation, extremes, interpolated percentiles, mean as percent of ``base``; zeros for no rows.
 
-    Exact percentiles keep the distinct values of a group together; for groups of very many, ``accuracy`` gives values
-    of the data whose rank is wrong by at most 1 / accuracy of the group, from a sketch of bounded size.
+    Percentiles are exact, by ranks over ranges (``scans.quantiles``), so a group of any size is spread over tasks; with
+    ``accuracy`` they are values of the data whose rank is wrong by at most 1 / accuracy of the group, from a sketch of bounded size.
     """
     x = F.col(value).cast("double")
-    points = F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95)))
-    p = F.percentile(x, points) if accuracy is None else F.percentile_approx(x, points, accuracy)
+    points = (0.25, 0.5, 0.75, 0.95)
     zero = F.lit(0.0)
-    one = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), p.alias("p"))
-    picked = [F.coalesce(F.col("p")[k], zero).alias(name) for k, name in enumerate(("p25", "median", "p75", "p95"))]
+    sketch = [] if accuracy is None else [F.percentile_approx(x, F.array(*map(F.lit, points)), accuracy).alias("p")]
+    one = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *sketch)
+    if accuracy is None:
+        p = quantiles(df, value, by, points)
+        p = p.select(*(F.col(b).alias(f"_g{i}") for i, b in enumerate(by)), "p")
+        same = F.lit(True)
+        for i, b in enumerate(by):
+            same &= F.col(b).eqNullSafe(F.col(f"_g{i}"))
+        one = one.join(p, same, "left")  # without ``by`` one row each
+    picked = [F.coalesce(F.get("p", k), zero).alias(name) for k, name in enumerate(("p25", "median", "p75", "p95"))]
     rest = [F.coalesce(c, zero).alias(c) for c in ("mean", "std", "min", "max")]
     ratio = F.when(F.lit(base) == 0, zero).otherwise(F.coalesce(F.col("mean"), zero) / F.lit(float(base) or 1.0) * 100)
     return one.select(*by, "n", *rest, *picked, ratio.alias("ratio"))

@@ -1,4 +1,4 @@
-"""Operators over ordered rows of partitions: segments, depths, runs, markers, layouts. All are window functions."""
+"""Operators over ordered rows of partitions: segments, depths, runs, markers, layouts. All are window functions; ``scans`` has W1, W2, W5, W7 and J7 for partitions that no task should hold."""
 
 from __future__ import annotations
 
