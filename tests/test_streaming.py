@@ -61,3 +61,41 @@ def test_open_groups(spark, tmp_path):
     out = drain(spark, R.stream_segments(stream, kind == "S", kind == "E", timeout_ms=60_000, watermark="1 minute"), "groups")
     got = {tuple(r) for r in out.collect()}
     assert {(1, 0, 2, 3, "closed"), (1, 3, 3, 1, "cut"), (2, 0, 1, 2, "closed"), (1, 4, 5, 2, "timeout")} <= got
+
+
+def staged(spark, tmp_path, name: str, *files):
+    """A stream of (run_id, seq, second, kind), a file a trigger."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = str(tmp_path / name)
+    for rows in files:
+        df = spark.createDataFrame(rows, "run_id long, seq long, second long, kind string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("second")))
+        df.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder), spark.read.parquet(folder)
+
+
+def test_ends_that_come_too_late(spark, tmp_path):
+    first = [(1, 0, 0, "S"), (1, 1, 1, "a"), (2, 0, 0, "S"), (3, 0, 0, "S")]
+    pause = [(9, 0, 500, "S"), (9, 1, 500, "E")]
+    later = [(1, 2, 1000, "E"), (2, 1, 1000, "S"), (2, 2, 1001, "E"), (3, 1, 1000, "a"), (3, 2, 1001, "E")]
+    stream, _ = staged(spark, tmp_path, "late", first, pause, pause, later, [(9, 2, 5000, "S"), (9, 3, 5000, "E")])
+    kind = F.col("kind")
+    out = drain(spark, R.stream_segments(stream, kind == "S", kind == "E", timeout_ms=60_000, watermark="1 minute"), "late_groups")
+    groups, late = R.late_ends(out)
+    assert {tuple(r) for r in late.collect()} == {(1, 0, 2)}
+    got = {tuple(r) for r in groups.collect()}
+    assert {(1, 0, 1, 2, "timeout"), (2, 0, 0, 1, "timeout"), (3, 0, 0, 1, "timeout"), (2, 1, 2, 2, "closed"), (3, 1, 2, 2, "closed")} <= got
+    assert not any(r[:2] == (1, 2) for r in got)
+
+
+def test_tails_of_a_stream(spark, tmp_path):
+    import random
+
+    from gritstone.operators.sequences import tail_before_failure
+
+    rng = random.Random(6)
+    rows = [(run, seq, 10 * seq, "error" if rng.random() < 0.15 else "view") for run in range(1, 6) for seq in range(60)]
+    stream, batch = staged(spark, tmp_path, "tails", *([r for r in rows if 20 * k <= r[1] < 20 * k + 20] for k in range(3)))
+    for n in (1, 4, 400):
+        out = drain(spark, R.stream_tails(stream, F.col("kind") == "error", n), f"tails_{n}")
+        want = tail_before_failure(batch, ["run_id"], ["seq"], F.col("kind") == "error", n).select("run_id", "seq", "back", "failure_no")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
