@@ -233,11 +233,11 @@ def distinct_spans(spans: Lanes, group: np.ndarray | None = None) -> tuple[np.nd
     return np.flatnonzero(first), (np.cumsum(first) - 1)[owner]
 
 
-def scan_rows(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The column's bytes in chunks of whole rows, and where rows begin in each."""
+def scan_rows(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The column's bytes in chunks of whole rows of about ``size``, and where rows begin in each."""
     data, offsets = buffers(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop

@@ -1,12 +1,12 @@
 """Phrases whose words stand together more often than chance has it, from one weighted de Bruijn graph for each language.
 
 Nodes are sequences of ``max_words - 1`` words, edges the sequences of ``max_words`` words that join two of them,
-weighted by how often they occur within the pieces of the texts. Only edges are counted. What a node's sequence
+weighted by how often they occur within the pieces of the texts. Only edges are counted. How often a node's sequence
 occurs is the flow out of it, the sum of its edges, and one more for each piece that ends with it; the
 counts of shorter sequences follow in the same way from the flow of those that begin with them. The flow is summed
-over slices of texts first: a slice gives one row for each node (``flow``, and the words that follow it), and one for
-each shorter sequence and for the language. A node that many words follow gives those in further rows, dealt by
-``salt``, so no node is more than a row a slice for any task. Rows meet by node once, nodes under ``min_count`` go,
+over slices of texts first: a slice gives one row for each node, with the words that follow it (``.`` where a piece ends),
+and each task one for each shorter sequence and language. A node that many words follow gives those in further rows, dealt by
+number, so no node is more than a few rows a slice for any task. Rows meet by node once, nodes under ``min_count`` go,
 and the edges of the others are counted.
 
 Paths of the frequent graph without branches are compacted: an edge goes on in the next where the node between has the
@@ -24,17 +24,21 @@ phrase in byte order comes first. An empty table gives no rows. Other columns ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm._spark import batch, discard, map_texts, materialize, quoted
+from gritstone.llm._spark import batch, discard, give_back, materialize, quoted
 from gritstone.llm._words import distinct_spans, lanes, scan, scan_rows
 
 UNKNOWN = "und"
 MANY = 64  # words behind a node in one row
+FLOW_SLICE = 4 << 20  # bytes of text whose nodes are summed at once
+HELD = 200_000  # shorter sequences that a task holds
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -63,101 +67,134 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
 
 
-def slice_flow(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, max_words: int) -> list[pa.RecordBatch]:
-    """head, salt, flow, tails of a slice: ``lang`` is the language of each row."""
+def short_rows(names: pa.Array, lang: np.ndarray, text: pa.Array, flow: np.ndarray) -> pa.Table:
+    return pa.table({"head": pc.binary_join_element_wise(names.take(pa.array(lang)), text, "\n"), "flow": pa.array(flow, pa.int64())})
+
+
+def slice_flow(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, max_words: int) -> tuple[list[pa.RecordBatch], list[pa.Table]]:
+    """Of a slice: rows (head, tails) of its nodes, and (head, flow) of shorter sequences. ``lang`` is the language of each row.
+
+    tails: what follows the node each time, or ``:`` and its flow where ``MANY`` or more do; these are in rows
+    of their own, whose head has a line tabulation and a number behind it.
+    """
     data = _LOWER[data]
     c = scan(data, offsets, _WORD)
-    n = len(c.starts)
+    n, top = len(c.starts), max_words - 1
     if not n:
-        return []
+        return [], []
     codes = pc.dictionary_encode(lang)
-    row_lang = np.asarray(codes.indices).astype(np.int64)
-    group = np.repeat(row_lang, c.n_words())
+    names = codes.dictionary
+    group = np.repeat(np.asarray(codes.indices).astype(np.int64), c.n_words())
     piece = np.cumsum(_BREAK[data])[c.starts] + c.rows()  # grows with each break and each row
-    _, word = distinct_spans(lanes(data, c.starts, c.ends), group)
-    # the sequences of 1 to max_words words from each word on, by number; -1 where the piece ends before
-    ids, first = [word], [np.unique(word, return_index=True)[1]]
-    for size in range(2, max_words + 1):
-        short = ids[-1][: n - size + 1]
-        ok = np.flatnonzero((short >= 0) & (piece[: n - size + 1] == piece[size - 1 :])) if n >= size else np.zeros(0, np.int64)
+    where, word = distinct_spans(lanes(data, c.starts, c.ends), group)
+    # sequences of 1 to max_words - 1 words from each word on, by number; -1 where the piece ends before
+    ids, first = [word], [where]
+    for size in range(2, max_words):
+        short = ids[-1][: max(0, n - size + 1)]
+        ok = np.flatnonzero((short >= 0) & (piece[: len(short)] == piece[n - len(short) :]))
         _, where, number = np.unique((short[ok] << 32) | word[ok + size - 1], return_index=True, return_inverse=True)
         own = np.full(n, -1, np.int64)
         own[ok] = number
         ids.append(own)
         first.append(ok[where])
-    # flow: from the longest sequences down, what goes on to a longer one and what ends with its piece
-    edge = np.flatnonzero(ids[max_words - 1] >= 0)
-    flow = {max_words - 1: np.bincount(ids[max_words - 2][edge], minlength=len(first[max_words - 2]))}
-    for size in range(max_words - 1, 0, -1):
-        if size < max_words - 1:
-            flow[size] = np.bincount(ids[size - 1][first[size]], flow[size + 1], minlength=len(first[size - 1])).astype(np.int64)
-        ends = (ids[size - 1] >= 0) & (ids[size] < 0)
-        flow[size] = flow[size] + np.bincount(ids[size - 1][ends], minlength=len(first[size - 1]))
-    names = codes.dictionary
-    out = []
 
-    def rows(size: int, at: np.ndarray, sums: np.ndarray, salt: np.ndarray, tails: pa.Array) -> None:
+    def text(size: int, at: np.ndarray) -> pa.Array:
         each = np.add.outer(at, np.arange(size)).ravel()
-        text, ptr = gather(data, c.starts[each], c.ends[each], np.repeat(np.arange(len(at)), size), len(at))
-        head = pc.binary_join_element_wise(names.take(pa.array(group[at])), strings(text, ptr), "\n")
-        out.append(batch(head=head, salt=salt.astype(np.int32), flow=sums.astype(np.int64), tails=tails))
-
-    node = ids[max_words - 2][edge]
-    order = np.argsort(node, kind="stable")
-    behind = edge[order] + max_words - 1
-    node = node[order]
-    degree = np.bincount(node, minlength=len(first[max_words - 2]))
-    place = np.arange(len(node)) - np.repeat(np.cumsum(degree) - degree, degree)
-    few = degree[node] <= MANY
-    n_nodes = len(degree)
-    text, ptr = gather(data, c.starts[behind[few]], c.ends[behind[few]], node[few], n_nodes)
-    none = np.zeros(n_nodes, np.int32)
-    rows(max_words - 1, first[max_words - 2], flow[max_words - 1], none, strings(text, ptr))
+        return strings(*gather(data, c.starts[each], c.ends[each], np.repeat(np.arange(len(at)), size), len(at)))
+
+    # the words behind a node, the end of its piece where there is none: as many as its flow
+    at = np.flatnonzero(ids[top - 1] >= 0)
+    at = at[np.argsort(ids[top - 1][at], kind="stable")]
+    node, behind = ids[top - 1][at], at + top
+    goes_on = behind < n
+    goes_on[goes_on] = piece[behind[goes_on]] == piece[at[goes_on]]
+    behind = np.minimum(behind, n - 1)
+    begin, end = np.where(goes_on, c.starts[behind], len(data)), np.where(goes_on, c.ends[behind], len(data) + 1)
+    dotted = np.append(data, np.uint8(0x2E))
+    flow = np.bincount(node, minlength=len(first[top - 1]))
+    few = flow[node] < MANY
+    tails = strings(*gather(dotted, begin[few], end[few], node[few], len(flow)))
     if not few.all():
-        many = np.flatnonzero(~few)
-        part = place[many] // MANY
+        tails = pc.if_else(pa.array(flow < MANY), tails, pc.binary_join_element_wise("", pa.array(flow).cast(pa.string()), ":"))
+    language = names.take(pa.array(group[first[top - 1]]))
+    rows = [batch(head=pc.binary_join_element_wise(language, text(top, first[top - 1]), "\n"), tails=tails)]
+    many = np.flatnonzero(~few & goes_on)
+    if len(many):
+        own = node[many]
         new = np.ones(len(many), bool)
-        new[1:] = (node[many][1:] != node[many][:-1]) | (part[1:] != part[:-1])
+        new[1:] = own[1:] != own[:-1]
+        place = np.arange(len(many)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        new |= place % MANY == 0
         of = np.cumsum(new) - 1
-        text, ptr = gather(data, c.starts[behind[many]], c.ends[behind[many]], of, int(of[-1]) + 1)
-        at = first[max_words - 2][node[many[new]]]
-        rows(max_words - 1, at, np.zeros(len(at)), 1 + part[new] % 1000, strings(text, ptr))
-    for size in range(max_words - 2, 0, -1):
-        m = len(first[size - 1])
-        rows(size, first[size - 1], flow[size], np.zeros(m), pa.nulls(m, pa.string()))
+        where = first[top - 1][own[new]]
+        head = pc.binary_join_element_wise(names.take(pa.array(group[where])), text(top, where), "\n")
+        head = pc.binary_join_element_wise(head, pa.array(place[new] // MANY % 1000).cast(pa.string()), "\v")
+        rows.append(batch(head=head, tails=strings(*gather(data, begin[many], end[many], of, int(of[-1]) + 1))))
+    # shorter sequences: the flow of the longer ones that begin with them, and the pieces that end with them
+    shorter = []
+    for size in range(top - 1, 0, -1):
+        ends = (ids[size - 1] >= 0) & (ids[size] < 0)
+        flow = np.bincount(ids[size - 1][first[size]], flow, minlength=len(first[size - 1])).astype(np.int64)
+        flow += np.bincount(ids[size - 1][ends], minlength=len(flow))
+        shorter.append(short_rows(names, group[first[size - 1]], text(size, first[size - 1]), flow))
     total = np.bincount(group, minlength=len(names))
     seen = np.flatnonzero(total)
-    out.append(batch(head=pc.binary_join_element_wise(names.take(pa.array(seen)), "", "\n"), salt=np.zeros(len(seen), np.int32), flow=total[seen].astype(np.int64), tails=pa.nulls(len(seen), pa.string())))
-    return out
+    shorter.append(short_rows(names, seen, pa.array([""] * len(seen)), total[seen]))
+    return rows, shorter
 
 
-def sequence_counts(docs: DataFrame, max_words: int, min_count: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, phrase, size and f of all word sequences of up to ``max_words`` words that occur ``min_count`` times or more in a language; of size 0, how many words it has."""
+def flows(docs: DataFrame, max_words: int, text_col: str, lang_col: str) -> DataFrame:
+    """head (language, line feed, words) and tails of all slices' nodes and tasks' shorter sequences."""
     lang = F.coalesce(docs[quoted(lang_col)].cast("string"), F.lit(UNKNOWN)).alias("lang")
-    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), docs[quoted(text_col)].alias("text"), lang)
+    texts = docs.select(docs[quoted(text_col)].alias("text"), lang)
+
+    def emit(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for table in held:
+            flow = pc.binary_join_element_wise("", table["flow"].cast(pa.string()), ":")
+            yield from pa.table({"head": table["head"], "tails": flow}).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            row = 0
+            for data, offsets in scan_rows(b.column(0), FLOW_SLICE):
+                rows, shorter = slice_flow(data, offsets, b.column(1).slice(row, len(offsets) - 1), max_words)
+                yield from rows
+                row += len(offsets) - 1
+                held += shorter
+                if sum(len(x) for x in held) > 2 * HELD:
+                    sums = pa.concat_tables(held).group_by("head").aggregate([("flow", "sum")]).rename_columns(["head", "flow"])
+                    if len(sums) > HELD:
+                        yield from emit([sums])
+                    held = [sums] if len(sums) <= HELD else []
+            give_back()
+        if held:
+            yield from emit([pa.concat_tables(held).group_by("head").aggregate([("flow", "sum")]).rename_columns(["head", "flow"])])
+
+    return texts.mapInArrow(run, "head string, tails string")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        out, row = [], 0
-        for data, offsets in scan_rows(b.column(1)):
-            out += slice_flow(data, offsets, b.column(2).slice(row, len(offsets) - 1), max_words)
-            row += len(offsets) - 1
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
-    rows = map_texts(texts, run, "head string, salt int, flow long, tails string", extra=("lang",), size=FLOW_SLICE).repartition("head", "salt")
+def sequence_counts(docs: DataFrame, max_words: int, min_count: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, phrase, size and f of all word sequences of up to ``max_words`` words that occur ``min_count`` times or more in a language; of size 0, how many words it has."""
+    rows = flows(docs, max_words, text_col, lang_col).repartition("head")
+    number = F.col("tails").startswith(":")
+    flow = F.when(number, F.substring("tails", 2, 20).cast("long")).otherwise((n_words(F.col("tails"))).cast("long"))
+    salted = F.contains(F.substring_index("head", "\n", -1), F.lit("\v"))
     # both uses read all columns of the same shuffle, so that Spark does it once
-    flow = rows.groupBy("head", "salt").agg(F.sum("flow").alias("f"), F.max(F.coalesce(F.octet_length("tails"), F.lit(0))).alias("width"))
-    flow = flow.filter(f"f >= {min_count} or salt > 0").filter("width >= 0").select("head", "salt", F.col("f").alias("total"))
-    met = rows.join(flow.hint("shuffle_hash"), ["head", "salt"])
-    each = F.concat(F.array(F.struct(F.lit("").alias("tail"), F.col("flow").alias("n"))), F.transform(F.split("tails", " "), lambda x: F.struct(x.alias("tail"), F.lit(1).cast("long").alias("n"))))
-    known = F.when(F.length("tails") > 0, each).otherwise(F.array(F.struct(F.lit("").alias("tail"), F.col("flow").alias("n"))))
-    counted = met.select("head", F.explode(known).alias("x")).groupBy("head", "x.tail").agg(F.sum("x.n").alias("f")).filter(f"f >= {min_count}")
-    words = F.substring_index("head", "\n", -1)
-    lang = F.left("head", F.length("head") - F.length(words) - 1)
-    named = counted.select(lang.alias("lang"), F.concat_ws(" ", words, F.when(F.col("tail") != "", F.col("tail"))).alias("phrase"), "f")
-    return named.select("lang", "phrase", n_words(F.col("phrase")).alias("size"), "f")
-
-
-FLOW_SLICE = 1 << 20
+    nodes = rows.groupBy("head").agg(F.sum(flow).alias("total"), F.bool_or(number | salted).alias("hot")).filter((F.col("total") >= min_count) | F.col("hot")).select("head", "hot")
+    met = rows.join(nodes.hint("shuffle_hash"), "head")
+    own = F.when(~salted, F.array(F.struct(F.lit("").alias("tail"), flow.alias("n"))))
+    behind = F.when(~number, F.transform(F.filter(F.split("tails", " "), lambda x: x != "."), lambda x: F.struct(x.alias("tail"), F.lit(1).cast("long").alias("n"))))
+    none = F.array().cast("array<struct<tail:string,n:bigint>>")
+    each = met.select("head", "hot", F.explode(F.concat(F.coalesce(own, none), F.coalesce(behind, none))).alias("x")).select("head", "hot", "x.tail", "x.n")
+    # all rows of a node are in one partition; only where it has rows dealt by number do its edges meet once more
+    there = each.groupBy("head", "tail", "hot").agg(F.sum("n").alias("n")).filter(F.col("hot") | (F.col("n") >= min_count))
+    words = F.substring_index(F.substring_index("head", "\n", -1), "\v", 1)
+    lang = F.left("head", F.length("head") - F.length(F.substring_index("head", "\n", -1)) - 1)
+    named = there.select(lang.alias("lang"), words.alias("words"), "tail", "n")
+    counted = named.groupBy("lang", "words", "tail").agg(F.sum("n").alias("f")).filter(f"f >= {min_count}")
+    phrase = F.concat_ws(" ", "words", F.when(F.col("tail") != "", F.col("tail")))
+    return counted.select("lang", phrase.alias("phrase"), "f").select("lang", "phrase", n_words(F.col("phrase")).alias("size"), "f")
 
 
 def n_words(phrase: Column) -> Column:
@@ -209,6 +246,11 @@ def candidates(counts: DataFrame, paths: DataFrame, max_words: int, share: int)
     return edges.unionByName(left.select("lang", "phrase", "size", "f"))
 
 
+def score_of(scale: int) -> Column:
+    """floor(scale * a * a / (l * r)) of the columns a, l and r, exact for counts of up to 15 digits."""
+    return F.expr(f"(cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * {scale}BD) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))")
+
+
 def collocations(
     docs: DataFrame, max_words: int = 3, min_count: int = 10, share: int = 50, top: int = 2000, scale: int = 1_000_000, text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -222,8 +264,7 @@ def collocations(
     sides = cuts.select("lang", "phrase", "a", "k", sides.alias("x")).select("lang", "phrase", "a", "k", "x.side", "x.part")
     parts = sides.join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
     cut = parts.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
-    score = F.expr(f"(cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * {scale}BD) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))")
-    scored = cut.withColumn("score", score)
+    scored = cut.withColumn("score", score_of(scale))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # first within parts of a language, then among what these leave
