@@ -10,17 +10,42 @@ from pyspark.sql import functions as F
 from gritstone.functions.scalars import deploy_cost, payload_cost, pct_increase
 from gritstone.operators.sequences import running_depth
 from gritstone.operators.sets import signed_counts
+from gritstone.sources.scratch import cut_lineage
 
 
-def tables_equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
-    """V1: only_a, only_b (rows by multiplicity) and equivalent. Both tables meet in one shuffle."""
-    over = signed_counts(a, b)
+def row_hash(columns: Sequence[str], salt: int) -> Column:
+    """A 64-bit hash of a row; nulls count by their place."""
+    return F.xxhash64(F.lit(salt), *columns, *(F.col(c).isNull() for c in columns))
+
+
+def differing(a: DataFrame, b: DataFrame, key: Sequence[str], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of both tables in buckets of ``key`` whose digests differ.
+
+    A bucket's digest is its number of rows and the sums of two hashes of each, so tasks send one row a bucket and equal
+    tables shuffle nothing else; two buckets that differ have one digest by a chance of 2^-128. Only the numbers of buckets that
+    differ, ``buckets`` at most, go to all tasks.
+    """
+    columns = a.columns
+    bucket = F.pmod(row_hash(key, 0), F.lit(buckets))
+    sums = lambda salt: F.sum(row_hash(columns, salt).cast("decimal(20,0)")).cast("string")
+    digest = lambda df: df.select(columns).groupBy(bucket.alias("_bucket")).agg(F.struct(F.count("*"), sums(1), sums(2)).alias("_digest"))
+    both = digest(a).join(digest(b).withColumnRenamed("_digest", "_other"), "_bucket", "full_outer")
+    found = F.broadcast(cut_lineage(both.filter(~F.col("_digest").eqNullSafe(F.col("_other"))).select("_bucket")))
+    part = lambda df: df.select(columns).withColumn("_bucket", bucket).join(found, "_bucket", "left_semi").drop("_bucket")
+    return part(a), part(b)
+
+
+def tables_equivalent(a: DataFrame, b: DataFrame, buckets: int = 65_536) -> DataFrame:
+    """V1: only_a, only_b (rows by multiplicity) and equivalent. Rows meet in one shuffle, those alone whose bucket differs."""
+    over = signed_counts(*differing(a, b, a.columns, buckets))
     more = lambda x: F.coalesce(F.sum(F.greatest(x, F.lit(0))), F.lit(0))
     return over.agg(more(F.col("_over")).alias("only_a"), more(-F.col("_over")).alias("only_b")).withColumn("equivalent", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
-def first_divergence(a: DataFrame, b: DataFrame, key: str, step: str, payload: Sequence[str]) -> DataFrame:
-    """V2: for each key that differs, the first step at which a row differs or is missing on one side."""
+def first_divergence(a: DataFrame, b: DataFrame, key: str, step: str, payload: Sequence[str], buckets: int = 65_536) -> DataFrame:
+    """V2: for each key that differs, the first step at which a row differs or is missing on one side; only keys of buckets that differ are joined."""
+    names = [key, step, *payload]
+    a, b = differing(a.select(names), b.select(names), [key], buckets)
     x = a.select(key, step, F.struct(*payload).alias("_x"))
     y = b.select(key, step, F.struct(*payload).alias("_y"))
     return x.join(y, [key, step], "full_outer").filter(~F.col("_x").eqNullSafe(F.col("_y"))).groupBy(key).agg(F.min(step).alias("step"))

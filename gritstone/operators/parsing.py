@@ -309,11 +309,11 @@ class Decode:
     def eval(self, code: bytes):
         if not code:
             return
-        step = [b - 0x5E if 0x60 <= b <= 0x7F else 1 for b in code]
+        step, names = [b - 0x5E if 0x60 <= b <= 0x7F else 1 for b in code], mnemonics()
         for idx, pc in enumerate(starts(step, [len(code)]).tolist()):
             n = step[pc]
             if pc + n <= len(code):
-                yield idx, pc, code[pc], mnemonics()[code[pc]], code[pc + 1 : pc + n].hex() if n > 1 else None, n
+                yield idx, pc, code[pc], names[code[pc]], code[pc + 1 : pc + n].hex() if n > 1 else None, n
 
 
 def register_decode(spark: SparkSession, name: str = "decode") -> None:
