@@ -65,20 +65,22 @@ def decode_instructions(codes: DataFrame, id_col: str = "code_id", code_col: str
         data, ends = np.frombuffer(raw, np.uint8), np.cumsum(size_of)
         is_push = (data >= 0x60) & (data <= 0x7F)
         step = np.where(is_push, data.astype(np.int64) - 0x5E, 1)
+        begins = ends - size_of
         at = starts(step.tolist(), ends.tolist())
         row = np.searchsorted(ends, at, "right")
         whole = at + step[at] <= ends[row] if len(at) else np.zeros(0, bool)
         at, row = at[whole], row[whole]
-        begins = ends - size_of
         first = np.searchsorted(row, np.arange(len(ends)))
-        digits, push = raw.hex(), is_push[at]
-        imm: list[str | None] = [None] * len(at)
-        where = np.flatnonzero(push)
-        for k, a, n in zip(where.tolist(), at[where].tolist(), step[at[where]].tolist(), strict=True):
-            imm[k] = digits[2 * a + 2 : 2 * (a + n)]
+        push = is_push[at]
+        inside = np.zeros(len(data) + 1, np.int8)  # +1 where an immediate begins, -1 behind it
+        inside[at[push] + 1] += 1
+        inside[at[push] + step[at[push]]] -= 1
+        digits = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)].tobytes().hex().encode()
+        offsets = np.concatenate([[0], np.cumsum(np.where(push, 2 * step[at] - 2, 0))]).astype(np.int32)
+        imm = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(digits), pa.py_buffer(np.packbits(push, bitorder="little")))
         none = np.flatnonzero(size_of == 0)
         blank = lambda kind: pa.nulls(len(none), kind)
-        one = [ids.take(pa.array(row)), pa.array(np.arange(len(at)) - first[row], pa.int32()), pa.array(at - begins[row], pa.int32()), pa.array(data[at], pa.int16()), names.take(pa.array(data[at].astype(np.int64))), pa.array(imm, pa.string()), pa.array(step[at], pa.int32())]
+        one = [ids.take(pa.array(row)), pa.array(np.arange(len(at)) - first[row], pa.int32()), pa.array(at - begins[row], pa.int32()), pa.array(data[at], pa.int16()), names.take(pa.array(data[at].astype(np.int64))), imm, pa.array(step[at], pa.int32())]
         two = [ids.take(pa.array(none)), blank(pa.int32()), blank(pa.int32()), blank(pa.int16()), pa.array(["EMPTY"] * len(none), pa.string()), blank(pa.string()), pa.array(np.zeros(len(none)), pa.int32())]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(one, two, strict=True)], schema=SCHEMA)
 
