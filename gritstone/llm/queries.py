@@ -17,7 +17,7 @@ from gritstone.llm.secret_scan import joined, scan_secrets
 from gritstone.llm.substring_dedup import substring_dedup
 from gritstone.llm.token_output import packed_rows
 from gritstone.llm.toxicity import score_toxicity
-from gritstone.llm.url_cascade import filter_urls
+from gritstone.llm.url_cascade import filter_urls, rule_table
 
 #: (verdict, host, path) of the url query.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -41,7 +41,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

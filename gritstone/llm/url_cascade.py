@@ -4,12 +4,12 @@ A listing holds keys, host followed by path. The first level of its cascade enco
 second those keys of the corpus that pass the first level wrongly; the third the listed keys that pass
 the second, and so on until no key is told wrongly. Over the corpus's complete key universe the answers
 are therefore exact, without a join of pages with lists. Only filters reach the tasks: about
-``1.44 * log2(|universe| / |listed|)`` bits for each listed key. A listing of more than ``max_keys`` keys is split by
+``1.44 * log2(|universe| / |listed|)`` bits for each listed key that the universe has. A listing of more such than ``max_keys`` keys is split by
 a hash of the key into parts, each with a cascade and a pass of its own, so that tasks never get more at once.
 The marks of the universe's keys are written once, and all levels read them.
 
-Keys of a url: its host and every parent domain of as many labels as some listed host has, followed by
-the path's first characters, as many as some listed path has.
+Keys of a url: its host or a parent domain, followed by the path's first characters, of as many labels and
+characters as some rule has. Rules are a table of any size; only the distinct pairs of these two numbers are collected.
 
 A null url or one without ``://`` has an empty host and path and no keys; it gets the default verdict. Repeated
 pages are judged alike, of two rules of one length the blocking one wins, and listings as well as tables may be empty.
@@ -18,6 +18,7 @@ Urls of any length are judged whole; only their keys, which are short, are compa
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -99,11 +100,11 @@ def part_of(key: Column, parts: int) -> Column:
 def build_cascades(listed: DataFrame, universe: DataFrame, salt: int = 0, max_keys: int = 5_000_000) -> Iterator[Cascade]:
     """Cascades, one for each part of the listing, that are exact on ``universe`` (distinct ``key``) together: every key of it is told listed or not.
 
-    listed: column ``key``. No join: the universe's keys and the listed ones are told apart by one
-    aggregation over both. A cascade is built when it is asked for.
+    listed: column ``key``. No join: one aggregation over both tells the universe's keys that are listed from the
+    others, and listed keys that the universe has not are left out. A cascade is built when it is asked for.
     """
-    listed = listed.select("key").distinct()
-    marks = materialize(universe.select("key", F.lit(0).alias("own")).unionByName(listed.select("key", F.lit(1).alias("own"))).groupBy("key").agg(F.max("own").alias("own")))
+    both = universe.select("key", F.lit(0).alias("own"), F.lit(1).alias("met")).unionByName(listed.select("key", F.lit(1).alias("own"), F.lit(0).alias("met")))
+    marks = materialize(both.groupBy("key").agg(F.max("own").alias("own"), F.max("met").alias("met")).filter("met = 1").drop("met"))
     total = int(marks.agg(F.sum("own")).first()[0] or 0)
     parts = 1 if total <= max_keys else 1 + math.ceil(1.2 * total / max_keys)
     for part in range(parts):
@@ -122,38 +123,35 @@ def build_cascades(listed: DataFrame, universe: DataFrame, salt: int = 0, max_ke
     discard(marks)
 
 
-def url_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """The keys that a listing with hosts of ``labels`` labels and paths of ``lengths`` characters could hold, null if not long enough."""
-    parts = F.split(host, r"\.")
-    keys = []
-    for n in labels:
-        for m in lengths:
-            fits = (F.size(parts) >= n) & (F.length(path) >= m) & (host != "")
-            keys.append(F.when(fits, F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, m))))
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+def url_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The keys that a rule of some shape (labels of its host, characters of its path) could have here; at most one for each label and path prefix of the url."""
+    given = F.from_json(F.lit(json.dumps([{"labels": n, "chars": m} for n, m in shapes])), "array<struct<labels:int,chars:int>>")
+    n_labels = F.when(host == "", 0).otherwise(F.length(host) - F.length(F.replace(host, F.lit("."))) + 1)
+    fits = F.filter(given, lambda s: (s["labels"] <= n_labels) & (s["chars"] <= F.length(path)))
+    return F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.substring(path, F.lit(1), s["chars"])))
 
 
-def key_table(spark: SparkSession, keys: list[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")).alias("key"))
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A short list of rules (verdict, host, path) as the table that ``filter_urls`` takes."""
+    given = json.dumps([dict(zip(("verdict", "host", "path"), r, strict=True)) for r in rules])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(given), "array<struct<verdict:string,host:string,path:string>>")))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_keys: int = 5_000_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_keys: int = 5_000_000) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict.
 
-    rules: (verdict, host, path), verdict ``block`` or ``allow``. The longest rule that fits wins (a rule
-    stands in one listing only); without one, the url is in no listing and the verdict is ``default``.
+    rules: columns verdict (``block`` or ``allow``), host, path; any number of rows. The longest rule that fits wins;
+    without one, the url is in no listing and the verdict is ``default``. Rules with a null, and other verdicts, fit nothing.
     """
-    spark = pages.sparkSession
     rows = pages.select(pages[id_col].alias("page_id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"))
     rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-    labels = sorted({h.count(".") + 1 for _, h, _ in rules}, reverse=True)
-    lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    keyed = rows.withColumn("keys", url_keys(F.col("host"), F.col("path"), labels, lengths))
+    listed = rules.select("verdict", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).dropna()
+    shapes = sorted((r["labels"], r["chars"]) for r in listed.select("labels", "chars").distinct().collect())  # numbers alone, few: labels times lengths at most
+    keyed = rows.withColumn("keys", url_keys(F.col("host"), F.col("path"), shapes))
     universe = keyed.select(F.explode("keys").alias("key")).distinct()
     best = keyed.select("page_id", "host", "path", "keys", *(F.lit(None).cast("string").alias(v) for v in ("block", "allow")))
     for k, v in enumerate(("block", "allow")):
-        listing = key_table(spark, [h + p for kind, h, p in rules if kind == v])
-        for cascade in build_cascades(listing, universe, 1000 * k, max_keys):
+        for cascade in build_cascades(listed.filter(F.col("verdict") == v), universe, 1000 * k, max_keys):
             longest = F.reduce(F.filter("keys", cascade.holds), F.col(v), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
             best = best.withColumn(v, longest)
             if cascade.parts > 1:

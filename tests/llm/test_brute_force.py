@@ -126,7 +126,7 @@ def test_url_cascade(spark):
     urls = [None, "", "nothing", "http://", "://a.net/", "http://a.net", "http://a.net?x/", "http://A.Net/x#y", "http://user@x.org:80/fr/"] + [f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'de/', 'fr/', 'en', '', 'x/en/'])}{k}" for k in range(300)]
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = {r["page_id"]: tuple(r)[1:] for r in url_cascade.filter_urls(pages, rules).collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in url_cascade.filter_urls(pages, url_cascade.rule_table(spark, rules)).collect()}
     for k, u in enumerate(urls):
         rest = u[u.index("://") + 3 :] if u and "://" in u else ""
         host = lower(re.match(r"[^/?#]*", rest)[0])
@@ -134,8 +134,8 @@ def test_url_cascade(spark):
         fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         _, rule, verdict = max(fit, default=(0, None, "allow"))
         assert got[k] == (host, path, rule, verdict), u
-    assert url_cascade.filter_urls(pages.filter("false"), rules).count() == 0
-    assert {r["verdict"] for r in url_cascade.filter_urls(pages, []).collect()} == {"allow"}
+    assert url_cascade.filter_urls(pages.filter("false"), url_cascade.rule_table(spark, rules)).count() == 0
+    assert {r["verdict"] for r in url_cascade.filter_urls(pages, url_cascade.rule_table(spark, [])).collect()} == {"allow"}
 
 
 def test_cascade_is_exact_on_a_large_universe(spark):
@@ -154,12 +154,28 @@ def test_cascade_is_exact_on_a_large_universe(spark):
     assert universe.filter(every != (F.substring("key", -2, 2) == "77")).count() == 0
 
 
+def test_a_million_url_rules(spark):
+    k = F.col("id")
+    block = spark.range(700_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), k, F.lit(".org")).alias("host"), F.lit("/").alias("path"))
+    allow = spark.range(300_000).select(F.lit("allow"), F.concat(F.lit("h"), k, F.lit(".org")), F.concat(F.lit("/"), k % 50, F.lit("/")))
+    odd = spark.createDataFrame([(None, "h1.org", "/"), ("block", None, "/"), ("block", "h2.org", None), ("other", "h3.org", "/3/9")], "verdict string, host string, path string")
+    rules = block.union(allow).union(odd)
+    pages = spark.range(0, 1_000_000, 4000).select(k.alias("page_id"), F.concat(F.lit("https://www.H"), k, F.lit(".org/"), k % 50, F.lit("/x")).alias("url"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.filter_urls(pages, rules).collect()}
+    assert len(got) == 250
+    for n, found in got.items():
+        want = (f"h{n}.org/{n % 50}/", "allow") if n < 300_000 else (f"h{n}.org/", "block") if n < 700_000 else (None, "allow")
+        assert found == want
+    assert url_cascade.filter_urls(pages, odd).filter("rule is not null").count() == 0
+
+
 def test_url_rules_of_a_split_listing(spark):
     hosts = [f"h{k}.org" for k in range(30)]
     rules = [("block", h, "/a") for h in hosts[:20]] + [("allow", h, "/a/b") for h in hosts[10:]]
     pages = spark.createDataFrame([(k, f"https://x.{hosts[k % 30]}/a{'/b' if k % 2 else ''}") for k in range(90)] + [(5, f"https://x.{hosts[5]}/a/b")], "page_id long, url string").withColumn("keys", F.lit("clash"))
-    whole = sorted(tuple(r) for r in url_cascade.filter_urls(pages, rules).collect())
-    assert whole == sorted(tuple(r) for r in url_cascade.filter_urls(pages, rules, max_keys=4).collect()) and len(whole) == 91
+    table = url_cascade.rule_table(spark, rules)
+    whole = sorted(tuple(r) for r in url_cascade.filter_urls(pages, table).collect())
+    assert whole == sorted(tuple(r) for r in url_cascade.filter_urls(pages, table, max_keys=4).collect()) and len(whole) == 91
     for k, _, _, rule, verdict in whole:
         n = k % 30
         want = ("allow", f"{hosts[n]}/a/b") if n >= 10 and k % 2 else ("block", f"{hosts[n]}/a") if n < 20 else ("allow", None)

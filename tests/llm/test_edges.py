@@ -116,7 +116,7 @@ def test_pseudo_likelihood(long_docs):
 def test_urls(spark):
     long = "https://a.example.net/en/" + "x/" * 1_500_000
     pages = spark.createDataFrame([(1, long), (1, long), (2, None), (3, "https://" + "h." * 100_000 + "net/")], "page_id long, url string").withColumn("keys", F.lit("clash")).withColumn("rule", F.lit("clash"))
-    got = sorted((r["page_id"], r["verdict"], r["rule"]) for r in url_cascade.filter_urls(pages, [("block", "net", "/"), ("allow", "example.net", "/en/")]).collect())
+    got = sorted((r["page_id"], r["verdict"], r["rule"]) for r in url_cascade.filter_urls(pages, url_cascade.rule_table(spark, [("block", "net", "/"), ("allow", "example.net", "/en/")])).collect())
     assert got == [(1, "allow", "example.net/en/"), (1, "allow", "example.net/en/"), (2, "allow", None), (3, "block", "net/")]
 
 
