@@ -143,7 +143,10 @@ def odd_limit(k: int, threshold: float) -> int:
 
 
 def confirm(pairs: DataFrame, odd: DataFrame, sets: DataFrame, limit: int, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sketches allow and whose full sets confirm a link."""
+    """Those of the pairs (a, b) whose sketches allow and whose full sets confirm a link.
+
+    A's set travels with each pair to b's, so b is to be the one that many pairs have: its set travels once.
+    """
     words = range(BITS // 64)
     left = odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("odd_a"))
     right = odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_b"))
@@ -158,7 +161,7 @@ def confirm(pairs: DataFrame, odd: DataFrame, sets: DataFrame, limit: int, thres
 
 
 def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (doc_id, comp) in different components that may reach ``threshold``; none that does is missing.
+    """Pairs (a, b) of ``members`` (doc_id, comp) in different components that may reach ``threshold``; none that does is missing; b has no fewer pairs than a.
 
     Shingles are ordered from the rarest (among the members) to the commonest. Sets of n and m shingles that
     reach the threshold t share ``o = ceil(t / (1 + t) * (n + m))`` or more, so the first that they share is
@@ -177,7 +180,11 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     overlap = f"({threshold} * (n + m) + {99 + threshold}) div {100 + threshold}"
     near = f"comp <> other and (n > m or n = m and doc_id > b) and 100 * m >= {threshold} * n and rank <= n - {overlap} + 1 and place <= m - {overlap} + 1"
     both = ranked.join(small, (ranked["shingle"] == small["shingle"]) & F.expr(near))
-    return both.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+    pairs = materialize(both.select(F.col("doc_id").alias("a"), "b").distinct())
+    often = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    ends = pairs.join(often.toDF("a", "in_a"), "a").join(often.toDF("b", "in_b"), "b")
+    turned = F.col("in_a") > F.col("in_b")
+    return ends.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def classes(docs: DataFrame, shingle: int = 5, threshold: int = 75, bands: int = 48, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 4) -> DataFrame:
@@ -231,7 +238,7 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: int = 75, bands: int =
             others = in_band.select("band", F.col("doc_id").alias("b"), F.col("comp").alias("other"))
             hubs = in_band.groupBy("band").agg(F.max(F.struct("drawn", -F.col("doc_id"), "comp")).alias("hub"))
             ours = materialize(hubs.select("band", (-F.col("hub")["col2"]).alias("a"), F.col("hub")["comp"].alias("comp")))
-            pairs = ours.join(others, "band").filter("comp <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = ours.join(others, "band").filter("comp <> other").select(F.col("b").alias("a"), F.col("a").alias("b"))
         more = materialize(links.union(confirm(pairs, odd, sets, limit, threshold)).distinct())
         discard(links, comps)
         links, comps = more, components(more)
