@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,9 +276,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
     table = count_grams(sample.filter("fold <> 0").select("doc_id", "text", "lang"), order).toArrow()  # of ``max_total`` rows
     if not table.num_rows:
         return None
-    langs = sorted(set(table["lang"].to_pylist()))
-    code = {x: k for k, x in enumerate(langs)}
-    lang = np.array([code[x] for x in table["lang"].to_pylist()])
+    langs = sorted(pc.unique(table["lang"]).to_pylist())
+    code = lambda column: pc.fill_null(pc.index_in(column, pa.array(langs, pa.string())), -1).to_numpy().astype(np.int64)
+    lang = code(table["lang"])
     models = list(blocks_of(langs, lang, table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy(), order, max_cells))
     calibrating = sample.filter("fold = 0").select("doc_id", "text", "lang")
     parts = []
@@ -286,14 +287,14 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
         def run(b: pa.RecordBatch, model: KneserNey = model) -> pa.RecordBatch:
             h, size = model.entropies(b.column(1))
             keep = size > 0
-            return batch(doc_id=b.column(0).filter(pa.array(keep)), lang=b.column(2).filter(pa.array(keep)), h=pa.array(h[keep].tolist(), pa.list_(pa.float64())), size=size[keep])
+            return batch(doc_id=b.column(0).filter(pa.array(keep)), lang=b.column(2).filter(pa.array(keep)), h=pa.ListArray.from_arrays(np.arange(keep.sum() + 1, dtype=np.int32) * h.shape[1], pa.array(h[keep].ravel())), size=size[keep])
 
         part = map_texts(calibrating, run, "doc_id long, lang string, h array<double>, size long", extra=("lang",)).toArrow()
         parts.append(part.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("size", "ascending")]))
     limits, temperature = np.full(len(langs), np.inf), 1.0
     if parts[0].num_rows:
-        h = np.concatenate([np.array(p["h"].to_pylist()) for p in parts], axis=1)
-        truth = np.array([code.get(x, -1) for x in parts[0]["lang"].to_pylist()])
+        h = np.concatenate([pc.list_flatten(p["h"]).to_numpy().reshape(p.num_rows, -1) for p in parts], axis=1)
+        truth = code(parts[0]["lang"])
         size = parts[0]["size"].to_numpy()
         scales = np.geomspace(0.5, 200, 40)
         loss = [-np.log(np.maximum(posterior(h, size, s)[np.arange(len(h)), truth], 1e-9))[truth >= 0].mean() for s in scales] if (truth >= 0).any() else [0.0]
