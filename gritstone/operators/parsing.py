@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,32 @@ def starts(step: list[int], ends: list[int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def sweep(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Linear sweeps of all codes: their sizes, all bytes, where each code begins, the bytes an instruction takes at each place; the places of whole instructions and their codes."""
+    size_of = pc.fill_null(pc.binary_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data, ends = np.frombuffer(b"".join(x for x in codes.to_pylist() if x), np.uint8), np.cumsum(size_of)
+    step = np.where((data >= 0x60) & (data <= 0x7F), data.astype(np.int64) - 0x5E, 1)
+    at = starts(step.tolist(), ends.tolist())
+    row = np.searchsorted(ends, at, "right")
+    whole = at + step[at] <= ends[row] if len(at) else np.zeros(0, bool)
+    return size_of, data, ends - size_of, step, at[whole], row[whole]
+
+
+def in_slices(codes: DataFrame, fn: Callable[[pa.Array, pa.Array], pa.RecordBatch], schema: str, id_col: str, code_col: str) -> DataFrame:
+    """Runs ``fn`` over ids and codes, about 1 MB of codes (one at least) at a time; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < b.num_rows:
+                stop = max(row + 1, int(np.searchsorted(size, (int(size[row - 1]) if row else 0) + SLICE, "right")))
+                yield fn(b.column(0).slice(row, stop - row), b.column(1).slice(row, stop - row))
+                row = stop
+
+    return codes.select(F.col(id_col).cast("long").alias("code_id"), F.col(code_col).alias("code")).mapInArrow(run, schema)
+
+
 def decode_instructions(codes: DataFrame, id_col: str = "code_id", code_col: str = "code") -> DataFrame:
     """code_id, idx, pc, opcode, mnemonic, imm, size by a linear sweep; no shuffle.
 
@@ -60,17 +86,9 @@ def decode_instructions(codes: DataFrame, id_col: str = "code_id", code_col: str
     names = pa.array(mnemonics())
 
     def decode(ids: pa.Array, codes: pa.Array) -> pa.RecordBatch:
-        size_of = pc.fill_null(pc.binary_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = b"".join(x for x in codes.to_pylist() if x)
-        data, ends = np.frombuffer(raw, np.uint8), np.cumsum(size_of)
-        is_push = (data >= 0x60) & (data <= 0x7F)
-        step = np.where(is_push, data.astype(np.int64) - 0x5E, 1)
-        begins = ends - size_of
-        at = starts(step.tolist(), ends.tolist())
-        row = np.searchsorted(ends, at, "right")
-        whole = at + step[at] <= ends[row] if len(at) else np.zeros(0, bool)
-        at, row = at[whole], row[whole]
-        first = np.searchsorted(row, np.arange(len(ends)))
+        size_of, data, begins, step, at, row = sweep(codes)
+        is_push = step > 1
+        first = np.searchsorted(row, np.arange(len(begins)))
         push = is_push[at]
         inside = np.zeros(len(data) + 1, np.int8)  # +1 where an immediate begins, -1 behind it
         inside[at[push] + 1] += 1
@@ -84,16 +102,7 @@ def decode_instructions(codes: DataFrame, id_col: str = "code_id", code_col: str
         two = [ids.take(pa.array(none)), blank(pa.int32()), blank(pa.int32()), blank(pa.int16()), pa.array(["EMPTY"] * len(none), pa.string()), blank(pa.string()), pa.array(np.zeros(len(none)), pa.int32())]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(one, two, strict=True)], schema=SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            row = 0
-            while row < b.num_rows:
-                stop = max(row + 1, int(np.searchsorted(size, (int(size[row - 1]) if row else 0) + SLICE, "right")))
-                yield decode(b.column(0).slice(row, stop - row), b.column(1).slice(row, stop - row))
-                row = stop
-
-    return codes.select(F.col(id_col).cast("long").alias("code_id"), F.col(code_col).alias("code")).mapInArrow(run, "code_id long, idx int, pc int, opcode short, mnemonic string, imm string, size int")
+    return in_slices(codes, decode, "code_id long, idx int, pc int, opcode short, mnemonic string, imm string, size int", id_col, code_col)
 
 
 SCHEMA = pa.schema([("code_id", pa.int64()), ("idx", pa.int32()), ("pc", pa.int32()), ("opcode", pa.int16()), ("mnemonic", pa.string()), ("imm", pa.string()), ("size", pa.int32())])
@@ -141,6 +150,80 @@ def with_control(blocks: DataFrame, jumps: DataFrame, rows: DataFrame) -> DataFr
     return both.withColumn("control", F.struct(tag.alias("tag"), F.col("target").cast("int").alias("target"))).drop("target")
 
 
+def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code") -> DataFrame:
+    """Blocks with control, as ``with_control`` gives them, from the codes in one pass: a batch has whole codes, so nothing is shuffled or written between.
+
+    Null and empty codes have an entry and an exit; a code that is one cut-off PUSH has neither. Rows of one id are
+    codes of their own, each with its own blocks.
+    """
+    names = pa.array(mnemonics())
+    closing = np.zeros(256, bool)
+    closing[[0x00, 0x56, 0x57, 0xF3, 0xFD, 0xFE, 0xFF]] = True
+    rise = np.zeros(256, np.int64)
+    rise[0x5F:0x90], rise[0x50] = 1, -1
+
+    def jump_values(j: np.ndarray, data: np.ndarray, at: np.ndarray, step: np.ndarray, pcs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What jumps at the instructions ``j``, whose codes begin at ``first``, go to; -1 where that is not known."""
+
+        def back(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Operation, whether a number was pushed, and it, of the k-th instruction before; -1 beyond the code's begin."""
+            place = at[np.maximum(j - k, 0)]
+            op = np.where(j - k >= first, data[place].astype(np.int64), -1)
+            value = np.zeros(len(j), np.int64)
+            for b in range(1, 8):
+                value = np.where(step[place] > b, value * 256 + data[np.minimum(place + b, len(data) - 1)], value)
+            return op, (op >= 0x60) & (op <= 0x66), value
+
+        (op1, push1, v1), (op2, push2, v2), (_, push3, v3) = back(1), back(2), back(3)
+        total = np.where(push2, v2 + v3, np.where(op2 == 0x58, pcs[np.maximum(j - 2, 0)] + v3, -1))
+        return np.where(push1, v1, np.where((op1 == 0x01) & push3, total, -1))
+
+    def build(ids: pa.Array, codes: pa.Array) -> pa.RecordBatch:
+        size_of, data, begins, step, at, row = sweep(codes)
+        op, pcs = data[at], at - begins[row]
+        first_of = np.searchsorted(row, np.arange(len(begins)))  # each code's first instruction
+        new = op == 0x5B
+        new[1:] |= closing[op[:-1]] | (row[1:] != row[:-1])
+        new[:1] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        own, inside = row[first], np.cumsum(new) - 1
+        node = np.arange(len(first)) - np.searchsorted(own, np.arange(len(begins)))[own] + 2
+        delta = rise[op]
+        total = np.cumsum(delta)
+        total -= (total[first] - delta[first])[inside]
+        apart = inside * (len(at) + 1)  # lower in each block than in all before, so that lows do not pass on
+        low = np.minimum.accumulate(np.minimum(total, 0) - apart) + apart
+        deepest = np.maximum.reduceat(np.where(delta > 0, total - low, 0), first) if len(first) else np.zeros(0, np.int64)
+
+        jumps = np.flatnonzero((op[last] == 0x56) | (op[last] == 0x57))
+        value = jump_values(last[jumps], data, at, step, pcs, first_of[own[jumps]])
+        wide = int(size_of.max(initial=0)) + 1
+        key, sought = own * wide + pcs[first], own[jumps] * wide + value
+        hit = np.minimum(np.searchsorted(key, sought), max(len(key) - 1, 0))
+        known = (value >= 0) & (value < wide) & (key[hit] == sought)
+        target = np.full(len(first), -1)
+        target[jumps[known]] = node[hit[known]]
+        end = op[last]
+        kind = np.select([(end == 0x56) & (target < 0) | (end == 0x57) & (target < 0), end == 0x56, end == 0x57, closing[end]], [0, 1, 2, 3], 4)
+
+        ringed = np.flatnonzero((size_of == 0) | (np.bincount(row, minlength=len(size_of)) > 0))  # codes with an entry and an exit
+        twice = np.repeat(ringed, 2)
+        blank = lambda kind: pa.nulls(len(twice), kind)
+        zero = pa.array(np.zeros(len(twice), np.int32))
+        number = lambda x: pa.array(x.astype(np.int32))
+        body = [
+            ids.take(pa.array(own)), number(node), pa.array(["Body"] * len(first), pa.string()), number(pcs[first]), number(pcs[last]), number(last - first + 1), number(deepest), names.take(pa.array(end.astype(np.int64))),
+            names.take(pa.array(op[first].astype(np.int64))), pa.array(["Unknown", "Jump", "Branch", "Terminal", "Fallthrough"]).take(pa.array(kind)), pa.array(target.astype(np.int32), mask=target < 0),
+        ]
+        rim = [ids.take(pa.array(twice)), number(np.tile([0, 1], len(ringed))), pa.array(["Entry", "Exit"] * len(ringed), pa.string()), blank(pa.int32()), blank(pa.int32()), zero, zero, blank(pa.string()), blank(pa.string()), blank(pa.string()), blank(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(rim, body, strict=True)], names=columns)
+
+    columns = ["code_id", "node", "kind", "start_pc", "end_pc", "n_instr", "max_stack", "last_op", "first_op", "tag", "target"]
+    flat = in_slices(codes, build, "code_id long, node int, kind string, start_pc int, end_pc int, n_instr int, max_stack int, last_op string, first_op string, tag string, target int", id_col, code_col)
+    return flat.select(*columns[:-2], F.struct("tag", "target").alias("control"))
+
+
 def locate_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
     """code_id, kind (Init, ConstructorArgs, Runtime, Padding, Auxdata), offset, len.
 

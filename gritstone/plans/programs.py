@@ -78,7 +78,7 @@ fl as (select *, t - least(0, min(t) over (partition by code_id, node order by i
 
 @query(f"with {EDGES} select * from edges")
 def g1_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.build_edges(program(spark, sf_dir)[2])
+    return G.build_edges(U.code_blocks(codes(spark, sf_dir)))
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +141,14 @@ def g4_dominator_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g5_graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, _, blocks, _, _ = program(spark, sf_dir)
-    blocks = cut_lineage(blocks)
+    c = codes(spark, sf_dir)
+    blocks = cut_lineage(U.code_blocks(c))
     return G.graph_metrics(c, blocks, cut_lineage(G.build_edges(blocks)))
 
 
 @query(f"with {BLOCKS}, {DEPTHS} select * from depths")
 def w2_max_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, _ = U.block_table(U.decode_instructions(codes(spark, sf_dir)))
+    blocks = U.code_blocks(codes(spark, sf_dir))
     return blocks.filter("kind = 'Body'").select("code_id", "node", "max_stack")
 
 
@@ -205,7 +205,7 @@ def a12_slot_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 select c.code_id, coalesce(b.n, 0) as blocks, coalesce(e.n, 0) as edges, coalesce(most, 0)::int as max_stack, coalesce(b.n, 0) > 0 as ok from c left join b using (code_id) left join e using (code_id)"""
 )
 def a16_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = program(spark, sf_dir)[2]
+    blocks = cut_lineage(U.code_blocks(codes(spark, sf_dir)))
     return A.graph_size(blocks, G.build_edges(blocks))
 
 

@@ -65,6 +65,32 @@ def test_blocks_and_metrics(spark):
     assert {r["code_id"] for r in G.graph_metrics(codes, blocks, G.build_edges(blocks)).collect()} == {0, 1, 2}
 
 
+def test_blocks_in_one_pass(spark):
+    import random
+
+    rng = random.Random(5)
+    ops = [0x00, 0x01, 0x50, 0x56, 0x57, 0x58, 0x5B, 0x5F, 0x60, 0x60, 0x61, 0x67, 0x80, 0xF3, 0x0C]
+    texts = ["", "60", "5b", "6003565b00", "600056", "60015801565b", "6001600201565b", "66ffffffffffffff56", "675656565656565656" + "56"]
+    for _ in range(300):
+        out = bytearray()
+        for _ in range(rng.randrange(1, 60)):
+            op = rng.choice(ops)
+            out.append(op)
+            if 0x60 <= op <= 0x7F:
+                out += (bytes(op - 0x60) + bytes([rng.randrange(40)])) if rng.random() < 0.8 else rng.randbytes(op - 0x5F)
+        texts.append(out[: rng.randrange(1, len(out) + 1)].hex())
+    codes = spark.createDataFrame([(k, bytes.fromhex(x)) for k, x in enumerate(texts)] + [(len(texts), None)], "code_id int, code binary").coalesce(2)
+    instr = U.decode_instructions(codes)
+    blocks, rows = U.block_table(instr)
+    want = U.with_control(blocks, J.resolve_targets(instr, blocks), rows)
+    got = U.code_blocks(codes)
+    assert got.columns == want.columns
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want)
+    assert {r["tag"] for r in got.select("control.tag").distinct().collect()} == {None, "Terminal", "Jump", "Branch", "Fallthrough", "Unknown"}
+    assert U.code_blocks(codes.limit(0)).count() == 0
+
+
 def test_longest_common_run(spark):
     pairs = spark.createDataFrame([(1, "abcdefg", "xyzabcuvw"), (2, "aaaa", "bbbb"), (3, "hello wide world", "say hello wide word"), (4, "", "x")], "pair_id int, a string, b string")
     got = {r["pair_id"]: (r["length"], r["content"]) for r in D.longest_common_run(pairs, "a", "b").collect()}
