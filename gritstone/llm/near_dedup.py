@@ -7,7 +7,8 @@ sets are one class, handled by its smallest doc_id; classes stand for their memb
   candidates; two of similarity 0.75 share none with a chance of about 1e-8 at 48 bands of 4.
 - Odd sketch: every sample flips one bit of a 512-bit map. The XOR of two maps holds the parities of the
   samples that differ, so its population count estimates a high similarity precisely; candidates more
-  than six standard errors below the threshold are left out.
+  than six standard errors below the threshold are left out. Two of exactly the threshold are left out by chance
+  about once in ten million (the limit is five standard deviations of the count above its mean, simulated).
 - The others are confirmed on the full sets: ``100 * intersection >= threshold * union``.
 
 Pairs in a band are never all emitted. A band's hub is the class that shares most bands with others: the

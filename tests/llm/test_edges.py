@@ -58,7 +58,8 @@ def test_decontamination(spark, long_docs, block_words):
 def test_substring_dedup(long_docs):
     rows = sorted(tuple(r) for r in substring_dedup.substring_dedup(long_docs).collect())
     n = len(words(LONG))
-    assert [r[1:3] for r in rows] == [(n, 0), (len(words(NEAR)), len(words(NEAR)) - 2 if NEAR.split()[-2] != LONG.split()[-1] else n), (44, 40), (0, 0), (0, 0), (11, 0), (11, 0), (0, 0)] or rows[1][2] >= n - 2
+    alike = next(k for k, (x, y) in enumerate(zip(words(LONG), words(NEAR), strict=False)) if x != y)  # the words that both begin with
+    assert [r[1:3] for r in rows] == [(n, 0), (len(words(NEAR)), alike), (44, 40), (0, 0), (0, 0), (11, 0), (11, 0), (0, 0)]
     assert rows[0][3] == hashlib.sha256(LONG.encode()).hexdigest() and rows[2][2] == 40
     left = substring_dedup.remove_repeated(long_docs)
     assert left.schema == long_docs.schema
