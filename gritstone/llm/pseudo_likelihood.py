@@ -18,6 +18,7 @@ remainder. Documents are dealt to shards of about ``shard`` tokens by a hash of
 first, biases give every output its share of the corpus. In each round each shard starts from the shared weights, goes
 through its texts with Adagrad, and gives back its weights; Spark averages them, weighted by the masked tokens. What a
 shard holds, and in which order, depends on the rows alone, so scores do not depend on how the table is partitioned.
+At most ``parts`` tasks take the shards, one after the other, however many there are.
 Weights, whose size is fixed, are all that passes through the driver.
 
 Null and empty texts have no tokens: score 0, and no score for each token (null). Repeated rows count as often as
@@ -307,10 +308,10 @@ class Network:
             self.flat -= rate * grad / np.sqrt(self.squares)
 
 
-def train_round(encoded: DataFrame, vocabulary: Vocabulary, shape: tuple[int, int, int], weights: np.ndarray, step: int, rounds: int, shards: int, rate: float, size: int) -> np.ndarray | None:
+def train_round(encoded: DataFrame, vocabulary: Vocabulary, shape: tuple[int, int, int], weights: np.ndarray, step: int, rounds: int, shards: int, rate: float, size: int, parts: int) -> np.ndarray | None:
     """One pass over all shards, for the tokens whose shifted place in the text is ``step`` modulo ``rounds``; the averaged weights, None where there was no token."""
     shard = F.pmod(F.hash("key"), F.lit(shards)).alias("shard")
-    sorted_rows = encoded.filter("n_tokens > 0").select("ids", shard, "key", "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id").select("ids", "shard", F.pmod("key", F.lit(rounds)).alias("shift"))
+    sorted_rows = encoded.filter("n_tokens > 0").select("ids", shard, "key", "doc_id").repartition(min(shards, parts), "shard").sortWithinPartitions("shard", "key", "doc_id").select("ids", "shard", F.pmod("key", F.lit(rounds)).alias("shift"))
     side, width, hidden = shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +352,8 @@ def train_round(encoded: DataFrame, vocabulary: Vocabulary, shape: tuple[int, in
         if seen:
             yield batch(part=np.arange(len(total), dtype=np.int32), value=total, seen=np.full(len(total), seen))
 
-    parts = sorted_rows.mapInArrow(run, "part int, value double, seen long").groupBy("part").agg((F.sum("value") / F.sum("seen")).alias("value"))
-    table = parts.toArrow()  # as many rows as the network has weights
+    averaged = sorted_rows.mapInArrow(run, "part int, value double, seen long").groupBy("part").agg((F.sum("value") / F.sum("seen")).alias("value"))
+    table = averaged.toArrow()  # as many rows as the network has weights
     if not table.num_rows:
         return None
     out = np.empty(table.num_rows)
@@ -361,7 +362,7 @@ def train_round(encoded: DataFrame, vocabulary: Vocabulary, shape: tuple[int, in
 
 
 def pseudo_likelihood(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 2048, buckets: int = 32, side: int = 2, width: int = 8, hidden: int = 16, rounds: int = 2, rate: float = 0.3, size: int = 2048, head: int = 1 << 17, shard: int = 1 << 22
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 2048, buckets: int = 32, side: int = 2, width: int = 8, hidden: int = 16, rounds: int = 2, rate: float = 0.3, size: int = 2048, head: int = 1 << 17, shard: int = 1 << 22, parts: int = 20_000
 ) -> DataFrame:
     """One row for each document: doc_id, n_tokens, score (summed log-probabilities), score_per_token."""
     counts = materialize(count_words(docs, id_col, text_col))
@@ -371,7 +372,7 @@ def pseudo_likelihood(
     others = class_totals(counts, vocabulary)
     weights = Network(vocabulary.common, buckets, side, width, hidden).start(vocabulary.ranked(), others)
     for step in range(rounds):
-        new = train_round(encoded, vocabulary, (side, width, hidden), weights, step, rounds, shards, rate, size)
+        new = train_round(encoded, vocabulary, (side, width, hidden), weights, step, rounds, shards, rate, size, parts)
         weights = weights if new is None else new
     share = np.concatenate([np.zeros(vocabulary.common), -np.log(np.maximum(others, 1))])
 
