@@ -741,3 +741,25 @@ def test_equal_tables_shuffle_digests_alone(spark):
     row = V.tables_equivalent(x, y).first()
     assert (row["only_a"], row["only_b"]) == (1, 1)
     assert V.tables_equivalent(x.limit(0), y.limit(0)).first()["equivalent"]
+
+
+def test_line_diffs_of_pairs_that_share_a_long_text(spark):
+    """One narrow pass gives the ordered and the order-free diff: nothing is shuffled for a line, and a pair's lines are not joined with another's."""
+    long = "\n".join(f"line {k} é" for k in range(300))
+    rows = [(k, long, long.replace(f"line {k} é", f"other {k}").replace("line 7 é\n", "")) for k in range(40)] + [(40, None, None), (41, None, ""), (42, "", "a")]
+    pairs = spark.createDataFrame(rows, "pair_id int, a string, b string").coalesce(1)
+    stats, counts = D.line_diff_stats(pairs, "a", "b"), D.line_multiset_diff(pairs, "a", "b")
+    by_marks = D.line_diff_stats(pairs.select("pair_id", *(D.line_marks(F.col(c)).alias(c) for c in "ab")).filter("pair_id < 40"), "a", "b")
+    for df in (stats, counts, by_marks, D.replacements(pairs, "a", "b")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got, free = ({r["pair_id"]: tuple(r)[1:] for r in df.collect()} for df in (stats, counts))
+    assert {r["pair_id"]: tuple(r)[1:] for r in by_marks.collect()} == {k: v for k, v in got.items() if k < 40}
+    hunks = {}
+    for r in D.replacements(pairs, "a", "b").orderBy("pair_id", "hunk_no").collect():
+        hunks.setdefault(r["pair_id"], []).append((r["before"], r["after"]))
+    for k, a, b in rows:
+        p, q = (x.split("\n") if x else [] for x in (a, b))
+        want = diff_by_hand(p, q)
+        removed, added = (sum(len(h[s]) for h in want) for s in (0, 1))
+        assert hunks.get(k, []) == want and got[k] == (len(want), removed, added, len(p) - removed, len(p))
+    assert free[3] == (2, 1, 298, 300) and 40 not in free and free[41] == (0, 1, 0, 0) and free[42] == (1, 1, 0, 1)
