@@ -53,10 +53,11 @@ def in_word_range(digits: Column) -> Column:
 
 def is_likely_text(col: Column, min_len: int = 4, ratio: float = 0.6) -> Column:
     """Without trailing NULs, long enough and mostly printable ASCII; in bytes, compared as 32-bit floats."""
-    body = F.regexp_replace(col, "\\x00+$", "")
+    body = F.regexp_replace(col, r"\x00+\z", "")  # $ also stands before a last line break
     size = F.octet_length(body)
     printable = F.length(F.regexp_replace(body, r"[^\x20-\x7E]", ""))
-    return (size >= min_len) & (printable.cast("float") / size.cast("float") >= F.lit(ratio).cast("float"))
+    # Spark divides doubles, so the quotient itself is rounded to 32 bits
+    return (size >= min_len) & ((printable.cast("float") / size.cast("float")).cast("float") >= F.lit(ratio).cast("float"))
 
 
 def payload_cost(zero: Column, other: Column) -> Column:
