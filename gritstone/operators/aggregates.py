@@ -143,14 +143,14 @@ def property_flags(instr: DataFrame, by: str, op: str = "mnemonic", guarded: Col
     return instr.groupBy(by).agg(delegates.alias("is_proxy"), delegates.alias("is_upgradeable"), F.bool_or(F.col(op) == "CALLER").alias("owner_control"), F.bool_or(guarded if guarded is not None else F.lit(False)).alias("guarded"))
 
 
-def function_rollup(reach: DataFrame, instr: DataFrame, blocks: DataFrame) -> DataFrame:
+def function_rollup(reach: DataFrame, instr: DataFrame | None, blocks: DataFrame) -> DataFrame:
     """code_id, entry, read_only, payable over the blocks that each entry reaches; ``fallback`` over all blocks where a code has no entry.
 
-    reach: code_id, entry, node. instr: code_id, node, mnemonic. blocks: code_id, node.
+    reach: code_id, entry, node. instr: code_id, node, mnemonic. blocks: code_id, node; without instr also writes and value.
     """
     without = blocks.join(reach.select("code_id").distinct(), "code_id", "left_anti").select("code_id", F.lit("fallback").alias("entry"), "node")
     every = reach.select("code_id", F.col("entry").cast("string").alias("entry"), "node").unionByName(without)
-    flags = instr.groupBy("code_id", "node").agg(F.bool_or(F.col("mnemonic") == "SSTORE").alias("writes"), F.bool_or(F.col("mnemonic") == "CALLVALUE").alias("value"))
+    flags = blocks.select("code_id", "node", "writes", "value") if instr is None else instr.groupBy("code_id", "node").agg(F.bool_or(F.col("mnemonic") == "SSTORE").alias("writes"), F.bool_or(F.col("mnemonic") == "CALLVALUE").alias("value"))
     both = every.join(flags, ["code_id", "node"], "left")
     return both.groupBy("code_id", "entry").agg((~F.coalesce(F.bool_or("writes"), F.lit(False))).alias("read_only"), F.coalesce(F.bool_or("value"), F.lit(False)).alias("payable"))
 
@@ -213,22 +213,29 @@ def literals_by_width(instr: DataFrame, width: str, value: str, order: str, by:
     return instr.filter(F.col(value).isNotNull()).groupBy(*by, width, value).agg(F.min(order).alias("first_seen"))
 
 
-def block_summary(blocks: DataFrame, edges: DataFrame, instr: DataFrame) -> DataFrame:
-    """For each block its instruction count, operations in order, largest stack, and kinds of edges in and out."""
-    ops = F.transform(F.array_sort(F.collect_list(F.struct("idx", "mnemonic"))), lambda x: x["mnemonic"])
-    body = instr.groupBy("code_id", "node").agg(F.count("*").alias("n_instr"), ops.alias("operations"))
+def block_summary(blocks: DataFrame, edges: DataFrame, instr: DataFrame | None = None) -> DataFrame:
+    """For each block its instruction count, operations in order, largest stack, and kinds of edges in and out. Without instr the blocks have their operations."""
     kinds = F.sort_array(F.collect_list("kind"))
     into = edges.groupBy("code_id", F.col("dst").alias("node")).agg(kinds.alias("incoming"))
     out = edges.groupBy("code_id", F.col("src").alias("node")).agg(kinds.alias("outgoing"))
     key = ["code_id", "node"]
     none = F.array().cast("array<string>")
-    joined = blocks.select("code_id", "node", "max_stack").join(body, key, "left").join(into, key, "left").join(out, key, "left")
+    if instr is None:
+        both = blocks.select(*key, "max_stack", F.col("n_instr").cast("long").alias("n_instr"), "operations")
+    else:
+        ops = F.transform(F.array_sort(F.collect_list(F.struct("idx", "mnemonic"))), lambda x: x["mnemonic"])
+        body = instr.groupBy("code_id", "node").agg(F.count("*").alias("n_instr"), ops.alias("operations"))
+        both = blocks.select(*key, "max_stack").join(body, key, "left")
+    joined = both.join(into, key, "left").join(out, key, "left")
     return joined.select("code_id", "node", F.coalesce("n_instr", F.lit(0)).alias("n_instr"), F.coalesce("operations", none).alias("operations"), "max_stack", F.coalesce("incoming", none).alias("incoming"), F.coalesce("outgoing", none).alias("outgoing"))
 
 
 def entry_points(instr: DataFrame) -> DataFrame:
-    """code_id, key, node, start_pc: the first PUSH4 of a block is its key; of blocks with one key the last counts."""
-    first = instr.filter("mnemonic = 'PUSH4'").groupBy("code_id", "node", "start_pc").agg(F.min_by("imm", "idx").alias("key"))
+    """code_id, key, node, start_pc: the first PUSH4 of a block is its key; of blocks with one key the last counts. From instructions, or from blocks that have their key."""
+    if "key" in instr.columns:  # blocks
+        first = instr.filter("key is not null")
+    else:
+        first = instr.filter("mnemonic = 'PUSH4'").groupBy("code_id", "node", "start_pc").agg(F.min_by("imm", "idx").alias("key"))
     return first.groupBy("code_id", "key").agg(F.max_by("node", "start_pc").alias("node"), F.max("start_pc").alias("start_pc"))
 
 

@@ -150,11 +150,14 @@ def with_control(blocks: DataFrame, jumps: DataFrame, rows: DataFrame) -> DataFr
     return both.withColumn("control", F.struct(tag.alias("tag"), F.col("target").cast("int").alias("target"))).drop("target")
 
 
-def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code") -> DataFrame:
+def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code", details: bool = False) -> DataFrame:
     """Blocks with control, as ``with_control`` gives them, from the codes in one pass: a batch has whole codes, so nothing is shuffled or written between.
 
     Null and empty codes have an entry and an exit; a code that is one cut-off PUSH has neither. Rows of one id are
     codes of their own, each with its own blocks.
+
+    ``details`` adds to body blocks their operations in order, the first PUSH4's immediate (key), whether they store (writes)
+    or take value (value), and of a jump at their end its idx, form and the number it goes to (as ``resolve_targets`` has them).
     """
     names = pa.array(mnemonics())
     closing = np.zeros(256, bool)
@@ -162,8 +165,8 @@ def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code
     rise = np.zeros(256, np.int64)
     rise[0x5F:0x90], rise[0x50] = 1, -1
 
-    def jump_values(j: np.ndarray, data: np.ndarray, at: np.ndarray, step: np.ndarray, pcs: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """What jumps at the instructions ``j``, whose codes begin at ``first``, go to; -1 where that is not known."""
+    def jump_values(j: np.ndarray, data: np.ndarray, at: np.ndarray, step: np.ndarray, pcs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What jumps at the instructions ``j``, whose codes begin at ``first``, go to, -1 where that is not known; and their form (0 direct, 1 sum, 2 relative, 3 none)."""
 
         def back(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Operation, whether a number was pushed, and it, of the k-th instruction before; -1 beyond the code's begin."""
@@ -176,7 +179,9 @@ def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code
 
         (op1, push1, v1), (op2, push2, v2), (_, push3, v3) = back(1), back(2), back(3)
         total = np.where(push2, v2 + v3, np.where(op2 == 0x58, pcs[np.maximum(j - 2, 0)] + v3, -1))
-        return np.where(push1, v1, np.where((op1 == 0x01) & push3, total, -1))
+        added = (op1 == 0x01) & push3
+        form = np.select([push1, added & push2, added & (op2 == 0x58)], [0, 1, 2], 3)
+        return np.where(push1, v1, np.where(added, total, -1)), form
 
     def build(ids: pa.Array, codes: pa.Array) -> pa.RecordBatch:
         size_of, data, begins, step, at, row = sweep(codes)
@@ -197,7 +202,7 @@ def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code
         deepest = np.maximum.reduceat(np.where(delta > 0, total - low, 0), first) if len(first) else np.zeros(0, np.int64)
 
         jumps = np.flatnonzero((op[last] == 0x56) | (op[last] == 0x57))
-        value = jump_values(last[jumps], data, at, step, pcs, first_of[own[jumps]])
+        value, form = jump_values(last[jumps], data, at, step, pcs, first_of[own[jumps]])
         wide = int(size_of.max(initial=0)) + 1
         key, sought = own * wide + pcs[first], own[jumps] * wide + value
         hit = np.minimum(np.searchsorted(key, sought), max(len(key) - 1, 0))
@@ -217,11 +222,26 @@ def code_blocks(codes: DataFrame, id_col: str = "code_id", code_col: str = "code
             names.take(pa.array(op[first].astype(np.int64))), pa.array(["Unknown", "Jump", "Branch", "Terminal", "Fallthrough"]).take(pa.array(kind)), pa.array(target.astype(np.int32), mask=target < 0),
         ]
         rim = [ids.take(pa.array(twice)), number(np.tile([0, 1], len(ringed))), pa.array(["Entry", "Exit"] * len(ringed), pa.string()), blank(pa.int32()), blank(pa.int32()), zero, zero, blank(pa.string()), blank(pa.string()), blank(pa.string()), blank(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(rim, body, strict=True)], names=columns)
-
+        if details:
+            push4 = np.flatnonzero(op == 0x63)
+            of, one = np.unique(inside[push4], return_index=True)
+            keys = np.full(len(first), None, object)
+            keys[of] = [data[k + 1 : k + 5].tobytes().hex() for k in at[push4[one]].tolist()]
+            has = lambda k: pa.array(np.bincount(inside[op == k], minlength=len(first)) > 0)
+            idx, kind_of, goes = np.full(len(first), -1), np.full(len(first), 3), np.full(len(first), -1)
+            idx[jumps], kind_of[jumps], goes[jumps] = last[jumps] - first_of[own[jumps]], form, value
+            listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(op)).astype(np.int32)), names.take(pa.array(op.astype(np.int64))))
+            body += [listed, pa.array(keys, pa.string()), has(0x55), has(0x34), pa.array(idx.astype(np.int32), mask=idx < 0), pa.array(["direct", "sum", "relative", None]).take(pa.array(kind_of)), pa.array(goes, mask=goes < 0)]
+            rim += [blank(x.type) for x in body[len(rim) :]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(rim, body, strict=True)], names=columns + more)
+
+    more = ["operations", "key", "writes", "value", "jump_idx", "jump_form", "jump_value"] if details else []
     columns = ["code_id", "node", "kind", "start_pc", "end_pc", "n_instr", "max_stack", "last_op", "first_op", "tag", "target"]
-    flat = in_slices(codes, build, "code_id long, node int, kind string, start_pc int, end_pc int, n_instr int, max_stack int, last_op string, first_op string, tag string, target int", id_col, code_col)
-    return flat.select(*columns[:-2], F.struct("tag", "target").alias("control"))
+    flat = in_slices(codes, build, "code_id long, node int, kind string, start_pc int, end_pc int, n_instr int, max_stack int, last_op string, first_op string, tag string, target int" + (DETAILS if details else ""), id_col, code_col)
+    return flat.select(*columns[:-2], F.struct("tag", "target").alias("control"), *more)
+
+
+DETAILS = ", operations array<string>, key string, writes boolean, value boolean, jump_idx int, jump_form string, jump_value long"
 
 
 def locate_sections(codes: DataFrame, instr: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
@@ -321,7 +341,7 @@ def selector_table(instr: DataFrame, limit: int = 200, reach: int = 500) -> Data
 
     op, imm = F.col("mnemonic"), F.col("imm")
     tail = [op == "CALLDATALOAD", (op == "PUSH1") & (imm == "e0"), op == "SHR"]
-    rows = instr.filter("idx is not null")
+    rows = instr.filter(F.col("idx") < limit + reach + 8)  # an opening of 4 rows, its keys, and the 3 rows behind a key
     opening = first_match_in_prefix(rows, ["code_id"], ["idx"], [tail, [op.startswith("PUSH"), *tail]], limit).select("code_id", "at")
     w = Window.partitionBy("code_id").orderBy("idx")
     lead = lambda c, k: F.lead(c, k).over(w)
