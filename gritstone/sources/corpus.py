@@ -25,12 +25,19 @@ FAILURE_SCHEMA = T.StructType(
 TRACE_SCHEMA = "struct<metadata:struct<transforms_applied:array<string>,size_limit_exceeded:boolean,unknown_opcodes_preserved:boolean>,trace:array<struct<kind:string,diff:string,remapped_pcs:map<string,bigint>>>>"
 
 
-def read_code_corpus(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
+def write_packed(files: DataFrame, path: str) -> None:
+    """Many small files (name, content) as rows of few Parquet files: a file system takes some milliseconds for each file of its own, and the driver lists and moves them."""
+    files.select("name", F.col("content").cast("binary").alias("content")).write.parquet(path)
+
+
+def read_code_corpus(spark: SparkSession, path: str, fmt: str = "auto", packed: bool = False) -> DataFrame:
     """Name, code from hex text (``hex``), raw bytes (``binary``) or either by what each file looks like (``auto``).
 
-    auto: a file is hex text if its content begins with ``0x`` or its name ends with ``.hex``.
+    auto: a file is hex text if its content begins with ``0x`` or its name ends with ``.hex``. ``packed``: the files are rows of
+    ``path``, as ``write_packed`` writes them.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.col("content").alias("raw"))
+    stored = spark.read.schema("name string, content binary").parquet(path) if packed else spark.read.format("binaryFile").load(path).withColumnRenamed("path", "name")
+    files = stored.select("name", F.col("content").alias("raw"))
     text = F.decode("raw", "UTF-8")
     decoded = F.unhex(normalize_hex(text))
     if fmt == "hex":
@@ -42,12 +49,16 @@ def read_code_corpus(spark: SparkSession, path: str, fmt: str = "auto") -> DataF
     return files.select("name", F.when(is_hex, F.unhex(normalize_hex(F.try_validate_utf8("raw")))).otherwise(F.col("raw")).alias("code"))
 
 
-def read_trace_log(spark: SparkSession, path: str) -> DataFrame:
-    """S3: run_id (the file), seq, kind, attrs, diff, remap from ``{metadata, trace[]}`` files.
+def read_trace_log(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """S3: run_id (the file), seq, kind, attrs, diff, remap from ``{metadata, trace[]}`` files; ``packed`` as for S1.
 
     A kind is a bare string or an object with one key, whose fields become ``attrs``.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("run_id"), F.from_json("value", TRACE_SCHEMA).alias("doc"))
+    if packed:
+        texts = spark.read.schema("name string, content binary").parquet(path).select(F.col("name").alias("run_id"), F.decode("content", "UTF-8").alias("value"))
+    else:
+        texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("run_id"), "value")
+    raw = texts.select("run_id", F.from_json("value", TRACE_SCHEMA).alias("doc"))
     rows = raw.select("run_id", F.posexplode("doc.trace").alias("seq", "event"))
     tagged = F.from_json("event.kind", "map<string,string>")
     tag = F.map_keys(tagged)[0]
