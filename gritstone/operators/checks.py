@@ -12,6 +12,8 @@ from gritstone.operators.sequences import running_depth
 from gritstone.operators.sets import signed_counts
 from gritstone.sources.scratch import cut_lineage
 
+ROWS_A_TASK = 250_000
+
 
 def row_hash(columns: Sequence[str], salt: int) -> Column:
     """A 64-bit hash of a row; nulls count by their place."""
@@ -122,7 +124,13 @@ def as_documents(df: DataFrame, key: str, name: str = "document") -> DataFrame:
 
 
 def interval_properties(sections: DataFrame, totals: DataFrame, by: str = "code_id") -> DataFrame:
-    """V7: ten properties of each code's sections; totals: by, size."""
+    """V7: ten properties of each code's sections; totals: by, size.
+
+    Sections are dealt by code to as many tasks as their number asks for, so a task's memory does not grow with the table.
+    """
+    tasks = sections.count() // ROWS_A_TASK + 1
+    sections = sections.repartition(tasks, by)
+    totals = totals.select(by, "size").repartition(tasks, by).distinct()
     w = Window.partitionBy(by).orderBy("offset", "len")
     end = F.col("offset") + F.col("len")
     rows = sections.withColumn("_end", end).withColumn("_prior", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_kind_before", F.lag("kind").over(w)).withColumn("_no", F.row_number().over(w))
@@ -140,5 +148,5 @@ def interval_properties(sections: DataFrame, totals: DataFrame, by: str = "code_
         F.bool_and((F.col("kind") != "Padding") | F.col("_kind_before").eqNullSafe(F.lit("Runtime"))).alias("padding_after_runtime"),
         (F.count_distinct("kind") == F.count("*")).alias("unique_kinds"),
     )
-    both = one.join(totals.select(by, "size"), by)
+    both = one.join(totals, by)
     return both.select(by, "no_overlap", (F.col("no_overlap") & (F.col("_sum") == F.col("size"))).alias("full_cover"), "in_order", "non_empty", "one_runtime", "init_first", ((F.col("_aux_end") == -1) | (F.col("_aux_end") == F.col("_end"))).alias("trailer_last"), "args_after_runtime", "padding_after_runtime", "unique_kinds")
