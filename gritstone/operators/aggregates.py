@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -14,6 +15,8 @@ from gritstone.functions.windows import Characters, over_texts, unique_pairs
 from gritstone.operators.scans import quantiles
 from gritstone.sources.scratch import cut_lineage
 
+BUCKET = 1 << 23  # bytes of texts whose windows share a bucket
+
 
 def unknown_stats(instr: DataFrame, unknown: Column, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, unknown rows and distinct unknown kinds."""
@@ -62,7 +65,8 @@ def ngram_diversity(df: DataFrame, col: str, ns: Sequence[int] = (2, 4, 8), by:
     """A4: for each n, windows of n characters in all texts, distinct ones, and these in percent (0 without windows). A text counts as often as ``times`` says, once if that is not given.
 
     One pass over the texts gives, for each slice of them, how many windows there are and the distinct ones as
-    64-bit hashes. The distinct ones meet in one shuffle for all n together.
+    64-bit hashes. These are sorted and cut by their first bits into buckets, so a row holds many of them as bytes; the rows of a
+    bucket meet in one shuffle. There are as many buckets as the texts' bytes ask for. ``approx`` has a row for each hash.
     """
     names, sizes = list(by), [n for n in ns if n > 0]
     groups = df.select(F.col(col).alias("_text"), F.struct(F.lit(0).alias("_all"), *by).alias("_group"), F.lit(1).cast("long").alias("_times") if times is None else F.col(times).cast("long").alias("_times"))
@@ -83,15 +87,45 @@ def ngram_diversity(df: DataFrame, col: str, ns: Sequence[int] = (2, 4, 8), by:
         grams = pa.array([], pa.int64()) if not out else pa.concat_arrays([y for x in out for y in (pa.nulls(x[4], pa.int64()), pa.array(x[3]))])
         return pa.RecordBatch.from_arrays([group.dictionary.take(pa.array(code)), pa.array(size, pa.int32()), pa.array(windows, pa.int64()), grams], ["_group", "n", "windows", "gram"])
 
-    found = cut_lineage(over_texts(coded, run, "_group string, n int, windows long, gram long", 0))
-    totals = found.filter("gram is null").groupBy("_group", "n").agg(F.sum("windows").alias("windows"))
-    if approx:
-        kinds = found.filter("gram is not null").groupBy("_group", "n").agg(F.approx_count_distinct("gram").alias("distinct_windows"))
-    else:
-        kinds = found.filter("gram is not null").select("_group", "n", "gram").distinct().groupBy("_group", "n").agg(F.count("*").alias("distinct_windows"))
+    def pack(b: pa.RecordBatch, c: Characters) -> pa.RecordBatch:
+        group = b.column(1).dictionary_encode()
+        code, often = group.indices.to_numpy(), b.column(2).to_numpy()
+        out = []
+        for n in sizes:
+            at, gram = c.windows(n)
+            own = code[c.row[at]]
+            total = np.bincount(own, often[c.row[at]], len(group.dictionary))
+            order = np.argsort(own, kind="stable") if len(total) > 1 else slice(None)
+            ends = np.cumsum(np.bincount(own, minlength=len(total)))
+            for k, part in enumerate(np.split(gram[order], ends[:-1])):
+                kinds = np.unique(part)
+                where = kinds >> np.uint64(64 - bits) if bits else np.zeros(len(kinds), np.uint64)
+                first = np.flatnonzero(np.diff(where, prepend=where[:1] + np.uint64(1)))
+                out.append((k, n, 0, int(total[k]), b""))
+                out += [(k, n, int(where[i]), 0, x.tobytes()) for i, x in zip(first, np.split(kinds, first[1:]), strict=True) if len(x)] if len(kinds) else []
+        kind, size, bucket, windows, grams = zip(*out, strict=True) if out else ((),) * 5
+        return pa.RecordBatch.from_arrays([group.dictionary.take(pa.array(kind, pa.int64())), *(pa.array(x, t) for x, t in ((size, pa.int32()), (bucket, pa.int32()), (windows, pa.int64()), (grams, pa.binary())))], ["_group", "n", "bucket", "windows", "grams"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        kinds = np.unique(np.frombuffer(b"".join(t["grams"].to_pylist()), np.uint64))
+        return pa.table({"_group": t["_group"][:1], "n": t["n"][:1], "windows": pa.array([pc.sum(t["windows"]).as_py()], pa.int64()), "kinds": pa.array([len(kinds)], pa.int64())})
+
     every = coded.select("_group").distinct() if by else df.sparkSession.range(1).select(F.to_json(F.struct(F.lit(0).alias("_all"))).alias("_group"))
     every = every.select("_group", F.explode(F.array(*map(F.lit, ns))).alias("n"))
-    both = every.join(totals, ["_group", "n"], "left").join(kinds, ["_group", "n"], "left")
+    if not approx:
+        octets = coded.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        bits = (octets // BUCKET).bit_length()
+        packed = over_texts(coded, pack, "_group string, n int, bucket int, windows long, grams binary", 0)
+        merged = packed.groupBy("_group", "n", "bucket").applyInArrow(merge, "_group string, n int, windows long, kinds long")
+        counts = merged.groupBy("_group", "n").agg(F.sum("windows").alias("windows"), F.sum("kinds").alias("distinct_windows"))
+        return diversity_of(every.join(counts, ["_group", "n"], "left"), df, names)
+    found = cut_lineage(over_texts(coded, run, "_group string, n int, windows long, gram long", 0))
+    totals = found.filter("gram is null").groupBy("_group", "n").agg(F.sum("windows").alias("windows"))
+    kinds = found.filter("gram is not null").groupBy("_group", "n").agg(F.approx_count_distinct("gram").alias("distinct_windows"))
+    return diversity_of(every.join(totals, ["_group", "n"], "left").join(kinds, ["_group", "n"], "left"), df, names)
+
+
+def diversity_of(both: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     values = F.from_json("_group", StructType([StructField("_all", IntegerType()), *(df.schema[c] for c in names)]))
     one = both.withColumn("_g", values).select(*(F.col("_g")[c].alias(c) for c in names), "n", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("distinct_windows", F.lit(0)).alias("distinct_windows"))
     return one.withColumn("diversity", F.when(F.col("windows") == 0, F.lit(0.0)).otherwise(F.col("distinct_windows") * 100.0 / F.col("windows")))
