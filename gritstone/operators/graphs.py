@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from gritstone.functions.scalars import potency
-from gritstone.functions.walks import dominator_tree, following, in_postorder
+from gritstone.functions.walks import dominator_tree, following, in_postorder, led_to
 from gritstone.operators.aggregates import graph_size
+from gritstone.operators.parsing import TAGS, blocks_of, code_blocks, in_slices
 from gritstone.sources.scratch import cut_lineage, discard
 
 MOST_TABLES = 16
@@ -261,3 +263,55 @@ def graph_metrics(codes: DataFrame, blocks: DataFrame, edges: DataFrame, exit_ro
     overlap = dominator_overlap(immediate_dominators(edges, entry), immediate_dominators(edges, last, reverse=True))
     joined = codes.select("code_id", F.length("code").alias("byte_len")).join(size, "code_id").join(overlap, "code_id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     return joined.filter("ok").select("code_id", "byte_len", "blocks", "edges", "max_stack", "overlap", potency(F.col("overlap"), F.col("blocks") + 2, F.col("edges")).alias("potency"))
+
+
+def overlap_of(after: tuple[list[int], list[int]], before: tuple[list[int], list[int]], entry: int, last: int) -> float:
+    """G4 of one graph, whose edges ``after`` and ``before`` have from either end, as ``led_to`` takes them."""
+    up = {x: d for x, d in dominator_tree(led_to(*after, entry), entry).items() if d is not None}
+    down = dominator_tree(led_to(*before, last), last)
+    return sum(down.get(x) == d for x, d in up.items()) / len(up) if up else 0.0
+
+
+def code_metrics(codes: DataFrame, exit_root: str = "last", limit: int = SMALL) -> DataFrame:
+    """``graph_metrics`` of whole codes in one narrow pass: blocks, edges and dominators of a code are found in its task.
+
+    Graphs of more than ``limit`` edges are only counted there; their overlap comes from ``graph_metrics``, in rounds.
+    """
+
+    def build(ids: pa.Array, codes: pa.Array) -> pa.RecordBatch:
+        b = blocks_of(codes)
+        n_blocks = np.bincount(b.own, minlength=len(b.sizes))
+        base = np.cumsum(n_blocks + 2) - n_blocks - 2  # nodes of all codes have one numbering: each code's entry, exit, blocks
+        node = base[b.own] + b.node
+        begins = np.append(True, b.own[1:] != b.own[:-1])[: len(node)]
+        further = np.where(np.append(begins[1:], True)[: len(node)], base[b.own] + 1, node + 1)
+        jump, branch, terminal, fall = (b.kind == TAGS.index(x) for x in ("Jump", "Branch", "Terminal", "Fallthrough"))
+        goes, on = jump | branch, branch | fall
+        src = np.concatenate([base[b.own[begins]], node[terminal], node[goes], node[on]])
+        dst = np.concatenate([node[begins], base[b.own[terminal]] + 1, base[b.own[goes]] + b.target[goes], further[on]])
+        n_edges = n_blocks.astype(bool) + np.bincount(b.own[~(b.kind == 0)], minlength=len(b.sizes)) + np.bincount(b.own[branch], minlength=len(b.sizes))
+
+        def side(a: np.ndarray, z: np.ndarray) -> tuple[list[int], list[int]]:
+            order = np.argsort(a, kind="stable")
+            return z[order].tolist(), np.searchsorted(a[order], np.arange(int(np.sum(n_blocks + 2)) + 1)).tolist()
+
+        after, before = side(src, dst), side(dst, src)
+        with_body = np.flatnonzero(n_blocks)
+        overlap = [
+            overlap_of(after, before, entry, entry + (1 if exit_root == "exit" else n + 1)) if edges <= limit else None
+            for entry, n, edges in zip(base[with_body].tolist(), n_blocks[with_body].tolist(), n_edges[with_body].tolist(), strict=True)
+        ]
+        most = np.maximum.reduceat(b.deepest, np.flatnonzero(begins)) if len(node) else b.deepest
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(with_body)), pa.array(b.sizes[with_body].astype(np.int32)), pa.array(n_blocks[with_body]), pa.array(n_edges[with_body]), pa.array(most.astype(np.int32)), pa.array(overlap, pa.float64())],
+            names=["code_id", "byte_len", "blocks", "edges", "max_stack", "overlap"],
+        )
+
+    rows = cut_lineage(in_slices(codes, build, "code_id long, byte_len int, blocks long, edges long, max_stack int, overlap double", "code_id", "code"))
+    out = rows.withColumn("potency", potency(F.col("overlap"), F.col("blocks") + 2, F.col("edges")))
+    large = rows.filter("overlap is null").select("code_id")
+    if large.isEmpty():
+        return out
+    rest = cut_lineage(codes.join(large, "code_id", "left_semi"))
+    blocks = cut_lineage(code_blocks(rest))
+    return out.filter("overlap is not null").unionByName(graph_metrics(rest, blocks, cut_lineage(build_edges(blocks)), exit_root))
