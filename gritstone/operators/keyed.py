@@ -31,12 +31,12 @@ def token_allowed(key: Column, token: Column, width: int = 4) -> Column:
 
 
 def token_map(keys: DataFrame, key: str, seed: str, width: int = 4, preserve: int | None = None, tries: int = 8, max_rounds: int = 64) -> DataFrame:
-    """K2: key, token: a distinct token for each distinct key.
+    """K2: key, token: a distinct token for each distinct key; null is not a key.
 
     In each round every open key proposes its first allowed token, the smallest key that proposes a token
     gets it, and the others go on with further counters in the next round; a round tries ``tries`` of them.
     """
-    open_ = keys.select(F.col(key).alias("key")).distinct()
+    open_ = keys.select(F.col(key).alias("key")).filter("key is not null").distinct()
     taken = None
     for step in range(max_rounds):
         counters = F.explode(F.sequence(F.lit(step * tries), F.lit((step + 1) * tries - 1)))
