@@ -494,7 +494,8 @@ def selector_table(instr: DataFrame, limit: int = 200, reach: int = 500) -> Data
     """U4: code_id, selector, target, instr_index for ``PUSH4 k, EQ, PUSH t, JUMPI`` behind a dispatcher's opening.
 
     The opening (PUSH1 0, CALLDATALOAD, PUSH1 224, SHR, or its last three rows) begins within the first
-    ``limit`` rows; keys are taken from the ``reach`` rows behind it, up to the first REVERT after three keys.
+    ``limit`` rows; keys are taken from the ``reach`` rows behind it, up to the first REVERT after three keys. A target of more
+    than 60 bits, which no code has, and one of PUSH0 is null.
     """
     from gritstone.operators.sequences import first_match_in_prefix
 
@@ -508,7 +509,9 @@ def selector_table(instr: DataFrame, limit: int = 200, reach: int = 500) -> Data
     near = rows.withColumn("_key", is_key).withColumn("_target", lead("imm", 2)).join(opening, "code_id").filter((F.col("idx") >= F.col("at")) & (F.col("idx") < F.col("at") + reach))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("_keys", F.coalesce(F.sum(F.col("_key").cast("int")).over(before), F.lit(0))).withColumn("_stop", F.coalesce(F.max((op == "REVERT") & (F.col("_keys") >= 3)).over(before), F.lit(False)))
-    return near.filter("_key and not _stop").select("code_id", F.col("imm").alias("selector"), F.conv("_target", 16, 10).cast("long").alias("target"), F.col("idx").alias("instr_index"))
+    digits = F.ltrim("_target", F.lit("0"))
+    target = F.when(digits == "", F.lit("0")).when(F.length(digits) <= 15, F.conv(digits, 16, 10)).cast("long")  # null beyond 60 bits
+    return near.filter("_key and not _stop").select("code_id", F.col("imm").alias("selector"), target.alias("target"), F.col("idx").alias("instr_index"))
 
 
 def storage_access(instr: DataFrame) -> DataFrame:
